@@ -59,31 +59,40 @@ def shingles(text: str | None, n: int, hashes: _Words) -> np.ndarray:
     return np.unique(out)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """SKETCH minwise values, of which 16 bits are kept."""
+#: The coordinates that each tree chooses at its root, each with probability 1 / (similarity * SKETCH).
+_ROOTS = [(t, c) for t in range(TREES) for c in np.flatnonzero(np.random.default_rng([t, 7]).random(SKETCH) < 100 / (PERCENT * SKETCH))]
+_ROOT_AT = np.array([c for _, c in _ROOTS])
+_ROOT_MIX = np.array([xxhash.xxh3_64_intdigest(f"root {t} {c}") for t, c in _ROOTS], np.uint64)
+
+
+def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """SKETCH minwise values, of which 16 bits are kept, and the root nodes, named by whole values."""
     out = np.full(SKETCH, np.uint64(2**64 - 1))
     for lo in range(0, len(s), 4096):
         part = s[lo : lo + 4096, None] * _ODD + _ADD
         part ^= part >> np.uint64(32)
         part *= np.uint64(0xD6E8FEB86659FD93)
         out = np.minimum(out, part.min(axis=0))
-    return ((out * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
+    nodes = (out[_ROOT_AT] ^ _ROOT_MIX) * np.uint64(0x9E3779B97F4A7C15)
+    nodes = (nodes ^ nodes >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+    return ((out * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16), nodes.view(np.int64)
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set and its sketch."""
+    """doc_id, n_shingles, digest of the set, its sketch and its root nodes."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Words()
         for pdf in batches:
             found = [shingles(t, words, hashes) for t in pdf["text"]]
+            drawn = [sketch(s) if len(s) else None for s in found]
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in found],
                 "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found],
-                "sketch": [sketch(s).tobytes() if len(s) else None for s in found],
+                "sketch": [d and d[0].tobytes() for d in drawn], "roots": [d and d[1].tobytes() for d in drawn],
             })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_shingles bigint, digest binary, sketch binary")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_shingles bigint, digest binary, sketch binary, roots binary")
 
 
 # --- grouped rows in blocks of bounded memory
@@ -141,34 +150,40 @@ def _spans(keys: np.ndarray) -> Iterator[tuple[int, int]]:
 # --- trees
 
 
-def _children(members: DataFrame, roots: bool) -> DataFrame:
-    """(node, rep) of the next level. A node's coordinates depend on the node alone."""
+def _roots(sets: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            nodes = [np.frombuffer(r, np.int64) for r in pdf["roots"]]
+            yield pd.DataFrame({"node": np.concatenate([*nodes, np.zeros(0, np.int64)]), "rep": pdf["rep"].repeat([len(n) for n in nodes]).to_numpy()})
+
+    return sets.select("rep", "roots").mapInPandas(run, f"node bigint, rep {sets.schema['rep'].dataType.simpleString()}")
+
+
+def _children(members: DataFrame) -> DataFrame:
+    """(node, rep) of the next level. A node's coordinates depend on the node alone; there is one at least, as it must shrink."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chosen: dict[int, np.ndarray] = {}
         for pdf in batches:
-            values = np.array([np.frombuffer(s, np.uint16) for s in pdf["sketch"]]).reshape(-1, SKETCH)
             nodes, reps = [], []
-            starts = [np.arange(TREES, dtype=np.int64)] * len(pdf) if roots else pdf["node"].to_numpy()[:, None]
-            for i, v in enumerate(values):
-                for node in starts[i]:
-                    if (at := chosen.get(node)) is None:
-                        dice = np.random.default_rng([int(node) & 0xFFFFFFFF, int(node) >> 32 & 0xFFFFFFFF, 7]).random(SKETCH)
-                        at = np.flatnonzero(dice < 100 / (PERCENT * SKETCH))
-                        # a tree without a coordinate has none; a large node has one at least, as it must shrink
-                        at = chosen[int(node)] = at if len(at) or roots else np.array([int(dice.argmin())])
-                    for c in at:
-                        nodes.append(xxhash.xxh3_64_intdigest(b"%d %d %d" % (node, c, v[c])) - 2**63)
-                        reps.append(i)
+            for i, (node, s) in enumerate(zip(pdf["node"].tolist(), pdf["sketch"])):
+                if (at := chosen.get(node)) is None:
+                    dice = np.random.default_rng([node & 0xFFFFFFFF, node >> 32 & 0xFFFFFFFF, 7]).random(SKETCH)
+                    at = np.flatnonzero(dice < 100 / (PERCENT * SKETCH))
+                    at = chosen[node] = at if len(at) else np.array([int(dice.argmin())])
+                v = np.frombuffer(s, np.uint16)
+                for c in at:
+                    nodes.append(xxhash.xxh3_64_intdigest(b"%d %d %d" % (node, c, v[c])) - 2**63)
+                    reps.append(i)
             yield pd.DataFrame({"node": np.array(nodes, np.int64), "rep": pdf["rep"].to_numpy()[reps] if reps else pdf["rep"].iloc[:0]})
 
     return members.mapInPandas(run, f"node bigint, rep {members.schema['rep'].dataType.simpleString()}")
 
 
 def tree_nodes(sets: DataFrame, node: int = NODE, depth: int = DEPTH) -> DataFrame:
-    """(node, rep) with 2 to `node` sets in each node; sets: rep and sketch."""
-    members, small = _children(sets, True), None
+    """(node, rep) with 2 to `node` sets in each node; sets: rep, sketch and roots."""
+    members, small = _roots(sets), None
     for level in range(depth + 1):
-        members = written(members.distinct() if level else members, "nodes")
+        members = written(members.distinct(), "nodes") if level else members
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized = written(members.join(sizes, "node"), "nodes")
         fit = sized.where(F.col("n") <= node).select("node", "rep")
@@ -177,7 +192,7 @@ def tree_nodes(sets: DataFrame, node: int = NODE, depth: int = DEPTH) -> DataFra
         if large.isEmpty():
             return small
         if level < depth:
-            members = _children(large.join(sets, "rep").select("node", "rep", "sketch"), False)
+            members = _children(large.join(sets, "rep").select("node", "rep", "sketch"))
     # What does not shrink is cut into blocks, and every two blocks are a node.
     blocks = F.ceil(2 * F.col("n") / node).cast("int")
     cut = large.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -267,8 +282,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, key: str = "doc_id", te
     every = written(_sets(docs, words), "sets")
     kind = every.schema["doc_id"].dataType.simpleString()
     known = every.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    sets = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")), "reps")
-    nodes = written(tree_nodes(sets.select("rep", "sketch")), "nodes")
+    sets = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots"), F.first("n_shingles").alias("n")), "reps")
+    nodes = written(tree_nodes(sets.select("rep", "sketch", "roots")), "nodes")
     likely = _grouped(nodes.join(sets.select("rep", "sketch"), "rep"), "node", _likely, f"a {kind}, b {kind}")
     groups = components(likely)
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -292,7 +307,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, key: str = "doc_id", te
     links = _grouped(packed.join(met, "rep"), "grp", _confirmed, f"a {kind}, b {kind}")
     found = components(links)
     folded = sets.select("digest", "rep").join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = every.drop("sketch").join(folded, "digest", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    out = every.drop("sketch", "roots").join(folded, "digest", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
