@@ -6,16 +6,20 @@ import corpus_pipeline
 from tijolo.llm.decontamination import OP1_SQL, op1_decontamination
 from tijolo.llm.fingerprints import op3_fingerprints
 from tijolo.llm.language import op9_language
+from tijolo.llm.language_model import op2_language_model
 from tijolo.llm.mixing import op8_mixing
 from tijolo.llm.near_duplicates import op6_near_duplicates
+from tijolo.llm.repeats import op5_suffix_dedup
 from tijolo.llm.sharding import op4_sharding
 from tijolo.llm.toxicity import op10_toxicity
 from tijolo.llm.warc import op7_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_language_model": op2_language_model,
     "op3_fingerprints": op3_fingerprints,
     "op4_sharding": op4_sharding,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
