@@ -244,6 +244,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     ends = F.concat(F.transform(F.slice("start", 2, F.greatest(F.size("start"), F.lit(1))), lambda s: s - 1), F.array("last"))
     rows = anchored.select("own", F.explode(F.arrays_zip("start", ends.alias("stop"), "anchor", "ctx")).alias("r")).select("own", "r.*")
     shared = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("of")).where("of > 1").select("anchor")
+    shared = written(shared, "repeat-shared")  # a table of its own, so that the join can split a hot anchor
     rows = written(rows.join(shared, "anchor", "left_semi"), "repeat-contexts")
     folded = written(rows.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("own", "start", "stop")).alias("one")), "repeat-folded")
     several = folded.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor")
