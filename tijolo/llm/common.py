@@ -42,3 +42,12 @@ def size_in_bytes(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Rows of an Arrow batch where rows are whole texts, unless the session says otherwise: Python workers hold a batch at a time.
+BATCH_ROWS, _KEY = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_KEY) == "10000":  # Spark's default
+        spark.conf.set(_KEY, BATCH_ROWS)

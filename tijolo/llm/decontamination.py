@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tijolo.llm.common import LOWER, UPPER, table, written
+from tijolo.llm.common import LOWER, UPPER, small_batches, table, written
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -118,6 +118,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "te
     of lower-cased ASCII letters, digits and anything beyond ASCII. Null or empty text has no words; an item with
     a null id marks words but is not listed; repeated items count once; an empty benchmark hits nothing.
     """
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tijolo.llm.common import table, written
+from tijolo.llm.common import small_batches, table, written
 
 #: Labelled texts a language, at most, that the classifier is fitted on, those with the least hash of the key.
 SAMPLE = 1000
@@ -129,6 +129,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     Null, empty or letterless text is `und` with score 0 and is rejected, as is every text if nothing was learned.
     Other texts carry the nearest language even if rejected for their distance. Ties go to the first language.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages * CENTROIDS * DIM
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tijolo.llm.common import partitions, table, written
+from tijolo.llm.common import partitions, small_batches, table, written
 
 WORDS, PERCENT = 5, 80
 SKETCH, TREES, DEPTH, NODE = 64, 14, 6, 2048
@@ -39,7 +39,7 @@ class _Words(dict):
     """64-bit hashes of words; forgets all when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -278,6 +278,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, key: str = "doc_id", te
     equal sets are one component, so repeated rows are too: rows that repeat an id have one result each, all alike.
     A row with a null id has n_shingles, a null component and is kept; it links nothing. Other columns are dropped.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     every = written(_sets(docs, words), "sets")
     kind = every.schema["doc_id"].dataType.simpleString()
