@@ -302,7 +302,7 @@ def score_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk
     path = fresh_path(spark, "lm-counts")
     asked = _grouped(_ask(chunks, n), "bucket", _count, "bucket int, chunk bigint, keys binary, counts binary, owner binary, stats array<bigint>")
     asked.withColumn("kind", F.when(F.col("chunk") >= 0, "answers").when(F.col("bucket") < 2 * n, "words").otherwise("pairs")).write.partitionBy("kind").parquet(path)
-    counted = spark.read.parquet(path)
+    counted = spark.read.schema("bucket int, chunk bigint, keys binary, counts binary, owner binary, stats array<bigint>, kind string").parquet(path)
     tables = counted.where(F.col("kind") != "answers")
     of = lambda i: F.sum(F.col("stats")[i]).alias(f"s{i}")
     stats = {1 if r["kind"] == "words" else 2: [r[f"s{i}"] for i in range(GT + 3)] for r in tables.groupBy("kind").agg(*[of(i) for i in range(GT + 3)]).collect()}
