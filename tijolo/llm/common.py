@@ -44,10 +44,12 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Rows of an Arrow batch where rows are whole texts, unless the session says otherwise: Python workers hold a batch at a time.
-BATCH_ROWS, _KEY = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of an Arrow batch where rows are whole texts, unless the session says otherwise: Python workers hold a batch at a time.
+_ARROW = "spark.sql.execution.arrow."
+BATCHES = {f"{_ARROW}maxRecordsPerBatch": ("10000", "1000"), f"{_ARROW}maxBytesPerBatch": ("67108864b", "16m")}  # Spark's default, ours
 
 
 def small_batches(spark: SparkSession) -> None:
-    if spark.conf.get(_KEY) == "10000":  # Spark's default
-        spark.conf.set(_KEY, BATCH_ROWS)
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
