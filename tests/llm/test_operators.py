@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tests.test_queries import TABLES, rows
-from tijolo.llm import decontamination, fingerprints, language, language_model, mixing, near_duplicates, repeats, sharding, toxicity, warc
+from tijolo.llm import catalog, decontamination, fingerprints, language, language_model, mixing, near_duplicates, repeats, sharding, toxicity, warc
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 DOCS = [(1, None, "en", None, 0), (2, "", "en", "a", 0), (3, " \n ", None, "a", 3), (None, "one two", "fr", "b", 7), (5, "x " * 500, "en", "a", 1000), (5, "x " * 500, "en", "a", 1000), (6, "A b c d e f g h", "en", "b", 15)]
@@ -38,11 +38,12 @@ def texts(spark):
     return {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
 
 
-def test_decontamination_equals_sql(spark):
+@pytest.mark.parametrize("name", sorted(n for n in catalog.ORACLES if n != "pipeline"))
+def test_equals_sql(spark, name):
     con = duckdb.connect()
     for t in [*TABLES, "benchmark"]:
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
-    assert rows(decontamination.op1_decontamination(spark, DATA).toPandas()) == rows(con.sql(decontamination.OP1_SQL).df())
+    assert rows(catalog.QUERIES[name](spark, DATA).toPandas()) == rows(con.sql(catalog.ORACLES[name]).df())
 
 
 def test_decontamination_cuts_spans(spark, monkeypatch):

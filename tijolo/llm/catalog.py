@@ -8,11 +8,11 @@ from tijolo.llm.fingerprints import op3_fingerprints
 from tijolo.llm.language import op9_language
 from tijolo.llm.language_model import op2_language_model
 from tijolo.llm.mixing import op8_mixing
-from tijolo.llm.near_duplicates import op6_near_duplicates
-from tijolo.llm.repeats import op5_suffix_dedup
+from tijolo.llm.near_duplicates import OP6_SQL, op6_near_duplicates
+from tijolo.llm.repeats import OP5_SQL, op5_suffix_dedup
 from tijolo.llm.sharding import op4_sharding
 from tijolo.llm.toxicity import op10_toxicity
-from tijolo.llm.warc import op7_warc
+from tijolo.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
@@ -27,6 +27,6 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_decontamination": OP1_SQL}
+ORACLES = {"op1_decontamination": OP1_SQL, "op5_suffix_dedup": OP5_SQL, "op6_near_duplicates": OP6_SQL, "op7_warc": OP7_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

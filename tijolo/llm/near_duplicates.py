@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tijolo.llm.common import partitions, small_batches, table, written
+from tijolo.llm.common import LOWER, UPPER, partitions, small_batches, table, written
 
 WORDS, PERCENT = 5, 80
 SKETCH, TREES, DEPTH, NODE = 64, 14, 6, 2048
@@ -314,3 +314,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, key: str = "doc_id", te
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
+OP6_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(doc_id, low) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, c.low FROM c JOIN e ON e.a = c.doc_id WHERE c.low < e.b)
+SELECT d.doc_id, coalesce(max(n), 0) AS n_shingles, min(low) AS component_id, d.doc_id = min(low) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id
+"""
