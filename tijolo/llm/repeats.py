@@ -238,7 +238,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
                     starts, anchors, digests = contexts(raw, length)
                     for name, v in zip(out, (k, len(raw) - length, starts, anchors, digests)):
                         out[name].append(v)
-            yield pd.DataFrame(out)
+            if out["own"]:  # an empty list column has no type that Arrow takes
+                yield pd.DataFrame(out)
 
     anchored = written(docs.select("own", "text").mapInPandas(anchor, "own binary, last int, start array<int>, anchor array<bigint>, ctx array<bigint>"), "repeat-anchors")
     ends = F.concat(F.transform(F.slice("start", 2, F.greatest(F.size("start"), F.lit(1))), lambda s: s - 1), F.array("last"))
