@@ -170,7 +170,7 @@ def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST_BYTES, id_type: str = "bigint") -> None:
-    """WARC archives of the ARC archives under arc_path, one for one.
+    """WARC archives of the ARC archives under arc_path, one for one; an archive without records gives none.
 
     Of records with equal payloads of at least `least` bytes, the one with the smallest page id (read as
     id_type) is a response and the others revisit it; records without an id, and rows repeated with the id of
@@ -200,7 +200,9 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEA
         for pdf in batches:
             for content, rows in zip(pdf["content"], pdf["again"]):
                 revisits = {r["page"]: (r["of"], r["record"]) for r in (rows if rows is not None else [])}
-                yield pd.DataFrame({"content": [b"".join(warc_record(r, revisits) for r in read_arc(_opened(content)))[:-1]]})
+                records = b"".join(warc_record(r, revisits) for r in read_arc(_opened(content)))
+                if records:  # an empty partition leaves an empty ARC file
+                    yield pd.DataFrame({"content": [records[:-1]]})
 
     # an archive's list is no longer than the archive
     _save(arcs.join(again, "path", "left").select("content", "again").mapInPandas(rewrite, "content binary"), warc_path)
