@@ -229,3 +229,41 @@ def test_toxicity_held_out(spark, none):
     assert (said & (got["y"] == 1)).sum() > 0.85 * (got["y"] == 1).sum() and (said & (got["y"] == 0)).sum() < 0.02 * len(got)
     empty = toxicity.fit(none.select("doc_id", "text").withColumn("toxic", F.lit(1)), ["toxic"])
     assert toxicity.score(spark.createDataFrame([(1, None)], "doc_id long, text string"), empty).first().p_toxic == 0.5
+
+
+def test_decontamination_of_odd_rows(spark, odd, none):
+    items = spark.createDataFrame([(1, "A b c d e"), (1, "A b c d e"), (2, None), (3, " ")], "item_id long, text string")
+    got = decontamination.find(odd, items).collect()
+    assert len(got) == len(DOCS) and {(r.doc_id, tuple(r._items)) for r in got if r._items} == {(6, ("1",))}
+    assert decontamination.find(none, items).count() == 0 and decontamination.decontaminate(odd, items.limit(0)).count() == len(DOCS)
+    assert decontamination.decontaminate(odd, items).columns == odd.columns
+
+
+def test_repeats_of_odd_rows(odd, none):
+    got = repeats.remove_repeats(odd, length=100).collect()
+    assert len(got) == len(DOCS) and repeats.remove_repeats(none).count() == 0
+    assert {bytes(r.kept) for r in got if r.doc_id == 5} == {b""} and [bytes(r.kept) for r in got if r.doc_id in (1, 2)] == [b"", b""]
+
+
+def test_archives_of_no_pages(spark, tmp_path):
+    df = spark.createDataFrame([], "page_id long, url string, html string, path string")
+    a, w = str(tmp_path / "a"), str(tmp_path / "w")
+    warc.write_arc(df, a)
+    warc.convert(spark, a, w)
+    assert warc.read(spark, w).count() == 0
+
+
+def test_toxicity_of_odd_rows(odd, none):
+    model = toxicity.fit(odd.withColumn("toxic", F.when(F.col("doc_id") > 2, F.col("doc_id") % 2)), ["toxic"])
+    got = toxicity.score(odd, model)
+    assert got.columns == [*odd.columns, "p_toxic"] and all(0 <= r.p_toxic <= 1 for r in got.collect()) and toxicity.score(none, model).count() == 0
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"word{i % 7919}x{i % 31}" for i in range(300_000))
+    df = spark.createDataFrame([(1, long, "en", "a", len(long)), (2, long + " end", "en", "a", len(long) + 4)], SCHEMA)
+    items = spark.createDataFrame([(7, long[-400:])], "item_id long, text string")
+    assert [r._n_words for r in decontamination.find(df, items).orderBy("doc_id").collect()] == [300_000, 300_001]
+    assert {r.component_id for r in near_duplicates.near_duplicates(df).collect()} == {1}
+    assert all(len(r.kept) < 400 for r in repeats.remove_repeats(df).collect())
+    assert language_model.score_corpus(df)[0].count() == language.identify(df, language.fit(df)).count() == 2

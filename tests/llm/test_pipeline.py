@@ -10,3 +10,22 @@ def test_pipeline(spark):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, DATA)
     assert kept.count() == kept.select("doc_id").distinct().count() < docs.count()
     assert corpus_pipeline.run(spark, DATA).select("shard").distinct().count() == 8
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, copies int, rejected boolean, shard int"
+ODD = [
+    (1, None, None, None, None), (2, "", "en", "a", 0), (None, "the cat sat on the mat and looked at the dog", "en", None, 44), (3, "the cat sat on the mat and looked at the dog", "en", "a", 44),
+    (3, "the cat sat on the mat and looked at the dog", "en", "a", 44), (4, "a dog ran over the hill to find the old red house", "en", "b", 49), (5, "12 34 !", None, "b", 7),
+]
+
+
+def test_stages_of_odd_rows(spark):
+    docs = spark.createDataFrame([(*r, 1, True, 2) for r in ODD], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, DATA).columns == docs.columns, name
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "3", "4", "5", "None"]
+    assert corpus_pipeline.identify_language(spark, docs, DATA).where("doc_id in (1, 2, 5)").isEmpty()
+    assert corpus_pipeline.decontaminate(spark, docs, DATA).count() == len(ODD)
+    assert corpus_pipeline.deal_shards(spark, docs, DATA).count() == len(ODD)
