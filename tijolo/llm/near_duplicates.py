@@ -1,11 +1,11 @@
 """Operator 6: near-duplicate documents by a chosen-path similarity join.
 
 Documents are sets of word shingles; equal sets are first folded into one. Each set has SKETCH minwise
-values. A tree chooses coordinates at random, each with probability 1 / (similarity * SKETCH), and sends a
-set to one node for each chosen coordinate, named by its value there; nodes over NODE sets choose again
-(up to DEPTH times) and what is still over NODE is compared block by block. Small nodes are compared
-exhaustively by sketch and yield a spanning forest of likely links, not all pairs. TREES independent trees
-miss a link at the threshold with probability exp(-TREES), about 1e-6.
+values. Each of TREES trees sends a set to one root node, named by its value at a coordinate that no other tree
+has. Nodes over NODE sets choose coordinates at random, each with probability 1 / (similarity * SKETCH) and one
+at least, and send a set to one node for each (up to DEPTH times); what is still over NODE is compared block by
+block. Small nodes are compared exhaustively by sketch and yield a spanning forest of likely links, not all pairs.
+A link at the threshold is missed with a probability of 9e-7 if its nodes branch on all DEPTH levels, else less.
 
 Likely links join sets into groups; a link is confirmed on full sets. A group of at most NODE sets meets in
 one task and all its pairs are tried; of a larger group, each tree node that it has is tried so. Confirmed
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tijolo.llm.common import LOWER, UPPER, partitions, small_batches, table, written
 
 WORDS, PERCENT = 5, 80
-SKETCH, TREES, DEPTH, NODE = 64, 14, 6, 2048
+SKETCH, TREES, DEPTH, NODE = 64, 42, 6, 2048
 #: Share of sketch values in which likely links agree: a pair at 0.8 falls below with probability under 1e-8.
 LIKELY = 0.5
 
@@ -59,8 +59,8 @@ def shingles(text: str | None, n: int, hashes: _Words) -> np.ndarray:
     return np.unique(out)
 
 
-#: The coordinates that each tree chooses at its root, each with probability 1 / (similarity * SKETCH).
-_ROOTS = [(t, c) for t in range(TREES) for c in np.flatnonzero(np.random.default_rng([t, 7]).random(SKETCH) < 100 / (PERCENT * SKETCH))]
+#: The coordinate at the root of each tree; no two trees have the same.
+_ROOTS = list(enumerate(np.random.default_rng(7).permutation(SKETCH)[:TREES].tolist()))
 _ROOT_AT = np.array([c for _, c in _ROOTS])
 _ROOT_MIX = np.array([xxhash.xxh3_64_intdigest(f"root {t} {c}") for t, c in _ROOTS], np.uint64)
 
@@ -159,20 +159,29 @@ def _roots(sets: DataFrame) -> DataFrame:
     return sets.select("rep", "roots").mapInPandas(run, f"node bigint, rep {sets.schema['rep'].dataType.simpleString()}")
 
 
+def chosen(node: int) -> np.ndarray:
+    """Coordinates that a node chooses; they depend on the node alone. There is one at least, as it must shrink."""
+    dice = np.random.default_rng([node & 0xFFFFFFFF, node >> 32 & 0xFFFFFFFF, 7]).random(SKETCH)
+    at = np.flatnonzero(dice < 100 / (PERCENT * SKETCH))
+    return at if len(at) else np.array([int(dice.argmin())])
+
+
+def child(node: int, coordinate: int, value: int) -> int:
+    return xxhash.xxh3_64_intdigest(b"%d %d %d" % (node, coordinate, value)) - 2**63
+
+
 def _children(members: DataFrame) -> DataFrame:
-    """(node, rep) of the next level. A node's coordinates depend on the node alone; there is one at least, as it must shrink."""
+    """(node, rep) of the next level."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chosen: dict[int, np.ndarray] = {}
+        known: dict[int, np.ndarray] = {}
         for pdf in batches:
             nodes, reps = [], []
             for i, (node, s) in enumerate(zip(pdf["node"].tolist(), pdf["sketch"])):
-                if (at := chosen.get(node)) is None:
-                    dice = np.random.default_rng([node & 0xFFFFFFFF, node >> 32 & 0xFFFFFFFF, 7]).random(SKETCH)
-                    at = np.flatnonzero(dice < 100 / (PERCENT * SKETCH))
-                    at = chosen[node] = at if len(at) else np.array([int(dice.argmin())])
+                if (at := known.get(node)) is None:
+                    at = known[node] = chosen(node)
                 v = np.frombuffer(s, np.uint16)
                 for c in at:
-                    nodes.append(xxhash.xxh3_64_intdigest(b"%d %d %d" % (node, c, v[c])) - 2**63)
+                    nodes.append(child(node, c, v[c]))
                     reps.append(i)
             yield pd.DataFrame({"node": np.array(nodes, np.int64), "rep": pdf["rep"].to_numpy()[reps] if reps else pdf["rep"].iloc[:0]})
 
