@@ -39,7 +39,7 @@ def word_features(word: str) -> list[int]:
 def shape_features(text: str, words: list[str], distinct: int) -> list[int]:
     n = max(1, len(text))
     letters = sum(map(len, words))
-    upper = sum(w.isupper() for w in words[:: max(1, len(words) // 500)]) / max(1, min(len(words), 500))
+    upper = sum(map(str.isupper, words)) / max(1, len(words))
     classes = (("letters", int(10 * letters / n)), ("upper", int(5 * upper)), ("repeats", int(10 * distinct / max(1, len(words)))), ("length", n.bit_length()))
     return [xxhash.xxh3_64_intdigest(f"s:{k}:{v}") >> 1 for k, v in classes]
 
