@@ -14,6 +14,9 @@ RULES = [
     ("yearly_sale", "var. em 12 meses", 1), ("yearly_rent", "var. em 12 meses", 2), ("rent_yield", "rentabilidade do aluguel", 1),
 ]
 
+#: Other texts that count as those of the rules; U+FFFD is a letter lost in a wrong encoding.
+ALSO = {"r$/m": ["preco medio", "pre\ufffdo m\ufffddio", "preco m\ufffddio"], "var. mensal": ["var mensal"], "var. em 12 meses": ["var em 12 meses"], "rentabilidade do aluguel": ["rental yield"]}
+
 
 def cells(lines: DataFrame, width: int = WIDTH) -> DataFrame:
     """(file, record, column, text) from (file, record, line)."""
@@ -35,19 +38,33 @@ def headings(cell: DataFrame) -> DataFrame:
 
 
 def columns(heading: DataFrame) -> DataFrame:
-    """(file, column, output): the date column and those that the rules name; the first rule that a heading meets counts."""
-    found = heading.select("file", "column", "heading", F.lit(None).cast("string").alias("rule"))
+    """(file, column, output): the date column and those that the rules name; the first rule that a heading meets counts.
+
+    The date is the first column headed `data`, else the first whose heading holds it, else the second column. Without a
+    price column, the first other column with a heading that lacks `total` is it, else the last one.
+    """
+    text = F.col("heading")
+    word = (text == "data") | text.endswith(" data") | text.startswith("data ")
+    rank = F.when(word, 0).when(text.contains("data"), 1)
+    dated = heading.groupBy("file").agg(F.coalesce(F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), "column")))["column"], F.lit(1)).alias("date"))
     rule = F.lit(None).cast("string")
     for pattern in reversed(list(dict.fromkeys(p for _, p, _ in RULES))):
-        rule = F.when(F.col("heading").contains(pattern), pattern).otherwise(rule)
-    date = (F.col("heading") == "data") | F.col("heading").endswith(" data") | F.col("heading").startswith("data ")
-    found = found.withColumn("rule", F.when(date, "date").otherwise(rule)).where(F.col("rule").isNotNull())
-    lists = found.groupBy("file", "rule").agg(F.array_sort(F.collect_list("column")).alias("at"))  # a file has few columns
+        hit = text.contains(pattern)
+        for other in ALSO.get(pattern, []):
+            hit = hit | text.contains(other)
+        rule = F.when(hit, pattern).otherwise(rule)
+    others = heading.join(dated, "file").where("column <> date").select("file", "column", "heading", rule.alias("rule"))
+    lists = others.where(F.col("rule").isNotNull()).groupBy("file", "rule").agg(F.array_sort(F.collect_list("column")).alias("at"))  # a file has few columns
     out = F.lit(None).cast("string")
     numbered = lists.select("file", "rule", F.posexplode("at").alias("nth", "column"))
     for name, pattern, nth in RULES:
         out = F.when((F.col("rule") == pattern) & (F.col("nth") == nth - 1), name).otherwise(out)
-    return numbered.select("file", "column", F.when((F.col("rule") == "date") & (F.col("nth") == 0), "date").otherwise(out).alias("output")).where(F.col("output").isNotNull())
+    named = numbered.select("file", "column", out.alias("output")).where(F.col("output").isNotNull())
+    price, _, _ = RULES[0]
+    priced = F.coalesce(F.bool_or(F.col("rule") == RULES[0][1]), F.lit(False))
+    spare = others.groupBy("file").agg(priced.alias("priced"), F.coalesce(F.min(F.when(~text.contains("total"), F.col("column"))), F.max("column")).alias("column"))
+    spare = spare.where("NOT priced").select("file", "column", F.lit(price).alias("output"))
+    return dated.select("file", F.col("date").alias("column"), F.lit("date").alias("output")).unionByName(named).unionByName(spare)
 
 
 def load(lines: DataFrame, width: int = WIDTH) -> DataFrame:
