@@ -129,8 +129,16 @@ def test_repeats(spark, most):
     docs = ["".join(rng.choice("abcdef") for _ in range(rng.randint(0, 90))) + shared[rng.randint(0, 60) : rng.randint(80, 150)] + "".join(rng.choice("abcdef") for _ in range(50)) for _ in range(40)]
     docs += ["ab" * 200, "ab" * 37, "", docs[0]]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)] + [(99, None)], "doc_id long, text string")
-    got = {r.doc_id: bytes(r.kept) for r in repeats.remove_repeats(df, length=40, most=most).collect()}
+    found = {r.doc_id: r for r in repeats.remove_repeats(df, length=40, most=most).collect()}
+    got = {i: bytes(r.kept) for i, r in found.items()}
     assert [got[i] for i in range(len(docs))] == list(brute_repeats([t.encode() for t in docs], 40)) and got[99] == b""
+    shared = [sum(s.e - s.s for s in found[i].shared) for i in range(len(docs))]
+    assert shared == [len(t) - len(k) for t, k in zip(docs, brute_repeats([t.encode() for t in docs], 24))]
+
+
+def test_contexts_that_can_repeat():
+    parts = [b"xxxx" + b"anchor" + b"yyyy", b"zxxx" + b"anchor" + b"yyqq", b"qqqq" + b"anchor" + b"wwww"]
+    assert repeats.can_repeat(parts, [4, 4, 4], 11) == [True, True, False] and repeats.can_repeat(parts, [4, 4, 4], 12) == [False] * 3
 
 
 def test_suffix_array():
@@ -138,6 +146,8 @@ def test_suffix_array():
     for _ in range(100):
         raw = bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 200)))
         assert repeats.suffix_array(raw).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+        wanted = np.array([rng.random() < 0.3 for _ in raw])
+        assert [i for i in repeats.suffix_array(raw, wanted=wanted).tolist() if wanted[i]] == [i for i in sorted(range(len(raw)), key=lambda i: raw[i:]) if wanted[i]]
 
 
 def brute_components(docs, n):
