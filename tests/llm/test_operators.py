@@ -73,14 +73,51 @@ def test_language_model_sums_to_one():
         assert abs(p + weight[0] * (1 - sum(p1[w] for w in seen)) - 1) < 1e-9
 
 
+def test_discounts():
+    even = [5040 // (r * (r + 1)) for r in range(1, 7)]
+    assert language_model.good_turing(even)[1] == "katz 5" and language_model.good_turing([45803, 5857, 1222, 308, 371, 88])[1] == "katz 3"
+    smoothed, how = language_model.good_turing([100, 0, 5, 2, 1, 1])
+    assert how == "smoothed" and all(0 < x < 1 for x in smoothed[1:6]) and smoothed[6] == 1
+    assert language_model.good_turing([0] * 6)[1] == language_model.good_turing([0, 0, 7, 0, 0, 0])[1] == "fixed"
+
+
 def test_language_model_counts(spark, odd, none):
-    scores = language_model.score_corpus(spark.read.parquet(f"{DATA}/documents.parquet"), chunk_tokens=5000)[0].collect()
+    scored, _, _, model = language_model.score_corpus(spark.read.parquet(f"{DATA}/documents.parquet"), chunk_tokens=5000)
+    scores = scored.collect()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("chunks_")]
     tok = lambda t: re.findall(r"[^\x20\x09-\x0D]+", low(t)) + [0]
     docs = texts(spark)
     c = Counter(w for i, t in docs.items() if zlib.crc32(str(i).encode()) % 10 for w in tok(t))
     n, v = sum(c.values()), len(c)
+    pairs = Counter(x for i, t in docs.items() if zlib.crc32(str(i).encode()) % 10 for x in zip([1, *tok(t)], tok(t)))
+    # Katz's discounts for counts up to 3, written out; up to 4 and 5 one of them is above 1 on these texts
+    discount = []
+    for counts in (c, pairs):
+        m = Counter(counts.values())
+        cut = 4 * m[4] / m[1]
+        discount.append({k: ((k + 1) * m[k + 1] / (k * m[k]) - cut) / (1 - cut) for k in (1, 2, 3)})
+    assert model.how1 == model.how2 == "katz 3"
+    d = lambda level, k: discount[level].get(k, 1.0)
+    unseen = 1 - sum(d(0, k) * k for k in c.values()) / n
+    p1 = lambda x: d(0, c[x]) * c[x] / n if c[x] else unseen
+    total, kept, below = Counter(), Counter(), Counter()
+    for (h, x), k in pairs.items():
+        total[h] += k
+    lost = Counter()
+    for (h, x), k in pairs.items():
+        kept[h] += d(1, k) * k
+        lost[h] += (1 - d(1, k)) * k
+        below[h] += p1(x)
+
+    def p2(h, x):
+        size = total[h] + (lost[h] < 1e-9)
+        if pairs[h, x]:
+            return d(1, pairs[h, x]) * pairs[h, x] / size
+        return p1(x) * ((1 - kept[h] / size) / (1 - below[h]) if total[h] else 1)
+
     for r in scores:
         w = tok(docs[r.doc_id])
+        assert abs(r.score - sum(np.log10(p2(h, x)) for h, x in zip([1, *w], w))) < 1e-6 * max(1, len(w))
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
         assert abs(r.base_score - sum(np.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) < 1e-6
     assert language_model.score_corpus(odd)[0].count() == len(DOCS)

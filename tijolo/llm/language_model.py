@@ -7,7 +7,7 @@ its backoff weight, are kept in tables partitioned by kind and hash range, and a
 
 P(w | h) = d(c) c(hw) / C(h) if the pair was seen, else backoff(h) P(w); P(w) = d(c) c(w) / N, or the mass that
 discounting leaves if w was not seen; a history that was not seen has P(w | h) = P(w). d is the Good-Turing
-discount of counts up to GT. backoff(h) = (1 - sum of P(w | h) of seen pairs) / (1 - sum of P(w) of their words)
+discount of counts up to GT, of words and pairs each from their own counts of counts. backoff(h) = (1 - sum of P(w | h) of seen pairs) / (1 - sum of P(w) of their words)
 makes each history sum to 1 exactly: the sums are kept as whole numbers. Where discounting leaves nothing,
 one is added to C(h) or N. A text is scored from a start mark to an end, which is a token like others.
 """
@@ -169,26 +169,36 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["bucket", "chunk", "keys", "counts", "owner", "stats"])
 
 
-def good_turing(counts_of_counts: list[int]) -> np.ndarray:
-    """Discounts of counts 0 to GT + 1 (1 from there on). Katz's form if all are between 0 and 1, else 1 - 1 / (2 r)."""
+def good_turing(counts_of_counts: list[int]) -> tuple[np.ndarray, str]:
+    """Discounts of counts 0 to GT + 1 (1 from there on), and how they were found.
+
+    `katz k`: Katz's form for counts up to k, the largest k of GT or less at which all discounts are between 0 and 1; counts
+    above k are reliable and not discounted. If there is none, `smoothed`: the Good-Turing discounts of a line fitted to
+    the logarithms of the counts of counts, (1 + 1 / r) to the power of its slope + 1. If its slope is not below -1, or two
+    counts of counts are 0 so that there is no line, the counts tell nothing and 1 - 1 / (2 r) is taken: `fixed`.
+    """
     n = [0, *counts_of_counts]
-    out = np.ones(GT + 2)
-    if all(n[1 : GT + 2]):
-        cut = (GT + 1) * n[GT + 1] / n[1]
-        if cut != 1:
-            for r in range(1, GT + 1):
-                out[r] = ((r + 1) * n[r + 1] / (r * n[r]) - cut) / (1 - cut)
-    if not all(0 < d < 1 for d in out[1 : GT + 1]):
-        out[1 : GT + 1] = [1 - 0.5 / r for r in range(1, GT + 1)]
-    return out
+    for k in range(min(GT, len(n) - 2), 1, -1):
+        if all(n[1 : k + 2]) and (cut := (k + 1) * n[k + 1] / n[1]) != 1:
+            out = np.ones(GT + 2)
+            out[1 : k + 1] = [((r + 1) * n[r + 1] / (r * n[r]) - cut) / (1 - cut) for r in range(1, k + 1)]
+            if all(0 < d < 1 for d in out[1 : k + 1]):
+                return out, f"katz {k}"
+    out, r = np.ones(GT + 2), np.arange(1, GT + 1)
+    some = [i for i in range(1, len(n)) if n[i]]
+    if len(some) > 1 and (slope := np.polyfit(np.log(some), np.log([n[i] for i in some]), 1)[0]) < -1:
+        out[1 : GT + 1] = (1 + 1 / r) ** (slope + 1)
+        return out, "smoothed"
+    out[1 : GT + 1] = 1 - 0.5 / r
+    return out, "fixed"
 
 
 class Model:
-    """Discounts and totals, a few numbers; the counts stay in the tables."""
+    """Discounts of words and pairs (d1, d2), how they were found (how1, how2) and totals, a few numbers; the counts stay in the tables."""
 
     def __init__(self, stats: dict[int, list[int]]):
         one, two = (stats.get(k) or [0] * (GT + 3) for k in (1, 2))
-        self.d1, self.d2 = good_turing(one[: GT + 1]), good_turing(two[: GT + 1])
+        (self.d1, self.how1), (self.d2, self.how2) = good_turing(one[: GT + 1]), good_turing(two[: GT + 1])
         self.tokens, self.types = one[GT + 1], one[GT + 2]
         lost = sum((1 - self.d1[r]) * r * one[r - 1] for r in range(1, GT + 1))
         self.n1 = self.tokens + (lost < 1e-9)
@@ -286,9 +296,9 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def score_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk_tokens: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scores, counts, histories): scores of all rows by a model learned from the rows whose key is not held out, and
-    the model's tables, partitioned by kind or hash range: packed keys, counts, and backoff weights.
+def score_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk_tokens: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame, Model]:
+    """(scores, counts, histories, model): scores of all rows by a model learned from the rows whose key is not held out, and
+    the model's tables, partitioned by kind or hash range: packed keys, counts, and backoff weights; the discounts are in the model.
 
     Null or empty text is one token, the end. A row with a null key is learned from. Repeated rows count as often as
     they are there. Without a training row every word is unknown and has probability 1. Other columns are dropped.
@@ -299,6 +309,7 @@ def score_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk
     name = f"chunks_{uuid4().hex}"
     _chunks(rows, chunk_tokens).write.bucketBy(n, "chunk").option("path", fresh_path(spark, "lm-chunks")).saveAsTable(name)
     chunks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay; the catalogue keeps nothing
     path = fresh_path(spark, "lm-counts")
     asked = _grouped(_ask(chunks, n), "bucket", _count, "bucket int, chunk bigint, keys binary, counts binary, owner binary, stats array<bigint>")
     asked.withColumn("kind", F.when(F.col("chunk") >= 0, "answers").when(F.col("bucket") < 2 * n, "words").otherwise("pairs")).write.partitionBy("kind").parquet(path)
@@ -314,7 +325,7 @@ def score_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk
     sent = weighed.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "totals", "weights")).alias("histories"))
     light = counted.where(F.col("kind") == "answers").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts")).alias("got"))
     joined = chunks.join(light.hint("shuffle_merge"), "chunk").join(sent.hint("shuffle_merge"), "chunk")
-    return _evaluate(joined, model, n, rows.schema["doc_id"].dataType.simpleString()), tables, weighed.where("chunk < 0")
+    return _evaluate(joined, model, n, rows.schema["doc_id"].dataType.simpleString()), tables, weighed.where("chunk < 0"), model
 
 
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
