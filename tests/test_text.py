@@ -16,8 +16,8 @@ CASES = [
     (T.brazilian_date, [("31/12/2024", D(2024, 12, 31)), ("31/13/2024", None), ("", None)]),
     (T.iso_date, [("2024-01-02T23:00:00-03:00", D(2024, 1, 2)), ("2024-01-02", D(2024, 1, 2)), ("2024-01-02T00:00:00Z", D(2024, 1, 2)), ("", None)]),
     (T.period_frequency, [("20240102", "D"), ("202401", "M"), ("20241", "Q"), ("2024", "A"), ("1", "M")]),
-    (T.period_date, [("20240102", D(2024, 1, 2)), ("202402", D(2024, 2, 1)), ("20243", D(2024, 7, 1)), ("20249", D(2024, 1, 1)), ("2024", D(2024, 1, 1)), ("202413", None), ("1989", None), ("x", None)]),
-    (T.fold_accents, [("Construção MÊS", "construcao mes"), (None, None)]),
+    (T.period_date, [("20240102", D(2024, 1, 2)), ("202402", D(2024, 2, 1)), ("20243", D(2024, 7, 1)), ("20249", D(2024, 1, 1)), ("2024", D(2024, 1, 1)), ("202413", None), ("1989", None), ("x", None), ("2024-03", D(2024, 3, 1)), (" 2024/1 ", D(2024, 1, 1)), ("", None), (None, None)]),
+    (T.fold_accents, [("Construção MÊS", "construcao mes"), ("Ýpsilōn", "ypsilon"), ("e\u0301 n\u0303", "e n"), ("", ""), (None, None)]),
 ]
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +15,15 @@ MISSING = ["", "...", "-", "null", "None"]
 #: Words of an address that tell the kind of property, in order of precedence.
 KINDS = [("Apartamento", ["apartamento"]), ("Casa", ["casa", "sobrado"]), ("Terreno", ["terreno", "lote"])]
 OTHER = "Outro"
-ACCENTED, PLAIN = "áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn"
+
+
+def _plain(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+#: Characters that are another single one once compatibility decomposition has taken their marks off.
+ACCENTED = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if len(_plain(c)) == 1 and _plain(c) != c)
+PLAIN = "".join(map(_plain, ACCENTED))
 
 
 def _number(text: Column) -> Column:
@@ -76,17 +87,19 @@ def period_frequency(code: Column) -> Column:
 
 
 def period_date(code: Column, six_digit_quarter: bool = False) -> Column:
-    """Day, month, quarter or year code; years out of 1990-2035 and impossible dates are null."""
+    """Day, month, quarter or year code, of whose text only the digits count; years out of 1990-2035 and impossible dates are null."""
+    code = F.regexp_replace(code, "[^0-9]", "")
     n, year = F.length(code), F.substring(code, 1, 4)
     start = F.array(*[F.lit(m) for m in ("01", "04", "07", "10")])
     quarter = F.concat(year, F.coalesce(F.get(start, F.substring(code, -1, 1).try_cast("int") - 1), F.lit("01")))
     six = quarter if six_digit_quarter else code
     day = F.when(n == 8, F.try_to_date(code, "yyyyMMdd")).when(n == 6, F.try_to_date(six, "yyyyMM")).when(n == 5, F.try_to_date(quarter, "yyyyMM")).when(n == 4, F.try_to_date(F.concat(code, F.lit("01")), "yyyyMM"))
-    return F.when(code.rlike("^[0-9]+$") & F.year(day).between(1990, 2035), day)
+    return F.when(F.year(day).between(1990, 2035), day)
 
 
 def fold_accents(text: Column) -> Column:
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without accents, whether they are part of a letter or marks of their own."""
+    return F.lower(F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{Mn}+", ""))
 
 
 def is_missing(text: Column) -> Column:

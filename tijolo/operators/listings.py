@@ -12,22 +12,26 @@ KEY = ["address", "price", "area"]
 
 def typed(raw: DataFrame) -> DataFrame:
     return raw.select(
-        "id", "address", T.classify_kind(F.col("address")).alias("kind"), T.clean_price(F.col("price_text")).alias("price"), T.extract_number(F.col("area_text")).alias("area"),
+        "id", "address", T.clean_price(F.col("price_text")).alias("price"), T.extract_number(F.col("area_text")).alias("area"),
         *[T.extract_number(F.col(f"{c}_text")).cast("int").alias(c) for c in ("rooms", "baths", "parking")],
     )
 
 
 def dedup_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row for each key, nulls being equal: the first by `order`, then by the other columns. Aggregates on the map side."""
-    rest = [c for c in df.columns if c not in keys]
-    first = F.min(F.struct(order, *[c for c in rest if c != order])).alias("_first")
-    return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])
+    """One row for each key, nulls being equal: the first by `order`, which is unique in a key. Aggregates on the map side, by hash
+    as long as `order` and the other columns are numbers."""
+    rest = [c for c in df.columns if c not in (*keys, order)]
+    return df.groupBy(*keys).agg(F.min(order).alias(order), *[F.min_by(c, order).alias(c) for c in rest]).select(*keys, order, *rest)
 
 
 def clean(raw: DataFrame) -> DataFrame:
-    """Valid rows, once each. Validity depends on the key alone, so it is tested before rows are dealt out."""
-    valid = typed(raw).where(F.col("price").isNotNull() & F.col("area").isNotNull() & (F.col("area") > 0))
-    return dedup_first(valid, KEY, "id").withColumn("unit_price", F.bround(F.col("price") / F.col("area"), 2))
+    """Valid rows, once each. Validity and kind depend on the key alone: rows are tested before they are dealt out, and kinds are
+    found for the rows that stay. inline() keeps the optimizer from evaluating the texts again for the test."""
+    rows = typed(raw)
+    once = rows.select(F.inline(F.array(F.struct(*rows.columns))))
+    valid = once.where(F.col("price").isNotNull() & (F.col("area") > 0))
+    out = dedup_first(valid, KEY, "id")
+    return out.select(*out.columns, T.classify_kind(F.col("address")).alias("kind"), F.bround(F.col("price") / F.col("area"), 2).alias("unit_price"))
 
 
 def audit(raw: DataFrame) -> DataFrame:

@@ -14,6 +14,27 @@ def monthly(df: DataFrame, keys: list[str], date: str, value: str, method: str =
     return df.groupBy(*keys, F.trunc(F.col(date).cast("date"), "month").alias("month")).agg(agg.alias("value"))
 
 
+def ingest(rows: DataFrame, catalogue: DataFrame, seq: str = "seq") -> DataFrame:
+    """source, code, name, month (ISO text), value, unit, frequency: monthly values of all active series of the catalogue, each
+    resampled by its own method. A series that has no rows under its code takes those of its first fallback code that has
+    some, and is listed under the code that was used; months are of the frequency M, other attributes those of the catalogue."""
+    active = catalogue.where(F.coalesce("active", F.lit(True)))
+    tried = active.select("source", "code", F.concat(F.array("code"), F.coalesce("fallbacks", F.expr("cast(array() as array<string>)"))).alias("codes"))
+    used = first_found(tried, ["source", "code"], rows.groupBy("source", F.col("code").alias("found")).agg(F.count(F.lit(1)).alias("n")), "source")
+    months = rows.groupBy("source", F.col("code").alias("found"), F.trunc(F.col("date").cast("date"), "month").alias("month")).agg(
+        F.avg("value").alias("mean"), F.sum("value").alias("sum"), F.max_by("value", F.struct("date", seq)).alias("last"))
+    value = F.when(F.col("method") == "mean", F.col("mean")).when(F.col("method") == "sum", F.col("sum")).otherwise(F.col("last"))
+    named = months.join(used, ["source", "found"]).join(active.select("source", "code", "name", "method", "unit"), ["source", "code"])
+    return named.select("source", F.col("found").alias("code"), "name", F.col("month").cast("string").alias("month"), value.alias("value"), "unit", F.lit("M").alias("frequency"))
+
+
+def first_found(candidates: DataFrame, keys: list[str], counts: DataFrame, *shared: str) -> DataFrame:
+    """keys, rank, found and n: the first of each key's `codes` that counts (found, n, and the shared columns) has."""
+    ranked = candidates.select(*keys, F.posexplode("codes").alias("rank", "found"))
+    hits = ranked.join(counts, [*shared, "found"])
+    return hits.groupBy(*keys).agg(F.min_by(F.struct("rank", "found", "n"), "rank").alias("h")).select(*keys, "h.*")
+
+
 def dedup_last(df: DataFrame, keys: list[str], value: str, seq: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(value, seq).alias(value))
 
@@ -36,11 +57,17 @@ def with_catalogue(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def fallback(candidates: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of the first candidate of each series that has any; candidates: series and codes in order of preference."""
-    ranked = candidates.select("series", F.posexplode("codes").alias("rank", "code"))
-    found = rows.join(ranked, "code")
-    best = found.groupBy("series").agg(F.min("rank").alias("rank"))
-    return found.join(best, ["series", "rank"])
+    """Rows of the first candidate of each series that has any; candidates: series and codes in order of preference.
+    Candidates meet the number of rows of each code; the rows themselves are joined to the chosen codes only."""
+    counts = rows.groupBy(F.col("code").alias("found")).agg(F.count(F.lit(1)).alias("n"))
+    best = first_found(candidates, ["series"], counts).drop("n")
+    return rows.join(best.withColumnRenamed("found", "code"), "code")
+
+
+def fallback_counts(candidates: DataFrame, rows: DataFrame) -> DataFrame:
+    """series, rank, code and number of rows of the first candidate of each series that has any."""
+    counts = rows.groupBy(F.col("code").alias("found")).agg(F.count(F.lit(1)).alias("n"))
+    return first_found(candidates, ["series"], counts).withColumnRenamed("found", "code")
 
 
 def pivot_mean(df: DataFrame, names: list[str]) -> DataFrame:
@@ -48,9 +75,10 @@ def pivot_mean(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last row of each key, and the greatest order value of all."""
+    """The last row of each key by the order columns, and beside it the greatest value of the first of them over all keys."""
     last = df.groupBy(key).agg(F.max(F.struct(*order)).alias("last"))
-    return last.select(key, *[F.col(f"last.{c}").alias(f"last_{c}") for c in order])
+    overall = df.agg(F.max(order[0]).alias(f"overall_{order[0]}"))  # one row
+    return last.select(key, *[F.col(f"last.{c}").alias(f"last_{c}") for c in order]).crossJoin(F.broadcast(overall))
 
 
 def coverage(df: DataFrame, by: list[str], date: str) -> DataFrame:

@@ -4,65 +4,126 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-ALL, OTHER = "Todos", "Outro"
+#: Label of all rows, which no class may have.
+ALL = "Todos"
 
 
-def describe_by_kind(df: DataFrame, kind: str, measures: dict[str, str]) -> DataFrame:
+def describe_by_kind(df: DataFrame, kind: str, measures: dict[str, str], approximate: bool = False) -> DataFrame:
     """kind, field, unit, n, mean, median, stddev: over all rows and over each kind; measures: column to unit.
-    Rows without a kind count in all rows and under `Outro`."""
-    stats = lambda m: F.struct(F.lit(m).alias("field"), F.lit(measures[m]).alias("unit"), F.count(m).alias("n"), F.bround(F.avg(m), 2).alias("mean"), F.bround(F.median(m), 2).alias("median"), F.bround(F.stddev_samp(m), 2).alias("stddev"))
-    rows = df.withColumn("kind", F.coalesce(F.col(kind), F.lit(OTHER)))
+
+    Rows without a kind count in all rows only, as do rows of a kind that is named like all rows. The exact median holds each
+    distinct value of a group in one task; `approximate` takes a sketch of bounded size instead.
+    """
+    median = (lambda m: F.percentile_approx(m, 0.5, 10000)) if approximate else F.median
+    stats = lambda m: F.struct(F.lit(m).alias("field"), F.lit(measures[m]).alias("unit"), F.count(m).alias("n"), F.bround(F.avg(m), 2).alias("mean"), F.bround(median(m), 2).alias("median"), F.bround(F.stddev_samp(m), 2).alias("stddev"))
+    rows = df.withColumn("kind", F.nullif(F.col(kind), F.lit(ALL)))
     both = rows.groupingSets([[], ["kind"]], "kind").agg(F.grouping_id().alias("g"), F.array(*[stats(m) for m in measures]).alias("s"))
-    return both.select(F.when(F.col("g") == 1, ALL).otherwise(F.col("kind")).alias("kind"), F.explode("s").alias("s")).select("kind", "s.*")
+    named = both.where((F.col("g") == 1) | F.col("kind").isNotNull())
+    return named.select(F.when(F.col("g") == 1, ALL).otherwise(F.col("kind")).alias("kind"), F.explode("s").alias("s")).select("kind", "s.*")
 
 
-def bars(described: DataFrame) -> DataFrame:
-    fields = sorted({"price", "size"})
-    return described.groupBy("kind").pivot("field", fields).agg(F.first("mean"))
+def bars(described: DataFrame, fields: list[str]) -> DataFrame:
+    """Means of the fields by kind, by ascending mean of the first field."""
+    return described.where(F.col("field").isin(fields)).groupBy("kind").pivot("field", fields).agg(F.first("mean")).orderBy(F.col(fields[0]).asc_nulls_last(), "kind")
 
 
 def share(df: DataFrame, kind: str) -> DataFrame:
-    counts = df.groupBy(F.coalesce(F.col(kind), F.lit(OTHER)).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows of each kind and their percentage of all rows that have one, largest first."""
+    counts = df.where(F.col(kind).isNotNull()).groupBy(F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select("kind", "n", F.round(F.lit(100.0).cast("double") * F.col("n") / F.col("total"), 1).alias("percent"))
+    return counts.crossJoin(F.broadcast(total)).select("kind", "n", F.round(F.lit(100.0).cast("double") * F.col("n") / F.col("total"), 1).alias("percent")).orderBy(F.desc("n"), "kind")
+
+
+#: Equal parts of a group's range, of which only those that hold a wanted rank are sorted.
+BUCKETS = 4096
+
+
+def quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] = ()) -> DataFrame:
+    """by, and q0, q1, ...: exact quantiles of the non-null values of each group, interpolated between neighbours.
+
+    Values are counted first; a group's range is then cut into BUCKETS, and only the distinct values of the buckets that hold
+    a wanted rank are put in order, so that no task orders all values of a group.
+    """
+    by = list(by) or ["_all"]
+    keyed = df if by != ["_all"] else df.withColumn("_all", F.lit(0))
+    v = keyed.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ends = v.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all_n"))
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by]
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BUCKETS), F.lit(BUCKETS - 1))).otherwise(0).cast("int")
+    placed = v.alias("v").join(ends.alias("e"), same("v", "e")).select("v.*", "_lo", "_hi").withColumn("_b", part).drop("_lo", "_hi")
+    order = Window.partitionBy(*by).orderBy("_b")  # at most BUCKETS rows a group
+    counts = placed.groupBy(*by, "_b").agg(F.sum("_n").alias("_n")).withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), f(F.lit(float(q)) * (F.col("_all_n") - 1)).cast("long").alias("rank")) for i, q in enumerate(qs) for w, f in (("low", F.floor), ("high", F.ceil))])
+    ranks = ends.select(*by, F.inline(wanted))
+    held = counts.alias("c").join(ranks.alias("r"), [*same("c", "r"), F.col("rank") >= F.col("_before"), F.col("rank") < F.col("_before") + F.col("c._n")]).select(
+        *[F.col(f"c.{c}") for c in by], "_b", "i", "w", (F.col("rank") - F.col("_before")).alias("rank"))
+    inside = placed.alias("p").join(held.alias("h"), [*same("p", "h"), F.col("p._b") == F.col("h._b")]).select(*[F.col(f"p.{c}") for c in by], "i", "w", "rank", "_v", "_n")
+    so_far = F.sum("_n").over(Window.partitionBy(*by, "i", "w").orderBy("_v"))
+    found = inside.withColumn("_to", so_far).where(F.col("_to") > F.col("rank")).groupBy(*by, "i", "w").agg(F.min("_v").alias("_v"))
+    ranked = ends.alias("e").join(found.alias("f"), same("e", "f")).select(*[F.col(f"e.{c}") for c in by], "_all_n", "i", "w", "_v")
+    held_at = lambda i, w: F.max(F.when((F.col("i") == i) & (F.col("w") == w), F.col("_v")))
+    at = lambda q: F.lit(float(q)) * (F.max("_all_n") - 1)
+    out = ranked.groupBy(*by).agg(*[(held_at(i, "low") + (at(q) - F.floor(at(q))) * (held_at(i, "high") - held_at(i, "low"))).alias(f"q{i}") for i, q in enumerate(qs)])
+    return out.drop("_all")
 
 
 def below_quantile(df: DataFrame, columns: list[str], q: float = 0.95) -> DataFrame:
     """Rows strictly below the q quantile of every column; quantiles are of all rows, and one broadcast row."""
-    limits = df.agg(*[F.percentile(c, F.lit(q)).alias(f"_{c}") for c in columns])
-    kept = df.crossJoin(F.broadcast(limits))
+    kept = df
+    for c in columns:
+        kept = kept.crossJoin(F.broadcast(quantiles(df, c, [q]).select(F.col("q0").alias(f"_{c}"))))
     for c in columns:
         kept = kept.where(F.col(c) < F.col(f"_{c}"))
     return kept.select(df.columns)
 
 
+def _fenced(df: DataFrame, kind: str, value: str) -> DataFrame:
+    """df's rows with q0, q1, q2 of their kind and the ends of 1.5 interquartile ranges around."""
+    q = quantiles(df.where(F.col(kind).isNotNull()), value, [0.25, 0.5, 0.75], [kind])
+    reach = 1.5 * (F.col("q2") - F.col("q0"))
+    return df.join(q, kind).withColumns({"_low": F.col("q0") - reach, "_high": F.col("q2") + reach})
+
+
 def box(df: DataFrame, kind: str, value: str) -> DataFrame:
-    """Quartiles, whiskers at 1.5 interquartile ranges and number of outliers, by kind."""
-    q = df.groupBy(kind).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    low, high = F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0]), F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])
-    inside = F.col(value).between(low, high)
-    return df.join(q, kind).groupBy(F.col(kind).alias("kind"), F.round(F.col("q")[0], 6).alias("q1"), F.round(F.col("q")[1], 6).alias("median"), F.round(F.col("q")[2], 6).alias("q3")).agg(
-        F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.count_if(~inside).alias("outliers"))
+    """Quartiles, whiskers at 1.5 interquartile ranges and number of outliers, by kind and ascending median."""
+    inside = F.col(value).between(F.col("_low"), F.col("_high"))
+    return _fenced(df, kind, value).groupBy(F.col(kind).alias("kind")).agg(
+        *[F.round(F.first(c), 6).alias(n) for c, n in (("q0", "q1"), ("q1", "median"), ("q2", "q3"))],
+        F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.count_if(~inside).alias("outliers")).orderBy("median", "kind")
+
+
+def outliers(df: DataFrame, kind: str, value: str) -> DataFrame:
+    """df's rows outside the whiskers of their kind."""
+    return _fenced(df, kind, value).where(~F.col(value).between(F.col("_low"), F.col("_high"))).select(df.columns)
 
 
 def histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
-    """Equal-width bins, the last one closed; a constant column is one bin."""
+    """Rows in each of the equal-width bins, empty ones included and the last one closed; a constant column is in the first."""
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(1.0)
     placed = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(ends)).select(F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1)).cast("long").alias("bin"))
-    return placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
+    return every.join(F.broadcast(counts), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n")).orderBy("bin")  # counts: one row a bin
 
 
 def correlation(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pearson coefficients of all pairs of series, from long rows (month, series, value) of two tables, over the months that
-    both tables have; pairs without a coefficient are null. Cells are joined by month, so that series, not months, multiply."""
-    common = left.select("month").distinct().join(right.select("month").distinct(), "month")
-    rows = left.unionByName(right).where(F.col("value").isNotNull()).join(common, "month").groupBy("month", "series").agg(F.avg("value").alias("v"))
-    a, b = (rows.select("month", F.col("series").alias(f"series_{x}"), F.col("v").alias(f"v{x}")) for x in "ab")
-    pairs = a.join(b, "month").where("series_a <= series_b").groupBy("series_a", "series_b").agg(
-        (F.covar_pop("va", "vb") / F.nullif(F.stddev_pop("va") * F.stddev_pop("vb"), F.lit(0.0))).alias("r"))
-    both = pairs.unionByName(pairs.where("series_a < series_b").select(F.col("series_b").alias("series_a"), F.col("series_a").alias("series_b"), "r"))
-    names = rows.select("series").distinct()
-    grid = names.select(F.col("series").alias("series_a")).join(names.select(F.col("series").alias("series_b")))
-    return grid.join(both, ["series_a", "series_b"], "left").withColumn("r", F.round("r", 6))
+    both tables have; pairs without a coefficient are null.
+
+    Each input is read once, into means of (month, series). A month's means then stand in one row, with null for series that it
+    lacks, and pairs are made from that row: series, not months, multiply, as the result has a row for each pair.
+    """
+    both = left.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(2))).where(F.col("value").isNotNull() | F.col("month").isNotNull())
+    means = both.groupBy("month", "series").agg(F.avg("value").alias("v"), F.bit_or("side").alias("side"))
+    months = means.groupBy("month").agg(F.bit_or("side").alias("side"), F.map_from_entries(F.collect_list(F.when(F.col("v").isNotNull() & F.col("series").isNotNull(), F.struct("series", "v")))).alias("cells")).where("side = 3")
+    names = months.agg(F.array_distinct(F.flatten(F.collect_list(F.map_keys("cells")))).alias("names"))
+    filled = months.crossJoin(F.broadcast(names)).select(F.transform("names", lambda n: F.struct(n.alias("series"), F.try_element_at("cells", n).alias("v"))).alias("cells"))
+    pairs = filled.select("cells", F.inline("cells").alias("series_a", "va")).select("series_a", "va", F.inline("cells").alias("series_b", "vb")).where("series_a <= series_b")
+    x, y = F.when(F.col("vb").isNotNull(), F.col("va")), F.when(F.col("va").isNotNull(), F.col("vb"))
+    half = pairs.groupBy("series_a", "series_b").agg(F.round(F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)), 6).alias("r"))
+    mirrored = F.when(F.col("series_a") == F.col("series_b"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    return half.withColumn("_turn", F.explode(mirrored)).select(
+        F.when(F.col("_turn"), F.col("series_b")).otherwise(F.col("series_a")).alias("series_a"), F.when(F.col("_turn"), F.col("series_a")).otherwise(F.col("series_b")).alias("series_b"), "r")

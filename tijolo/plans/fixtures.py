@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-LISTINGS = """SELECT l_orderkey * 10 + l_linenumber AS id,
+LISTINGS = """SELECT (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS id,
   CASE l_linenumber % 4 WHEN 0 THEN 'casas' WHEN 1 THEN 'apartamentos' WHEN 2 THEN 'terrenos' ELSE 'imoveis' END AS segment,
   (l_linenumber % 2) * 300000 AS min_price, CAST(l_orderkey % 400 AS INT) + 1 AS page,
   CASE l_partkey % 7 WHEN 0 THEN 'Apartamento ' WHEN 1 THEN 'Casa no ' WHEN 2 THEN 'SOBRADO ' WHEN 3 THEN 'Lote ' WHEN 4 THEN 'Terreno ' ELSE 'Sala ' END || p_name AS address,
@@ -23,6 +23,14 @@ SERIES = """SELECT 'A' AS source, o_orderpriority AS code, CASE WHEN o_orderprio
 PROGRESS = "SELECT DISTINCT c_nationkey AS segment, CAST(c_custkey % 40 AS INT) + 1 AS page FROM {customer}"
 GRID = "SELECT n_nationkey AS segment, lower(n_name) AS slug FROM {nation}"
 EMPTY = "SELECT s_nationkey AS segment, CAST(s_suppkey % 20 AS INT) + 20 AS page FROM {supplier} WHERE s_suppkey % 10 = 0"
+#: Parts as clean listings: some without a kind, some of a kind named like all rows.
+PARTS = """SELECT p_partkey, CASE p_partkey % 50 WHEN 0 THEN NULL WHEN 1 THEN 'Todos' ELSE p_type END AS p_type, p_retailprice, p_size FROM {part}"""
+#: A catalogue over the series of three sources: active or not, how to resample, and codes to fall back on.
+SERIES_OF_SOURCES = """SELECT CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS source, substr(o_orderpriority, 1, 1) AS code, CAST(o_orderdate AS DATE) AS date,
+  round(o_totalprice) AS value, o_orderkey AS seq FROM {orders} WHERE o_orderkey % 3 <> 1 OR substr(o_orderpriority, 1, 1) IN ('1', '2')"""
+INGESTED = """SELECT DISTINCT s AS source, substr(o_orderpriority, 1, 1) AS code, 'name ' || substr(o_orderpriority, 1, 1) AS name, 'unit ' || s AS unit,
+  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'mean' WHEN '2' THEN 'sum' ELSE 'last' END AS method, CASE substr(o_orderpriority, 1, 1) WHEN '4' THEN FALSE WHEN '1' THEN NULL ELSE TRUE END AS active,
+  CASE substr(o_orderpriority, 1, 1) WHEN '3' THEN 'none' WHEN '5' THEN '1' END AS fallback FROM {orders}, (VALUES ('A'), ('B'), ('C')) v(s)"""
 CATALOGUE = "SELECT DISTINCT o_orderpriority AS code, 'unit ' || substr(o_orderpriority, 1, 1) AS catalogue_unit, CASE substr(o_orderpriority, 1, 1) WHEN '4' THEN FALSE WHEN '1' THEN NULL ELSE TRUE END AS active FROM {orders}"
 MONEY = """SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN '...' WHEN 1 THEN '-' WHEN 2 THEN '' WHEN 3 THEN 'null' WHEN 4 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) || ',5'
   WHEN 5 THEN '1.' || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0') || ',25' WHEN 6 THEN ' +' || CAST(o_orderkey % 100 AS STRING) || ',15%' WHEN 7 THEN '-0.' || CAST(o_orderkey % 90 + 10 AS STRING) ELSE 'x' || CAST(o_orderkey AS STRING) END AS cell FROM {orders}"""

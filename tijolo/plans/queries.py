@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -21,9 +22,9 @@ _L, _S = X.duck(X.LISTINGS), X.duck(X.SERIES)
 _KIND = "CASE WHEN lower(address) LIKE '%apartamento%' THEN 'Apartamento' WHEN lower(address) LIKE '%casa%' OR lower(address) LIKE '%sobrado%' THEN 'Casa' WHEN lower(address) LIKE '%terreno%' OR lower(address) LIKE '%lote%' THEN 'Terreno' ELSE 'Outro' END"
 _NUM = "CASE WHEN trim({0}) <> 'N/A' THEN TRY_CAST(nullif(regexp_extract(replace({0}, '.', ''), '[0-9]+'), '') AS DOUBLE) END"
 _PRICE = "TRY_CAST(nullif(regexp_replace(split_part(split_part(price_text, 'Cond', 1), 'IPTU', 1), '[^0-9]', '', 'g'), '') AS DOUBLE)"
-_TYPED = f"SELECT id, address, {_KIND} AS kind, {_PRICE} AS price, {_NUM.format('area_text')} AS area, " + ", ".join(f"CAST({_NUM.format(c + '_text')} AS INT) AS {c}" for c in ("rooms", "baths", "parking")) + f" FROM ({_L})"
-_CLEAN = f"""SELECT address, price, area, id, kind, rooms, baths, parking, round_even(price / area, 2) AS unit_price FROM (SELECT *, row_number() OVER
-  (PARTITION BY address, price, area ORDER BY id, kind, rooms NULLS FIRST, baths NULLS FIRST, parking NULLS FIRST) AS rn FROM ({_TYPED}) WHERE price IS NOT NULL AND area > 0) WHERE rn = 1"""
+_TYPED = f"SELECT id, address, {_PRICE} AS price, {_NUM.format('area_text')} AS area, " + ", ".join(f"CAST({_NUM.format(c + '_text')} AS INT) AS {c}" for c in ("rooms", "baths", "parking")) + f" FROM ({_L})"
+_CLEAN = f"""SELECT address, price, area, id, rooms, baths, parking, {_KIND} AS kind, round_even(price / area, 2) AS unit_price FROM (SELECT *, row_number() OVER
+  (PARTITION BY address, price, area ORDER BY id) AS rn FROM ({_TYPED}) WHERE price IS NOT NULL AND area > 0) WHERE rn = 1"""
 _MISSING = "({0} IS NULL OR trim({0}) = '' OR {0} = 'N/A')"
 
 
@@ -46,11 +47,15 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    return X.load(spark, sf_dir, X.PARTS)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tijolo-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder, and a cluster's machines share no other")
+        folder = tempfile.mkdtemp(prefix="tijolo-")
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
@@ -62,34 +67,45 @@ query("extract_number", f"SELECT id, area_text, {_NUM.format('area_text')} AS ar
     lambda s, d: raw(s, d).select("id", "area_text", T.extract_number(F.col("area_text")).alias("area"), T.extract_number(F.col("baths_text")).alias("baths")))
 query("classify_type", f"SELECT id, address, {_KIND} AS kind FROM ({_L})")(lambda s, d: raw(s, d).select("id", "address", T.classify_kind(F.col("address")).alias("kind")))
 query("clean_listings", _CLEAN)(clean)
-query("dedup_first", f"SELECT address, price, area, id, kind FROM (SELECT *, row_number() OVER (PARTITION BY address, price, area ORDER BY id, kind) AS rn FROM ({_TYPED})) WHERE rn = 1")(
-    lambda s, d: listings.dedup_first(listings.typed(raw(s, d)).select("id", "address", "price", "area", "kind"), listings.KEY, "id"))
+query("dedup_first", f"SELECT address, price, area, id, rooms FROM (SELECT *, row_number() OVER (PARTITION BY address, price, area ORDER BY id) AS rn FROM ({_TYPED})) WHERE rn = 1")(
+    lambda s, d: listings.dedup_first(listings.typed(raw(s, d)).select("id", "address", "price", "area", "rooms"), listings.KEY, "id"))
 query("clean_audit", f"""SELECT CAST(sum(n) AS BIGINT) AS rows_read, CAST(sum(n - 1) AS BIGINT) AS rows_repeated, count(*) FILTER (NOT ok) AS rows_invalid, count(*) FILTER (ok) AS rows_kept
   FROM (SELECT count(*) AS n, price IS NOT NULL AND coalesce(area > 0, FALSE) AS ok FROM ({_TYPED}) GROUP BY address, price, area)""")(lambda s, d: listings.audit(raw(s, d)))
 
 # --- statistics
 
-_DESC = "SELECT coalesce(p_type, 'Todos') AS kind, '{0}' AS field, '{1}' AS unit, count({2}) AS n, round_even(avg({2}), 2) AS mean, round_even(median({2}), 2) AS median, round_even(stddev_samp({2}), 2) AS stddev FROM part GROUP BY GROUPING SETS ((), (p_type))"
-_DESCRIBED = _DESC.format("price", "R$", "p_retailprice") + " UNION ALL " + _DESC.format("size", "m²", "p_size")
+_PARTS = X.duck(X.PARTS)
+_DESC = f"SELECT {{3}} AS kind, '{{0}}' AS field, '{{1}}' AS unit, count({{2}}) AS n, round_even(avg({{2}}), 2) AS mean, round_even(median({{2}}), 2) AS median, round_even(stddev_samp({{2}}), 2) AS stddev FROM ({_PARTS})"
+_DESCRIBED = " UNION ALL ".join(
+    _DESC.format(*f, "'Todos'") + " UNION ALL " + _DESC.format(*f, "p_type") + " WHERE p_type <> 'Todos' GROUP BY p_type" for f in (("price", "R$", "p_retailprice"), ("size", "m²", "p_size")))
+_TRIM = f"(SELECT * FROM ({_PARTS}) WHERE p_retailprice < (SELECT quantile_cont(p_retailprice, 0.95) FROM part))"
 
 
 def described(s: SparkSession, d: str) -> DataFrame:
     return stats.describe_by_kind(part(s, d).select("p_type", F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size")), "p_type", {"price": "R$", "size": "m²"})
 
 
+def trimmed(s: SparkSession, d: str) -> DataFrame:
+    return stats.below_quantile(part(s, d), ["p_retailprice"])
+
+
 query("describe_by_type", _DESCRIBED)(described)
-query("chart_bars", f"SELECT kind, max(mean) FILTER (field = 'price') AS price, max(mean) FILTER (field = 'size') AS size FROM ({_DESCRIBED}) GROUP BY kind")(lambda s, d: stats.bars(described(s, d)))
-query("chart_share", "SELECT p_type AS kind, count(*) AS n, round(CAST(100.0 AS DOUBLE) * count(*) / sum(count(*)) OVER (), 1) AS percent FROM part GROUP BY p_type")(lambda s, d: stats.share(part(s, d), "p_type"))
+query("chart_bars", f"SELECT kind, max(mean) FILTER (field = 'price') AS price, max(mean) FILTER (field = 'size') AS size FROM ({_DESCRIBED}) GROUP BY kind")(lambda s, d: stats.bars(described(s, d), ["price", "size"]))
+query("chart_share", f"SELECT p_type AS kind, count(*) AS n, round(CAST(100.0 AS DOUBLE) * count(*) / sum(count(*)) OVER (), 1) AS percent FROM ({_PARTS}) WHERE p_type IS NOT NULL GROUP BY p_type")(lambda s, d: stats.share(part(s, d), "p_type"))
 query("quantile_trim", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice < (SELECT quantile_cont(p_retailprice, 0.95) FROM part)")(
-    lambda s, d: stats.below_quantile(part(s, d).select("p_partkey", "p_retailprice"), ["p_retailprice"]))
-query("quantile_trim2", "SELECT p_partkey, p_type, p_retailprice, p_size FROM part WHERE p_retailprice < (SELECT quantile_cont(p_retailprice, 0.95) FROM part) AND p_size < (SELECT quantile_cont(p_size, 0.95) FROM part)")(
+    lambda s, d: trimmed(s, d).select("p_partkey", "p_retailprice"))
+query("quantile_trim2", f"SELECT p_partkey, p_type, p_retailprice, p_size FROM ({_PARTS}) WHERE p_retailprice < (SELECT quantile_cont(p_retailprice, 0.95) FROM part) AND p_size < (SELECT quantile_cont(p_size, 0.95) FROM part)")(
     lambda s, d: stats.below_quantile(part(s, d).select("p_partkey", "p_type", "p_retailprice", "p_size"), ["p_retailprice", "p_size"]))
-query("chart_box", """WITH q AS (SELECT p_type, quantile_cont(p_retailprice, 0.25) AS a, quantile_cont(p_retailprice, 0.5) AS b, quantile_cont(p_retailprice, 0.75) AS c FROM part GROUP BY p_type)
-  SELECT p_type AS kind, round(a, 6) AS q1, round(b, 6) AS median, round(c, 6) AS q3, min(p_retailprice) FILTER (p_retailprice BETWEEN a - 1.5 * (c - a) AND c + 1.5 * (c - a)) AS low,
-  max(p_retailprice) FILTER (p_retailprice BETWEEN a - 1.5 * (c - a) AND c + 1.5 * (c - a)) AS high, count(*) FILTER (p_retailprice NOT BETWEEN a - 1.5 * (c - a) AND c + 1.5 * (c - a)) AS outliers
-  FROM part JOIN q USING (p_type) GROUP BY p_type, a, b, c""")(lambda s, d: stats.box(part(s, d), "p_type", "p_retailprice"))
-query("chart_histogram", "WITH e AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part) SELECT CAST(least(floor((p_retailprice - lo) / ((hi - lo) / 30)), 29) AS BIGINT) AS bin, count(*) AS n FROM part, e GROUP BY 1")(
-    lambda s, d: stats.histogram(part(s, d), "p_retailprice"))
+_FENCES = f"""WITH t AS {_TRIM}, q AS (SELECT p_type, quantile_cont(p_retailprice, 0.25) AS a, quantile_cont(p_retailprice, 0.5) AS b, quantile_cont(p_retailprice, 0.75) AS c FROM t GROUP BY p_type),
+  f AS (SELECT t.*, a, b, c, p_retailprice BETWEEN a - 1.5 * (c - a) AND c + 1.5 * (c - a) AS inside FROM t JOIN q USING (p_type))"""
+query("chart_box", f"""{_FENCES} SELECT p_type AS kind, round(a, 6) AS q1, round(b, 6) AS median, round(c, 6) AS q3, min(p_retailprice) FILTER (inside) AS low,
+  max(p_retailprice) FILTER (inside) AS high, count(*) FILTER (NOT inside) AS outliers FROM f GROUP BY p_type, a, b, c""")(lambda s, d: stats.box(trimmed(s, d), "p_type", "p_retailprice"))
+# sizes stand out by their square, prices hardly
+query("chart_outliers", f"""WITH t AS (SELECT p_partkey, p_type, CAST(p_size AS DOUBLE) * p_size * p_size AS cube FROM ({_PARTS})), q AS (SELECT p_type, quantile_cont(cube, 0.25) AS a, quantile_cont(cube, 0.75) AS c FROM t GROUP BY p_type)
+  SELECT t.* FROM t JOIN q USING (p_type) WHERE cube NOT BETWEEN a - 1.5 * (c - a) AND c + 1.5 * (c - a)""")(
+    lambda s, d: stats.outliers(part(s, d).select("p_partkey", "p_type", F.expr("CAST(p_size AS DOUBLE) * p_size * p_size").alias("cube")), "p_type", "cube"))
+query("chart_histogram", f"""WITH t AS {_TRIM}, e AS (SELECT min(p_size) AS lo, max(p_size) AS hi FROM t), n AS (SELECT CAST(least(floor((p_size - lo) / (CAST(hi - lo AS DOUBLE) / 30)), 29) AS BIGINT) AS bin, count(*) AS n FROM t, e GROUP BY 1)
+  SELECT bin, coalesce(n, 0) AS n FROM (SELECT unnest(range(30)) AS bin) LEFT JOIN n USING (bin)""")(lambda s, d: stats.histogram(trimmed(s, d), "p_size"))
 
 # --- coverage and quality
 
@@ -121,9 +137,9 @@ query("sql_type_distribution", f"SELECT kind, count(*) AS n, round(avg(unit_pric
 query("row_counts", f"SELECT 'raw' AS name, (SELECT count(*) FROM ({_L})) AS n UNION ALL SELECT 'clean', (SELECT count(*) FROM ({_CLEAN})) UNION ALL SELECT 'series', (SELECT count(*) FROM orders)")(
     lambda s, d: raw(s, d).agg(F.lit("raw").alias("name"), F.count(F.lit(1)).alias("n")).unionByName(clean(s, d).agg(F.lit("clean").alias("name"), F.count(F.lit(1)).alias("n"))).unionByName(
         s.read.parquet(f"{d}/orders.parquet").agg(F.lit("series").alias("name"), F.count(F.lit(1)).alias("n"))))
-query("crawl_frontier", f"""SELECT g.segment, CAST(p AS INT) AS page, 'https://listings.example/' || slug || '?page=' || p AS url FROM ({X.duck(X.GRID)}) g, range(1, 41) r(p)
+query("crawl_frontier", f"""SELECT g.segment, CAST(p AS INT) AS page, 'https://listings.example/' || slug || '?page=' || p AS url FROM ({X.duck(X.GRID)}) g, range(1, 401) r(p)
   LEFT JOIN (SELECT segment AS es, min(page) AS e FROM ({X.duck(X.EMPTY)}) GROUP BY 1) ON es = g.segment WHERE (e IS NULL OR p < e) AND NOT EXISTS (SELECT 1 FROM ({X.duck(X.PROGRESS)}) q WHERE q.segment = g.segment AND q.page = p)""")(
-    lambda s, d: coverage.frontier(X.load(s, d, X.GRID), X.load(s, d, X.PROGRESS), X.load(s, d, X.EMPTY), 40))
+    lambda s, d: coverage.frontier(X.load(s, d, X.GRID), X.load(s, d, X.PROGRESS), X.load(s, d, X.EMPTY)))
 query("insert_if_absent", f"SELECT segment, page FROM ({X.duck(X.PROGRESS)}) UNION SELECT s_nationkey, CAST(s_suppkey % 60 AS INT) + 1 FROM supplier")(
     lambda s, d: series.insert_if_absent(X.load(s, d, X.PROGRESS), X.load(s, d, "SELECT s_nationkey AS segment, CAST(s_suppkey % 60 AS INT) + 1 AS page FROM {supplier}"), ["segment", "page"]))
 query("extract_cards")(lambda s, d: pages.extract_cards(s.read.parquet(f"{d}/pages.parquet")))
@@ -141,8 +157,8 @@ query("monthly_mean", _M.format("avg(value)"))(_monthly("mean"))
 query("monthly_sum", _M.format("sum(value)"))(_monthly("sum"))
 query("dedup_last", f"SELECT code, CAST(date AS VARCHAR) AS date, arg_max(value, seq) AS value FROM ({_S}) GROUP BY code, date")(
     lambda s, d: series.dedup_last(X.load(s, d, X.SERIES), ["code", "date"], "value", "seq").withColumn("date", F.col("date").cast("string")))
-query("latest_by_key", "SELECT o_custkey, CAST(arg_max(CAST(o_orderdate AS DATE), (o_orderdate, o_orderkey)) AS VARCHAR) AS last_date, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_key FROM orders GROUP BY o_custkey")(
-    lambda s, d: series.latest(s.read.parquet(f"{d}/orders.parquet").select("o_custkey", F.col("o_orderdate").alias("date"), F.col("o_orderkey").alias("key")), "o_custkey", ["date", "key"]).withColumn("last_date", F.col("last_date").cast("date").cast("string")))
+query("latest_by_key", "SELECT o_custkey, CAST(arg_max(CAST(o_orderdate AS DATE), (o_orderdate, o_orderkey)) AS VARCHAR) AS last_date, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_key, CAST((SELECT max(CAST(o_orderdate AS DATE)) FROM orders) AS VARCHAR) AS overall_date FROM orders GROUP BY o_custkey")(
+    lambda s, d: series.latest(s.read.parquet(f"{d}/orders.parquet").select("o_custkey", F.col("o_orderdate").alias("date"), F.col("o_orderkey").alias("key")), "o_custkey", ["date", "key"]).withColumns({c: F.col(c).cast("date").cast("string") for c in ("last_date", "overall_date")}))
 _VALUES = ["name", "value", "unit", "frequency"]
 
 
@@ -166,20 +182,17 @@ query("sql_latest_values", f"SELECT CAST(date AS VARCHAR) AS date, code, seq, va
     lambda s, d: X.load(s, d, X.SERIES).orderBy(F.desc("date"), "code", "seq").limit(50).select(F.col("date").cast("string").alias("date"), "code", "seq", "value"))
 query("catalogue_join", f"SELECT code, seq, value, catalogue_unit FROM ({_S}) JOIN ({X.duck(X.CATALOGUE)}) USING (code) WHERE coalesce(active, TRUE)")(
     lambda s, d: series.with_catalogue(X.load(s, d, X.SERIES).select("code", "seq", "value"), X.load(s, d, X.CATALOGUE)))
-query("ingest_union", f"SELECT origin, code, month, round(avg(value), 4) AS value FROM (SELECT CASE WHEN seq % 3 = 0 THEN 'a' WHEN seq % 3 = 1 THEN 'b' ELSE 'c' END AS origin, code, CAST(CAST(date_trunc('month', date) AS DATE) AS VARCHAR) AS month, value FROM ({_S})) GROUP BY ALL")(
-    lambda s, d: _union([series.monthly(X.load(s, d, X.SERIES).where(F.col("seq") % 3 == i), ["code"], "date", "value", "mean").withColumn("origin", F.lit(o)) for i, o in enumerate("abc")]).select("origin", "code", F.col("month").cast("string").alias("month"), F.round("value", 4).alias("value")))
-query("fallback_source", f"""SELECT series, rank, code, count(*) AS n FROM (SELECT series, rank, code, min(rank) OVER (PARTITION BY series) AS best FROM
+_INGESTED, _ROWS = X.duck(X.INGESTED), X.duck(X.SERIES_OF_SOURCES)
+query("ingest_union", f"""WITH c AS (SELECT * FROM ({_INGESTED}) WHERE coalesce(active, TRUE)), r AS (SELECT * FROM ({_ROWS})),
+  u AS (SELECT c.*, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.source = c.source AND r.code = c.code) THEN c.code ELSE fallback END AS used FROM c),
+  m AS (SELECT source, code, CAST(date_trunc('month', date) AS DATE) AS month, avg(value) AS mean, sum(value) AS sum, arg_max(value, (date, seq)) AS last FROM r GROUP BY ALL)
+  SELECT u.source, used AS code, name, CAST(month AS VARCHAR) AS month, round(CASE method WHEN 'mean' THEN mean WHEN 'sum' THEN sum ELSE last END, 4) AS value, unit, 'M' AS frequency FROM u JOIN m ON m.source = u.source AND m.code = u.used""")(
+    lambda s, d: series.ingest(X.load(s, d, X.SERIES_OF_SOURCES), X.load(s, d, X.INGESTED).withColumn("fallbacks", F.when(F.col("fallback").isNotNull(), F.array("fallback")))).withColumn("value", F.round("value", 4)))
+query("fallback_source", f"""SELECT series, rank, code, n FROM (SELECT series, rank, code, n, min(rank) OVER (PARTITION BY series) AS best FROM
   (SELECT s_suppkey AS series, unnest([0, 1, 2]) AS rank, unnest(['x' || s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'none' ELSE CAST(s_suppkey % 5 + 1 AS VARCHAR) END, '2']) AS code FROM supplier) c
-  JOIN (SELECT substr(code, 1, 1) AS code, seq FROM ({_S}) WHERE seq % 100 = 0) r USING (code)) WHERE rank = best GROUP BY ALL""")(
-    lambda s, d: series.fallback(X.load(s, d, "SELECT s_suppkey AS series, array('x' || s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'none' ELSE CAST(s_suppkey % 5 + 1 AS STRING) END, '2') AS codes FROM {supplier}"),
-                                 X.load(s, d, X.SERIES).where("seq % 100 = 0").select(F.substring("code", 1, 1).alias("code"), "seq")).groupBy("series", "rank", "code").agg(F.count(F.lit(1)).alias("n")))
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+  JOIN (SELECT substr(code, 1, 1) AS code, count(*) AS n FROM ({_S}) GROUP BY 1) r USING (code)) WHERE rank = best""")(
+    lambda s, d: series.fallback_counts(X.load(s, d, "SELECT s_suppkey AS series, array('x' || s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'none' ELSE CAST(s_suppkey % 5 + 1 AS STRING) END, '2') AS codes FROM {supplier}"),
+                                        X.load(s, d, X.SERIES).select(F.substring("code", 1, 1).alias("code"))))
 
 
 _NAMES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -192,8 +205,10 @@ def _pivoted(s: SparkSession, d: str) -> DataFrame:
 
 
 query("pivot_mean", f"SELECT CAST(month AS VARCHAR) AS month, {_PIVOT} FROM ({X.duck(X.MONTHLY_LEFT)}) GROUP BY month")(lambda s, d: _pivoted(s, d).withColumn("month", F.col("month").cast("string")))
-query("month_join", f"SELECT CAST(l.month AS VARCHAR) AS month, l.*EXCLUDE(month), quantity FROM (SELECT month, {_PIVOT} FROM ({X.duck(X.MONTHLY_LEFT)}) GROUP BY month) l JOIN (SELECT month, round(avg(value), 4) AS quantity FROM ({X.duck(X.MONTHLY_RIGHT)}) WHERE series = 'quantity' GROUP BY month) r ON l.month = r.month")(
-    lambda s, d: _pivoted(s, d).join(X.load(s, d, X.MONTHLY_RIGHT).where("series = 'quantity'").groupBy("month").agg(F.round(F.avg("value"), 4).alias("quantity")), "month").withColumn("month", F.col("month").cast("string")))
+_RIGHT_NAMES = ["quantity", "price", "discount", "tax", "constant"]
+_RIGHT_PIVOT = ", ".join(f"round(avg(value) FILTER (series = '{n}'), 4) AS {n}" for n in _RIGHT_NAMES)
+query("month_join", f"SELECT CAST(l.month AS VARCHAR) AS month, l.*EXCLUDE(month), r.*EXCLUDE(month) FROM (SELECT month, {_PIVOT} FROM ({X.duck(X.MONTHLY_LEFT)}) GROUP BY month) l JOIN (SELECT month, {_RIGHT_PIVOT} FROM ({X.duck(X.MONTHLY_RIGHT)}) GROUP BY month) r ON l.month = r.month")(
+    lambda s, d: _pivoted(s, d).join(series.pivot_mean(X.load(s, d, X.MONTHLY_RIGHT), _RIGHT_NAMES).select("month", *[F.round(n, 4).alias(n) for n in _RIGHT_NAMES]), "month").withColumn("month", F.col("month").cast("string")))
 query("corr_matrix", f"""WITH l AS ({X.duck(X.MONTHLY_LEFT)}), r AS ({X.duck(X.MONTHLY_RIGHT)}), a AS (SELECT month, series, avg(value) AS v FROM (SELECT * FROM l UNION ALL SELECT * FROM r)
   WHERE month IN (SELECT month FROM l) AND month IN (SELECT month FROM r) GROUP BY ALL)
   SELECT x.series AS series_a, y.series AS series_b, round(covar_pop(x.v, y.v) / nullif(stddev_pop(x.v) * stddev_pop(y.v), 0), 6) AS r FROM a x JOIN a y ON x.month = y.month GROUP BY ALL""")(
@@ -210,36 +225,38 @@ query("ptbr_number", "SELECT o_orderkey, " + _SAFE.format("t") + f" AS value FRO
 query("parse_dates", f"SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(d AS VARCHAR) END AS br, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(d AS VARCHAR) END AS iso FROM ({_DATES})")(
     lambda s, d: X.load(s, d, X.DATES).select("o_orderkey", T.brazilian_date(F.expr("CASE WHEN o_orderkey % 5 = 0 THEN '31/13/' || yyyy ELSE dd || '/' || mm || '/' || yyyy END")).cast("string").alias("br"),
         T.iso_date(F.expr("CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE yyyy || '-' || mm || '-' || dd || CASE o_orderkey % 3 WHEN 0 THEN 'T00:00:00-03:00' WHEN 1 THEN 'T23:00:00Z' ELSE '' END END")).cast("string").alias("iso")))
-_CODE = "CASE o_orderkey % 5 WHEN 0 THEN yyyy || mm || dd WHEN 1 THEN yyyy || mm WHEN 2 THEN yyyy || CAST(o_orderkey % 4 + 1 AS STRING) WHEN 3 THEN yyyy ELSE '1' || yyyy || mm END"
-query("period_code", f"""SELECT o_orderkey, code, CASE length(code) WHEN 8 THEN 'D' WHEN 5 THEN 'Q' WHEN 4 THEN 'A' ELSE 'M' END AS frequency, CASE o_orderkey % 5 WHEN 0 THEN yyyy || '-' || mm || '-' || dd WHEN 1 THEN yyyy || '-' || mm || '-01'
+_CODE = "CASE o_orderkey % 5 WHEN 0 THEN yyyy || mm || dd WHEN 1 THEN yyyy || '-' || mm WHEN 2 THEN yyyy || CAST(o_orderkey % 4 + 1 AS STRING) WHEN 3 THEN yyyy ELSE '1' || yyyy || mm END"
+query("period_code", f"""SELECT o_orderkey, code, CASE length(replace(code, '-', '')) WHEN 8 THEN 'D' WHEN 5 THEN 'Q' WHEN 4 THEN 'A' ELSE 'M' END AS frequency, CASE o_orderkey % 5 WHEN 0 THEN yyyy || '-' || mm || '-' || dd WHEN 1 THEN yyyy || '-' || mm || '-01'
   WHEN 2 THEN yyyy || CASE o_orderkey % 4 WHEN 0 THEN '-01-01' WHEN 1 THEN '-04-01' WHEN 2 THEN '-07-01' ELSE '-10-01' END WHEN 3 THEN yyyy || '-01-01' END AS date FROM (SELECT *, {_CODE} AS code FROM ({_DATES}))""")(
     lambda s, d: X.load(s, d, X.DATES).withColumn("code", F.expr(_CODE)).select("o_orderkey", "code", T.period_frequency(F.col("code")).alias("frequency"), T.period_date(F.col("code")).cast("string").alias("date")))
 _LABEL = "CASE o_orderkey % 6 WHEN 0 THEN 'jan18' WHEN 1 THEN 'abc-18' ELSE lower({}) || '.-' || substr(yyyy, 3, 2) END"
 _MMM = "CASE mm " + " ".join(f"WHEN '{i + 1:02d}' THEN '{m}'" for i, m in enumerate(T.MONTHS)) + " END"
 query("ptbr_month", f"SELECT o_orderkey, CASE WHEN o_orderkey % 6 > 1 THEN '20' || substr(yyyy, 3, 2) || '-' || mm || '-01' END AS month FROM ({_DATES})")(
     lambda s, d: X.load(s, d, X.DATES).select("o_orderkey", T.ptbr_month(F.expr(_LABEL.format(_MMM))).cast("string").alias("month")))
-query("accent_fold", "SELECT doc_id, md5(translate(lower(text), 'áàâãäéèêëíìîïóòôõöúùûüçñ', 'aaaaaeeeeiiiiooooouuuucn')) AS folded FROM documents")(
-    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(T.fold_accents(F.col("text")).cast("binary")).alias("folded")))
+# beside the letters of the texts, some with marks of their own and some of other alphabets' accents
+_ACCENTS = "replace(text, 'é', 'e' || chr(769)) || 'Ýpsilōn Ğ ř ő Å'"
+query("accent_fold", f"SELECT doc_id, md5(lower(strip_accents({_ACCENTS}))) AS folded FROM documents")(
+    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(T.fold_accents(F.concat(F.replace("text", F.lit("é"), F.lit("e\u0301")), F.lit("Ýpsilōn Ğ ř ő Å"))).cast("binary")).alias("folded")))
 
 
 def _bodies(s: SparkSession, d: str) -> DataFrame:
     rows = s.read.parquet(f"{d}/orders.parquet")
     value = F.when(F.col("o_orderkey") % 4 == 0, "...").otherwise(F.col("o_orderkey").cast("string"))
     return rows.select("o_orderkey", F.concat(
-        F.lit('[{"D1C":"NC","D2C":"Mês","V":"Valor"},{"D1C":"4099","D1N":"Construção '), "o_orderpriority", F.lit('","D2C":"'), F.date_format("o_orderdate", "yyyyMM"),
+        F.lit('[1,{"D1C":"NC","D2C":"Mês","V":"Valor"},"x",null,{"D1C":"4099","D1N":"Construção '), "o_orderpriority", F.lit('","D2C":" '), F.date_format("o_orderdate", "yyyy-MM"),
         F.lit('","D2N":"mês","V":"'), value, F.lit('"}]')).alias("body"))
 
 
 query("json_source_a", f"SELECT o_orderkey, CAST(d AS VARCHAR) AS date, CAST(o_orderkey AS DOUBLE) + 0.5 AS value FROM ({_DATES}) WHERE o_orderkey % 4 <> 0")(
     lambda s, d: landed_json.source_a(X.load(s, d, X.DATES).select("o_orderkey", F.concat(F.lit('[{"data":"31/13/2024","valor":"1"},{"data":"'), "dd", F.lit("/"), "mm", F.lit("/"), "yyyy", F.lit('","valor":"'), F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.concat(F.col("o_orderkey").cast("string"), F.lit(",5"))), F.lit('"}]')).alias("body")), "body").withColumn("date", F.col("date").cast("string")))
-query("json_source_b", f"SELECT o_orderkey, yyyy || mm AS period, yyyy || '-' || mm || '-01' AS date, 'M' AS frequency, CAST(o_orderkey AS DOUBLE) AS value FROM ({_DATES}) WHERE o_orderkey % 4 <> 0")(
+query("json_source_b", f"SELECT o_orderkey, yyyy || '-' || mm AS period, yyyy || '-' || mm || '-01' AS date, 'M' AS frequency, CAST(o_orderkey AS DOUBLE) AS value FROM ({_DATES}) WHERE o_orderkey % 4 <> 0")(
     lambda s, d: landed_json.source_b(_bodies(s, d), "body").withColumn("date", F.col("date").cast("string")))
 query("json_source_c", f"SELECT o_orderkey, 'X' || o_orderkey AS code, CAST(d AS VARCHAR) AS date, CAST(o_orderkey AS DOUBLE) AS value FROM ({_DATES}) WHERE o_orderkey % 4 <> 0")(
     lambda s, d: landed_json.source_c(X.load(s, d, X.DATES).select("o_orderkey", F.concat(F.lit('{"value":[{"SERCODIGO":"X'), F.col("o_orderkey").cast("string"), F.lit('","VALDATA":"'), "yyyy", F.lit("-"), "mm", F.lit("-"), "dd", F.lit('T00:00:00-03:00","VALVALOR":'), F.when(F.col("o_orderkey") % 4 == 0, "null").otherwise(F.col("o_orderkey").cast("string")), F.lit("}]}")).alias("body")), "body").withColumn("date", F.col("date").cast("string")))
-query("period_key_detect", f"SELECT o_orderkey, yyyy || mm AS period FROM ({_DATES})")(
+query("period_key_detect", f"SELECT o_orderkey, yyyy || '-' || mm AS period FROM ({_DATES})")(
     lambda s, d: landed_json.entries(_bodies(s, d), "body").select("o_orderkey", landed_json.period_code(F.col("m")).alias("period")).where(F.col("period").isNotNull()))
 query("keyword_filter", "SELECT o_orderkey FROM orders WHERE contains(o_orderpriority, 'HIGH')")(
-    lambda s, d: landed_json.entries(_bodies(s, d), "body").where(landed_json.has_keywords(F.col("m"), ["construcao", "high"])).select("o_orderkey"))
+    lambda s, d: landed_json.entries(_bodies(s, d), "body").where(landed_json.has_keywords(F.col("m"), ["Construção", "high"])).select("o_orderkey"))
 
 # --- wide files: the lines are rendered from monthly means, then melted again
 
@@ -276,7 +293,7 @@ def sink_append(s: SparkSession, d: str) -> DataFrame:
     return s.read.schema("id bigint, page int, segment string").parquet(path).select("id", "segment", "page")
 
 
-@query("sink_csv", "SELECT p_partkey, p_type, p_retailprice FROM part")
+@query("sink_csv", f"SELECT p_partkey, p_type, p_retailprice FROM ({_PARTS})")
 def sink_csv(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "csv")
     sinks.write_csv(part(s, d).select("p_partkey", "p_type", "p_retailprice"), path)
@@ -284,6 +301,37 @@ def sink_csv(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("schema_contract", f"""SELECT 'listings' AS table_name, (SELECT count(*) FROM ({_L})) AS n, CAST(0 AS BIGINT) AS nulls, (SELECT count(*) - count(DISTINCT id) FROM ({_L})) AS repeats
-  UNION ALL SELECT 'series', count(*), CAST(0 AS BIGINT), count(*) - count(DISTINCT (code, date)) FROM ({_S})""")
+  UNION ALL SELECT 'series', count(*), CAST(0 AS BIGINT), count(*) - count(DISTINCT (code, date)) FROM ({_S})
+  UNION ALL SELECT 'clean_listings', count(*), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM ({_CLEAN})
+  UNION ALL SELECT 'progress', count(*), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM ({X.duck(X.PROGRESS)})
+  UNION ALL SELECT 'statistics', count(*), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM ({_DESCRIBED})
+  UNION ALL SELECT 'price_index', count(*), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM ({X.duck(_WIDE)})""")
 def schema_contract(s: SparkSession, d: str) -> DataFrame:
-    return sinks.violations(raw(s, d), "listings", *sinks.CONTRACTS["listings"]).unionByName(sinks.violations(X.load(s, d, X.SERIES), "series", *sinks.CONTRACTS["series"]))
+    tables = {"listings": raw(s, d), "series": X.load(s, d, X.SERIES), "clean_listings": clean(s, d), "progress": X.load(s, d, X.PROGRESS), "statistics": described(s, d), "price_index": wide_index.load(wide_lines(s, d))}
+    return functools.reduce(DataFrame.unionByName, [sinks.violations(sinks.conform(df, name), name, *sinks.CONTRACTS[name]) for name, df in tables.items()])
+
+
+# --- tables that are replaced as a whole, read in order
+
+
+def _stored(s: SparkSession, name: str, df: DataFrame, order: list[str]) -> DataFrame:
+    """A table replaced by df, then by nothing, which changes nothing, read in order."""
+    path = scratch(s, name)
+    sinks.replace(sinks.conform(df, name), path)
+    sinks.replace(s.createDataFrame([], sinks.SCHEMAS[name]), path)
+    return sinks.current(s, path, order)
+
+
+query("listings_table", _CLEAN)(lambda s, d: _stored(s, "clean_listings", clean(s, d), ["address", "price", "area"]))
+query("statistics_table", _DESCRIBED)(lambda s, d: _stored(s, "statistics", described(s, d), ["kind", "field"]))
+query("price_index_table", ORACLES["price_index_load"])(lambda s, d: _stored(s, "price_index", wide_index.load(wide_lines(s, d)), ["date"]).withColumn("date", F.col("date").cast("string")))
+query("series_table", f"SELECT source, code, CAST(date AS VARCHAR) AS date, value, CAST(CAST(seen AS DATE) AS VARCHAR) AS seen, 'R$' AS unit, 'M' AS frequency, CASE WHEN code = '5-LOW' THEN NULL ELSE 'series ' || substr(code, 1, 1) END AS name FROM ({_UPSERT})")(
+    lambda s, d: _stored(s, "series", _upserted(s, d), ["date", "source", "code"]).withColumns({c: F.col(c).cast("string") for c in ("date", "seen")}))
+
+
+@query("record_pages", f"SELECT segment, page, count(*) AS n FROM (SELECT * FROM ({X.duck(X.PROGRESS)}) UNION SELECT * FROM ({X.duck(X.EMPTY)})) GROUP BY ALL")
+def record_pages(s: SparkSession, d: str) -> DataFrame:
+    rows, marks = scratch(s, "rows"), scratch(s, "marks")
+    for pages_ in (X.load(s, d, X.PROGRESS), X.load(s, d, X.EMPTY)):
+        sinks.record(pages_.withColumn("address", F.lit("x")), pages_, rows, marks, ["segment", "page"])
+    return s.read.parquet(marks).groupBy("segment", "page").agg(F.count(F.lit(1)).alias("n"))

@@ -16,17 +16,22 @@ def source_a(df: DataFrame, body: str) -> DataFrame:
 
 
 def entries(df: DataFrame, body: str) -> DataFrame:
-    """Arrays of objects with keys of their own, one row an object, as a map."""
-    rows = df.select("*", F.explode(F.from_json(body, "array<map<string,string>>")).alias("m")).drop(body)
+    """Arrays of objects with keys of their own, one row an object, as a map in the order of the text. Elements that are no objects are left out."""
+    each = df.select("*", F.explode(F.from_json(body, "array<string>")).alias("e")).drop(body)
+    rows = each.withColumn("m", F.from_json("e", "map<string,string>")).drop("e")
     return rows.where(F.col("m").isNotNull())
 
 
 def period_code(m: Column, key: str | None = None) -> Column:
-    """Value of the forced key, else of the first key D<n>C whose value is a code of 4, 5, 6 or 8 digits with a year of 1990-2035."""
+    """Value of the forced key, else of the first key D<n>C whose value has 4, 5, 6 or 8 digits, the first four a year of 1990-2035; without outer blanks."""
     if key:
-        return F.try_element_at(m, F.lit(key))
-    fits = F.filter(F.map_entries(m), lambda e: e["key"].rlike(r"^D\d+C$") & e["value"].rlike(r"^(\d{4}|\d{5}|\d{6}|\d{8})$") & F.substring(e["value"], 1, 4).try_cast("int").between(1990, 2035))
-    return F.get(fits, F.lit(0))["value"]
+        return F.trim(F.try_element_at(m, F.lit(key)))
+
+    def fits(e: Column) -> Column:
+        digits = F.regexp_replace(e["value"], "[^0-9]", "")
+        return e["key"].rlike(r"^D\d+C$") & F.length(digits).isin(4, 5, 6, 8) & F.substring(digits, 1, 4).try_cast("int").between(1990, 2035)
+
+    return F.trim(F.get(F.filter(F.map_entries(m), fits), F.lit(0))["value"])
 
 
 def has_keywords(m: Column, words: list[str]) -> Column:
@@ -34,7 +39,7 @@ def has_keywords(m: Column, words: list[str]) -> Column:
     names = T.fold_accents(F.array_join(F.map_values(F.map_filter(m, lambda k, v: k.endswith("N"))), " "))
     out = F.lit(True)
     for w in words:
-        out = out & names.contains(w)
+        out = out & names.contains(T.fold_accents(F.lit(w)))
     return out
 
 

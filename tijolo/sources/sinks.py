@@ -7,30 +7,70 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables and their columns.
+SCHEMAS = {
+    "listings": "id bigint, segment string, min_price bigint, page int, address string, price_text string, area_text string, rooms_text string, baths_text string, parking_text string",
+    "clean_listings": "address string, price double, area double, id bigint, rooms int, baths int, parking int, kind string, unit_price double",
+    "progress": "segment int, page int",
+    "series": "source string, code string, date date, name string, value double, unit string, frequency string, seen date",
+    "price_index": "date date, price_m2 double, rent_m2 double, monthly_sale double, monthly_rent double, yearly_sale double, yearly_rent double, rent_yield double",
+    "statistics": "kind string, field string, unit string, n bigint, mean double, median double, stddev double",
+}
 #: Table to (columns that must not be null, columns that are unique together).
 CONTRACTS = {
-    "listings": (["id"], ["id"]), "progress": (["segment", "min_price", "page"], ["segment", "min_price", "page"]),
+    "listings": (["id"], ["id"]), "clean_listings": (["address", "price", "area"], ["address", "price", "area"]), "progress": (["segment", "page"], ["segment", "page"]),
     "series": (["source", "code", "date"], ["source", "code", "date"]), "price_index": (["date"], ["date"]), "statistics": (["kind", "field"], ["kind", "field"]),
 }
 
 
+def conform(df: DataFrame, name: str) -> DataFrame:
+    """df in the columns, types and order of a table's schema; a column that is not there is an error."""
+    fields = [x.rsplit(" ", 1) for x in SCHEMAS[name].split(", ")]
+    return df.select(*[F.col(c).cast(t).alias(c) for c, t in fields])
+
+
 def append(df: DataFrame, path: str, partition: str | None = None) -> None:
     writer = df.write.mode("append")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """New content beside the old, then a rename; an empty df keeps the old content."""
-    if df.isEmpty():
-        return
-    spark, new, old = df.sparkSession, f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    to = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    fs = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(to(path)):
-        fs.rename(to(path), to(old))
-    fs.rename(to(new), to(path))
-    fs.delete(to(old), True)
+    """New content in a folder of its own, which counts once it is listed; an empty df keeps the old content.
+
+    The rows are written once and looked at there. The list grows by one committed file, so that a reader sees the old
+    rows or the new ones at any time, and a job that dies in between leaves the old ones.
+    """
+    spark, rows = df.sparkSession, f"{path}/rows/{uuid.uuid4().hex}"
+    df.write.parquet(rows)
+    if not spark.read.schema(df.schema).parquet(rows).isEmpty():
+        number = (_versions(spark, path).agg(F.max("number")).first()[0] or 0) + 1
+        spark.range(1).select(F.lit(number).cast("long").alias("number"), F.lit(rows).alias("rows")).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    """The list of contents; an empty one is begun where there is none."""
+    none = spark.createDataFrame([], "number bigint, rows string")
+    none.write.mode("ignore").parquet(f"{path}/versions")
+    return spark.read.schema(none.schema).parquet(f"{path}/versions")
+
+
+def current(spark: SparkSession, path: str, order: list[str] = ()) -> DataFrame:
+    """The content that counts, ordered where an order is asked for."""
+    last = _versions(spark, path).agg(F.max_by("rows", F.struct("number", "rows"))).first()[0]
+    if last is None:
+        raise ValueError(f"{path} has no content")
+    df = spark.read.parquet(last)
+    return df.orderBy(*order) if order else df
+
+
+def record(rows: DataFrame, progress: DataFrame, rows_path: str, progress_path: str, keys: list[str]) -> None:
+    """Append a page's rows, then its mark, unless it is marked: a job that dies in between collects the page again, and loses none."""
+    spark = rows.sparkSession
+    progress.limit(0).write.mode("ignore").parquet(progress_path)
+    marked = spark.read.schema(progress.schema).parquet(progress_path).select(*keys)
+    fresh = progress.dropDuplicates(keys).join(marked, keys, "left_anti").select(progress.columns)
+    append(rows, rows_path)
+    append(fresh, progress_path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
