@@ -243,7 +243,7 @@ def _bodies(s: SparkSession, d: str) -> DataFrame:
     rows = s.read.parquet(f"{d}/orders.parquet")
     value = F.when(F.col("o_orderkey") % 4 == 0, "...").otherwise(F.col("o_orderkey").cast("string"))
     return rows.select("o_orderkey", F.concat(
-        F.lit('[1,{"D1C":"NC","D2C":"Mês","V":"Valor"},"x",null,{"D1C":"4099","D1N":"Construção '), "o_orderpriority", F.lit('","D2C":" '), F.date_format("o_orderdate", "yyyy-MM"),
+        F.when(F.col("o_orderkey") % 7 == 0, '[1,"x",null,').otherwise("["), F.lit('{"D1C":"NC","D2C":"Mês","V":"Valor"},{"D1C":"4099","D1N":"Construção '), "o_orderpriority", F.lit('","D2C":" '), F.date_format("o_orderdate", "yyyy-MM"),
         F.lit('","D2N":"mês","V":"'), value, F.lit('"}]')).alias("body"))
 
 

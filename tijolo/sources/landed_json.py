@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from tijolo.functions import text as T
 
 
+def once(value: Column) -> Column:
+    """A generator of the value alone. An expression that stands in several columns is evaluated for each; a generated one is not."""
+    return F.explode(F.array(value))
+
+
 def source_a(df: DataFrame, body: str) -> DataFrame:
     """Arrays of {data: dd/MM/yyyy, valor: text}."""
     rows = df.select("*", F.explode(F.from_json(body, "array<struct<data:string,valor:string>>")).alias("r")).drop(body)
@@ -17,8 +22,9 @@ def source_a(df: DataFrame, body: str) -> DataFrame:
 
 def entries(df: DataFrame, body: str) -> DataFrame:
     """Arrays of objects with keys of their own, one row an object, as a map in the order of the text. Elements that are no objects are left out."""
-    each = df.select("*", F.explode(F.from_json(body, "array<string>")).alias("e")).drop(body)
-    rows = each.withColumn("m", F.from_json("e", "map<string,string>")).drop("e")
+    # an array with other elements is none of maps, and only then read element by element
+    each = F.transform(F.from_json(body, "array<string>"), lambda e: F.from_json(e, "map<string,string>"))
+    rows = df.select("*", F.explode(F.coalesce(F.from_json(body, "array<map<string,string>>"), each)).alias("m")).drop(body)
     return rows.where(F.col("m").isNotNull())
 
 
@@ -47,8 +53,10 @@ def source_b(df: DataFrame, body: str, value_key: str = "V", key: str | None = N
     rows = entries(df, body)
     if words:
         rows = rows.where(has_keywords(F.col("m"), list(words)))
-    code = period_code(F.col("m"), key)
-    out = rows.select(*[c for c in rows.columns if c != "m"], code.alias("period"), T.period_date(code).alias("date"), T.period_frequency(code).alias("frequency"), T.parse_number(F.try_element_at("m", F.lit(value_key))).alias("value"))
+    kept = [c for c in rows.columns if c != "m"]
+    code = F.col("_code")
+    coded = rows.select(*kept, once(period_code(F.col("m"), key)).alias("_code"), F.try_element_at("m", F.lit(value_key)).alias("_value"))
+    out = coded.select(*kept, code.alias("period"), T.period_date(code).alias("date"), T.period_frequency(code).alias("frequency"), T.parse_number(F.col("_value")).alias("value"))
     return out.where(F.col("date").isNotNull() & F.col("value").isNotNull())
 
 
