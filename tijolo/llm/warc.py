@@ -4,7 +4,8 @@ An ARC file is a sequence of records, each a header line and as many bytes as th
 file's first record names the version: lines of version 1 have five fields, those of version 2 ten.
 The converter synthesises what WARC has and ARC has not: record identifiers (from address, date and
 payload digest), ISO timestamps, record types and SHA-1 digests. Archives are files written by Spark's
-text writer, one row a file, gzip-compressed; they are read back as binary files.
+text writer, one row a file, gzip-compressed; they are read back as binary files. Damaged ARC records are
+left out and reported, and reading goes on at the next header line.
 """
 
 from __future__ import annotations
@@ -57,28 +58,49 @@ def arc_record(version: int, name: str, offset: int, url: str | None, page_id: o
     return f"{_address(url)} {IP} {DATE} {KIND} {middle}{len(block)}\n".encode() + block + b"\n"
 
 
-def read_arc(raw: bytes) -> Iterator[dict]:
-    """Records after the version block: url, ip, date, kind and block, by the header's declared length."""
+#: A header line: address, IP, 14 digits of a date, type, and at last the length; those of version 2 have five fields more in between.
+_HEADER = re.compile(rb"^(\S+) (\S+) (\d{14}) (\S+) ((?:\S+ ){5})?(\d+)\r?$", re.M)
+
+
+def read_arc(raw: bytes, damaged: list[tuple[int, str]] | None = None) -> Iterator[dict]:
+    """Records after the version block: url, ip, date, kind and block, by the header's declared length.
+
+    What is no header line of the file's version, a block that is cut short, and a file without a known version are damage:
+    its place and reason are added to `damaged`, and reading goes on at the next header line behind it, if there is one.
+    """
     at, version = 0, 0
+    note = lambda reason: damaged.append((at, reason)) if damaged is not None else None
     while at < len(raw):
         if raw[at : at + 1] in (b"\n", b"\r"):
             at += 1
             continue
-        end = raw.index(b"\n", at)
-        fields = raw[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
-        length = int(fields[-1])
-        block = raw[end + 1 : end + 1 + length]
+        header = _HEADER.match(raw, at)
+        if not header or version and bool(header[5]) != (version == 2):
+            note("no header line")
+            following = _HEADER.search(raw, at + 1)
+            if not following:
+                return
+            at = following.start()
+            continue
+        length = int(header[6])
+        block = raw[header.end() + 1 : header.end() + 1 + length]
         if len(block) < length:
-            raise ValueError("an ARC record is cut short")
-        at = end + 1 + length
+            note("cut short")
+            following = _HEADER.search(raw, header.end())
+            if not following:
+                return
+            at = following.start()
+            continue
         if not version:
-            version = int(block.split(b" ", 1)[0])
-            if version not in FIELDS:
-                raise ValueError(f"ARC version {version} is not known")
+            first = block.split(b" ", 1)[0]
+            version = int(first) if first in (b"1", b"2") else 0
+            if not version:
+                note("unknown version")
+                return
         else:
-            if len(fields) != len(FIELDS[version].split()):
-                raise ValueError("an ARC header line has other fields than its version names")
-            yield {"url": fields[0], "ip": fields[1], "date": fields[2], "kind": fields[3], "block": block}
+            url, ip, date, kind = (x.decode("utf-8", "replace") for x in header.groups()[:4])
+            yield {"url": url, "ip": ip, "date": date, "kind": kind, "block": block}
+        at = header.end() + 1 + length
 
 
 def payload_of(block: bytes) -> tuple[dict[str, str], bytes]:
@@ -169,8 +191,9 @@ def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     _save(pages.select(ids.alias("i"), F.col(url).alias("u"), F.col(html).alias("t")).mapInPandas(pack, "content binary"), path)
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST_BYTES, id_type: str = "bigint") -> None:
+def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST_BYTES, id_type: str = "bigint") -> DataFrame:
     """WARC archives of the ARC archives under arc_path, one for one; an archive without records gives none.
+    Returns the damage: path, offset and reason of each place that was left out.
 
     Of records with equal payloads of at least `least` bytes, the one with the smallest page id (read as
     id_type) is a response and the others revisit it; records without an id, and rows repeated with the id of
@@ -183,14 +206,17 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEA
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                for r in read_arc(_opened(content)):
+                damaged: list[tuple[int, str]] = []
+                for r in read_arc(_opened(content), damaged):
                     http, payload = payload_of(r["block"])
                     if len(payload) >= least and "x-page-id" in http:
                         digest = sha1(payload)
                         rows.append((path, http["x-page-id"], digest, len(payload), record_id(r["url"], r["date"], http["x-page-id"], digest)))
+                rows.extend((path, None, reason, offset, None) for offset, reason in damaged)
             yield pd.DataFrame(rows, columns=["path", "page", "digest", "length", "record"])
 
-    found = written(arcs.mapInPandas(index, "path string, page string, digest string, length bigint, record string"), "arc-index")
+    every = written(arcs.mapInPandas(index, "path string, page string, digest string, length bigint, record string"), "arc-index")
+    found = every.where(F.col("record").isNotNull())
     number = F.col("page").cast(id_type)
     firsts = found.groupBy("digest", "length").agg(F.min(F.struct(number.alias("n"), F.col("page"), F.col("record"))).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1")
     again = found.join(firsts, ["digest", "length"]).where(number > F.col("first.n"))
@@ -206,6 +232,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEA
 
     # an archive's list is no longer than the archive
     _save(arcs.join(again, "path", "left").select("content", "again").mapInPandas(rewrite, "content binary"), warc_path)
+    return every.where(F.col("record").isNull()).select("path", F.col("length").alias("offset"), F.col("digest").alias("reason"))
 
 
 def read(spark: SparkSession, warc_path: str) -> DataFrame:
