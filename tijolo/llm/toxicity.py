@@ -150,8 +150,10 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id") -> DataFrame:
-    """docs joined to at most `sample` labels, those with the least hash of the key; so few are broadcast."""
-    few = labels.dropDuplicates([key]).orderBy(F.xxhash64(key), key).limit(sample)
+    """docs joined to at most `sample` labels, those with the least hash of the key; so few are broadcast. Where a key has several
+    labels the greatest of each category counts, so that a rerun gives the same rows."""
+    once = labels.groupBy(key).agg(*[F.max(c).alias(c) for c in labels.columns if c != key])
+    few = once.orderBy(F.xxhash64(key), key).limit(sample)
     return docs.join(F.broadcast(few), key)
 
 
