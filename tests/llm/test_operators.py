@@ -269,7 +269,7 @@ def test_language_held_out(spark, odd, none):
 def test_toxicity_held_out(spark, none):
     d = DATA.replace("0.001", "0.1")
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
-    docs = docs.select("doc_id", "text").join(labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), F.col("toxic").alias("y")), "doc_id").where("length(text) < 4000")
+    docs = docs.select("doc_id", "text").join(labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), F.col("toxic").alias("y")), "doc_id")
     model = toxicity.fit(docs.where("doc_id % 3 > 0").withColumnRenamed("y", "toxic"), ["low_quality", "toxic"])
     got = toxicity.score(docs.where("doc_id % 3 = 0"), model).toPandas()
     said = got["p_toxic"] >= toxicity.THRESHOLD
@@ -292,6 +292,45 @@ def test_repeats_of_odd_rows(odd, none):
     assert {bytes(r.kept) for r in got if r.doc_id == 5} == {b""} and [bytes(r.kept) for r in got if r.doc_id in (1, 2)] == [b"", b""]
 
 
+def test_damaged_archives_are_read_on(spark, tmp_path):
+    for version in (1, 2):
+        head = warc.arc_head(version, "x.arc")
+        parts = [warc.arc_record(version, "x.arc", 0, f"http://h/{i}", i, f"page {i}\n\n".encode() * 3) for i in range(4)]
+        urls = lambda raw, bad: [r["url"][-1] for r in warc.read_arc(raw, bad)]
+        assert urls(head + b"".join(parts), bad := []) == list("0123") and bad == []
+        wrong = re.sub(rb"(\d+)\n(?=HTTP)", lambda m: b"%d\n" % (int(m[1]) + 9000), parts[1])
+        assert urls(head + parts[0] + wrong + parts[2] + parts[3], bad := []) == list("023") and [r for _, r in bad] == ["cut short"]
+        assert urls(head + parts[0] + b"noise\nmore\n" + parts[1], bad := []) == list("01") and [r for _, r in bad] == ["no header line"]
+        assert urls(head + parts[0] + parts[1][:-20], bad := []) == ["0"] and [r for _, r in bad] == ["cut short"]
+        assert urls(head.replace(b" 0 tijolo", b" 0 tijola").replace(b"%d 0 tijola" % version, b"7 0 tijola") + parts[0], bad := []) == [] and [r for _, r in bad] == ["unknown version"]
+        assert urls(b"", None) == [] and urls(b"\n\n", None) == []
+    pages = spark.createDataFrame([(1, "http://a", "x"), (2, "http://b", "x")], "page_id long, url string, html string")
+    a, w = str(tmp_path / "a"), str(tmp_path / "w")
+    warc.write_arc(pages.coalesce(1), a)
+    assert warc.convert(spark, a, w).count() == 0 and warc.read(spark, w).count() == 2
+
+
+def test_long_items_are_cut_into_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(decontamination, "PIECE", 5)
+    long = " ".join(f"w{i}" for i in range(40))
+    items = spark.createDataFrame([(1, long), (2, "a b c"), (2, "a b c"), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"z {' '.join(f'w{k}' for k in range(i, i + 10))} z") for i in range(31)] + [(99, "x a b c")], "doc_id long, text string")
+    sizes, scan = [], decontamination.scan
+    monkeypatch.setattr(decontamination, "scan", lambda d, block, *a, **b: (sizes.append([len(t) for _, t in block]), scan(d, block, *a, **b))[1])
+    got = {r.doc_id: (r._n_words, [tuple(x) for x in r._spans], r._items) for r in decontamination.find(docs, items).collect()}
+    assert got == {**{i: (12, [(1, 11)], ["1"]) for i in range(31)}, 99: (4, [(1, 4)], ["2"])}
+    assert len(sizes) > 2 and all(sum(x) - max(x) < 60 for x in sizes)
+    with pytest.raises(ValueError):
+        decontamination.find(docs.withColumn("_spans", F.lit(1)), items)
+
+
+def test_conflicting_labels_count_as_the_greatest(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None)], "doc_id long, toxic int")
+    assert {(r.doc_id, r.toxic) for r in toxicity.labelled_sample(docs, labels).collect()} == {(1, 1), (2, 0)}
+
+
 def test_archives_of_no_pages(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string, path string")
     a, w = str(tmp_path / "a"), str(tmp_path / "w")

@@ -2,9 +2,10 @@
 
 Benchmark items become windows of word ids. Every document's words are mapped to the same ids, a
 rolling hash of each window length is looked up in the sorted benchmark hashes, and each hit is
-verified word by word before it marks the document's words. The set is built in blocks of at most
-BLOCK_BYTES of benchmark text; a benchmark of more blocks is scanned block after block, each block
-against all documents, so that no broadcast grows with the benchmark.
+verified word by word before it marks the document's words. Items are cut into pieces that overlap by a
+window, and the set is built in blocks of at most BLOCK_BYTES and one piece, by measured sizes; a benchmark
+of more blocks is scanned block after block, each block against all documents, so that no broadcast grows with
+the benchmark.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from tijolo.llm.common import LOWER, UPPER, small_batches, table, written
 
@@ -27,6 +29,8 @@ _MAP = bytes(
 )
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SLICE = 2_000_000
+#: Words that a piece of a long item starts with windows of. A piece is broadcast whole, however long its words are.
+PIECE = 50_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -78,9 +82,9 @@ def _rolling(ids: np.ndarray, m: int) -> np.ndarray:
         return out
 
 
-def scan(docs: DataFrame, items: list[tuple[object, str | None]], n: int, text: str = "text", first: bool = True) -> DataFrame:
+def scan(docs: DataFrame, items: list[tuple[object, str]], n: int, text: str = "text", first: bool = True) -> DataFrame:
     """Adds, or extends, n_words, spans (word ranges hit, merged) and items (ids as strings) of one block."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_BYTES of text
+    shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_BYTES of text and one piece
     kept = [c for c in docs.columns if c not in ("_n_words", "_spans", "_items")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,20 +120,44 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "te
 
     A window is n consecutive item words; an item of fewer words, but not none, is one window. Words are runs
     of lower-cased ASCII letters, digits and anything beyond ASCII. Null or empty text has no words; an item with
-    a null id marks words but is not listed; repeated items count once; an empty benchmark hits nothing.
+    a null id marks words but is not listed; repeated items count once; an empty benchmark hits nothing. Columns
+    of docs that are named like those added are an error.
     """
     small_batches(docs.sparkSession)
-    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = -(-size // BLOCK_BYTES) or 1
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
-        docs = scan(docs, [(r.i, r.t) for r in block.toLocalIterator()], n, text, first=k == 0)
-        if blocks > 1:
-            docs = written(docs, "decontaminated")
+    clash = {"_n_words", "_spans", "_items"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"docs has columns of the result: {sorted(clash)}")
+    pieces = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).distinct().mapInPandas(_pieces(n), f"i {benchmark.schema[item_id].dataType.simpleString()}, t string, size bigint")
+    pieces = written(pieces.distinct(), "benchmark-pieces")
+    size = pieces.agg(F.sum("size")).first()[0] or 0
+    if size <= BLOCK_BYTES:
+        return scan(docs, [(r.i, r.t) for r in pieces.toLocalIterator()], n, text)
+    # a block has the pieces that start in BLOCK_BYTES of a group's running size; a group has about 16 blocks
+    tie = F.xxhash64("i", "t")
+    running = F.sum("size").over(Window.partitionBy("g").orderBy(tie, "i", "t").rowsBetween(Window.unboundedPreceding, 0))
+    dealt = pieces.withColumn("g", F.pmod(tie, F.lit(-(-size // (16 * BLOCK_BYTES))))).withColumn("b", F.floor((running - F.col("size")) / BLOCK_BYTES))
+    dealt = written(dealt, "benchmark-blocks")
+    for k, (g, b) in enumerate(sorted((r.g, r.b) for r in dealt.select("g", "b").distinct().collect())):  # two numbers a scan
+        block = dealt.where((F.col("g") == g) & (F.col("b") == b))
+        docs = written(scan(docs, [(r.i, r.t) for r in block.toLocalIterator()], n, text, first=k == 0), "decontaminated")
     return docs
 
 
+def _pieces(n: int):
+    """Items cut so that each window is in one piece; an item of one piece stays as it is."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for i, t in zip(pdf["i"].astype(object), pdf["t"]):
+                w = words(t)
+                for k in range(0, len(w) - n + 1, PIECE) if len(w) > PIECE + n else [0]:
+                    piece = b" ".join(w[k : k + PIECE + n - 1])
+                    rows.append((None if pd.isna(i) else i, piece.decode("utf-8", "surrogatepass"), len(piece)))
+            yield pd.DataFrame({"i": pd.Series([r[0] for r in rows], dtype=object), "t": [r[1] for r in rows], "size": [r[2] for r in rows]})
+
+    return run
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most: float = 0.0) -> DataFrame:
     """docs without the documents of which more than the share `most` of words is hit."""
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
