@@ -73,7 +73,8 @@ def with_next(df: DataFrame, key: str, columns: list[str], parts: int) -> DataFr
 
     Keys are cut into `parts` ranges, each a window of its own; the head of every range is also given to the range
     before it, so that no window holds more than its range and one row. Nulls come last; rows of one key are ordered
-    by a hash of their values, and are alike if that is equal. One row is its own successor.
+    by a hash of their values, and are alike if that is equal. One row is its own successor. The key is a number; rows of
+    one key, or with a null one, are one range, so that a table where many rows share a key is not for this function.
     """
     tie = F.xxhash64(*columns)
     bounds = df.where(F.col(key).isNotNull()).agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 10000).alias("b")).first().b or []

@@ -186,7 +186,8 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs with lang_pred, score (cosine, 0 to 1), distance and rejected added.
 
     Null, empty or letterless text is `und` with score 0 and is rejected, as is every text if nothing was learned.
-    Other texts carry the nearest language even if rejected for their distance. Ties go to the first language.
+    Other texts carry the nearest language even if rejected for their distance. Ties go to the first language. Columns of
+    docs named lang_pred, score or rejected are replaced.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages * CENTROIDS * DIM

@@ -117,7 +117,7 @@ def fit(labelled: DataFrame, categories: list[str], key: str = "doc_id", text: s
 
 
 def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """docs with a column p_<category> each. Null or empty text has the shape features of an empty text only."""
+    """docs with a column p_<category> each; columns of docs with such names are replaced. Null or empty text has the shape features of an empty text only."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # KEPT weights a category
     names = [f"p_{c}" for c in model["categories"]]
 
