@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,7 +16,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one where none is named and all run on one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir names no folder, and a cluster's machines share no other")
         folder = tempfile.mkdtemp(prefix="tijolo-")
         spark.conf.set("spark.checkpoint.dir", folder)
