@@ -54,4 +54,4 @@ def extract_cards(pages: DataFrame, card: str = CARD, fields: dict = FIELDS, nee
                         rows.append((page_id, i, *value.values()))
             yield pd.DataFrame(rows, columns=["page_id", "position", *fields])
 
-    return pages.select("page_id", "html").mapInPandas(run, f"page_id bigint, position int, {', '.join(f'{k} string' for k in fields)}")
+    return pages.select("page_id", "html").mapInPandas(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, position int, {', '.join(f'{k} string' for k in fields)}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -53,7 +54,7 @@ def part(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir names no folder, and a cluster's machines share no other")
         folder = tempfile.mkdtemp(prefix="tijolo-")
     return f"{folder}/{name}-{uuid.uuid4().hex}"
@@ -142,7 +143,9 @@ query("crawl_frontier", f"""SELECT g.segment, CAST(p AS INT) AS page, 'https://l
     lambda s, d: coverage.frontier(X.load(s, d, X.GRID), X.load(s, d, X.PROGRESS), X.load(s, d, X.EMPTY)))
 query("insert_if_absent", f"SELECT segment, page FROM ({X.duck(X.PROGRESS)}) UNION SELECT s_nationkey, CAST(s_suppkey % 60 AS INT) + 1 FROM supplier")(
     lambda s, d: series.insert_if_absent(X.load(s, d, X.PROGRESS), X.load(s, d, "SELECT s_nationkey AS segment, CAST(s_suppkey % 60 AS INT) + 1 AS page FROM {supplier}"), ["segment", "page"]))
-query("extract_cards")(lambda s, d: pages.extract_cards(s.read.parquet(f"{d}/pages.parquet")))
+_CARD = '<li><a href="{}">{}</a>'
+query("extract_cards", f"""SELECT page_id, CAST(unnest(range(len(l))) AS INTEGER) AS position, unnest(t) AS price, unnest(l) AS link FROM
+  (SELECT page_id, regexp_extract_all(html, '{_CARD.format('([^"]*)', '[^<]*')}', 1) AS l, regexp_extract_all(html, '{_CARD.format('[^"]*', '([^<]*)')}', 1) AS t FROM pages)""")(lambda s, d: pages.extract_cards(s.read.parquet(f"{d}/pages.parquet")))
 
 # --- series
 
