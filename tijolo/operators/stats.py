@@ -56,14 +56,13 @@ def quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] = ()) ->
     order = Window.partitionBy(*by).orderBy("_b")  # at most BUCKETS rows a group
     counts = placed.groupBy(*by, "_b").agg(F.sum("_n").alias("_n")).withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), f(F.lit(float(q)) * (F.col("_all_n") - 1)).cast("long").alias("rank")) for i, q in enumerate(qs) for w, f in (("low", F.floor), ("high", F.ceil))])
-    ranks = ends.select(*by, F.inline(wanted))
+    ranks = ends.select(*by, "_all_n", F.inline(wanted))
     held = counts.alias("c").join(ranks.alias("r"), [*same("c", "r"), F.col("rank") >= F.col("_before"), F.col("rank") < F.col("_before") + F.col("c._n")]).select(
-        *[F.col(f"c.{c}") for c in by], "_b", "i", "w", (F.col("rank") - F.col("_before")).alias("rank"))
-    inside = placed.alias("p").join(held.alias("h"), [*same("p", "h"), F.col("p._b") == F.col("h._b")]).select(*[F.col(f"p.{c}") for c in by], "i", "w", "rank", "_v", "_n")
+        *[F.col(f"c.{c}") for c in by], "_b", "_all_n", "i", "w", (F.col("rank") - F.col("_before")).alias("rank"))
+    inside = placed.alias("p").join(held.alias("h"), [*same("p", "h"), F.col("p._b") == F.col("h._b")]).select(*[F.col(f"p.{c}") for c in by], "_all_n", "i", "w", "rank", "_v", "_n")
     so_far = F.sum("_n").over(Window.partitionBy(*by, "i", "w").orderBy("_v"))
-    found = inside.withColumn("_to", so_far).where(F.col("_to") > F.col("rank")).groupBy(*by, "i", "w").agg(F.min("_v").alias("_v"))
-    ranked = ends.alias("e").join(found.alias("f"), same("e", "f")).select(*[F.col(f"e.{c}") for c in by], "_all_n", "i", "w", "_v")
-    held_at = lambda i, w: F.max(F.when((F.col("i") == i) & (F.col("w") == w), F.col("_v")))
+    ranked = inside.withColumn("_to", so_far).where(F.col("_to") > F.col("rank"))
+    held_at = lambda i, w: F.min(F.when((F.col("i") == i) & (F.col("w") == w), F.col("_v")))
     at = lambda q: F.lit(float(q)) * (F.max("_all_n") - 1)
     out = ranked.groupBy(*by).agg(*[(held_at(i, "low") + (at(q) - F.floor(at(q))) * (held_at(i, "high") - held_at(i, "low"))).alias(f"q{i}") for i, q in enumerate(qs)])
     return out.drop("_all")
