@@ -14,8 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from tijolo.llm.common import LOWER, UPPER, small_batches, table, written
@@ -31,6 +33,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _SLICE = 2_000_000
 #: Words that a piece of a long item starts with windows of. A piece is broadcast whole, however long its words are.
 PIECE = 50_000
+ADDED = {"_n_words": pa.int64(), "_spans": pa.list_(pa.list_(pa.int64())), "_items": pa.list_(pa.string())}
 
 
 def words(text: str | None) -> list[bytes]:
@@ -85,17 +88,18 @@ def _rolling(ids: np.ndarray, m: int) -> np.ndarray:
 def scan(docs: DataFrame, items: list[tuple[object, str]], n: int, text: str = "text", first: bool = True) -> DataFrame:
     """Adds, or extends, n_words, spans (word ranges hit, merged) and items (ids as strings) of one block."""
     shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_BYTES of text and one piece
-    kept = [c for c in docs.columns if c not in ("_n_words", "_spans", "_items")]
+    rest = docs.drop(*ADDED)
+    kept = rest.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(shared.value, n)
         get = grams.ids.get
-        for pdf in batches:
-            out = {"_n_words": [], "_spans": [], "_items": []}
-            for row, t in enumerate(pdf[text]):
-                w = words(t)
-                spans = [] if first else [tuple(int(x) for x in s) for s in pdf["_spans"].iat[row]]
-                found = set() if first else set(pdf["_items"].iat[row])
+        for batch in batches:
+            out = {name: [] for name in ADDED}
+            texts = batch.column(text).to_pylist()
+            before = [([], [])] * len(texts) if first else zip(batch.column("_spans").to_pylist(), batch.column("_items").to_pylist())
+            for t, (spans, found) in zip(texts, before):
+                w, spans, found = words(t), [tuple(s) for s in spans], set(found)
                 for lo in range(0, len(w), _SLICE):  # a very long text in slices that overlap by a window
                     part = w[lo : lo + _SLICE + n - 1]
                     ids = np.fromiter((get(x, 0) for x in part), np.int32, len(part))
@@ -109,10 +113,10 @@ def scan(docs: DataFrame, items: list[tuple[object, str]], n: int, text: str = "
                     else:
                         merged.append([a, b])
                 out["_n_words"].append(len(w)), out["_spans"].append(merged), out["_items"].append(sorted(found))
-            yield pdf[kept].assign(**out)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(out[c], ADDED[c]) for c in ADDED)], names=[*kept, *ADDED])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept)
-    return docs.mapInPandas(run, f"{fields}, _n_words bigint, _spans array<array<bigint>>, _items array<string>")
+    added = T.StructType.fromDDL("_n_words bigint, _spans array<array<bigint>>, _items array<string>")
+    return docs.mapInArrow(run, T.StructType([*rest.schema.fields, *added.fields]))  # Arrow keeps other columns as they are
 
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

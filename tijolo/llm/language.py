@@ -13,9 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tijolo.llm.common import small_batches, table, written
 
@@ -30,6 +32,7 @@ NEAR, SLACK = 0.9, 0.3
 FOLDS, HELD_OUT = 4, 2
 
 _STEP = 1 << 20
+ADDED = ("lang_pred", "score", "rejected")
 
 
 def letters(text: str | None) -> bytes:
@@ -192,23 +195,26 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages * CENTROIDS * DIM
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for pdf in batches:
-            streams = [stream(t) for t in pdf[text]]
+        for batch in batches:
+            streams = [stream(t) for t in batch.column(text).to_pylist()]
             lengths, counts = [len(a) for a in streams], [stream_counts(a) if len(a) else None for a in streams]
             some = [i for i, c in enumerate(counts) if c is not None and len(m["langs"])]
-            pred, score, far = ["und"] * len(pdf), [0.0] * len(pdf), [True] * len(pdf)
+            pred, score, far = ["und"] * len(streams), [0.0] * len(streams), [True] * len(streams)
             for lo in range(0, len(some), 256):
                 rows = some[lo : lo + 256]
                 near = vectors(np.array([counts[i] for i in rows]), m["idf"]) @ m["centroids"].T
                 best = near.argmax(axis=1)
                 for i, b, s in zip(rows, best, near[np.arange(len(rows)), best]):
                     pred[i], score[i], far[i] = m["langs"][b], float(min(1.0, max(0.0, s))), bool(1 - s > limit(m["limits"][b], lengths[i]))
-            yield pdf.assign(lang_pred=pred, score=score, rejected=far)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.bool_())], names=[*batch.schema.names, *ADDED]
+            )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in ("lang_pred", "score", "rejected"))
-    return docs.drop("lang_pred", "score", "rejected").mapInPandas(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    rest = docs.drop(*ADDED)
+    added = T.StructType.fromDDL("lang_pred string, score double, rejected boolean")
+    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, *added.fields]))  # Arrow keeps other columns as they are, large integers beside nulls too
 
 
 def held_out(key: str = "doc_id"):
