@@ -22,12 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tijolo.llm.common import fresh_path, table, written
+from tijolo.llm.common import fresh_path, partitions, small_batches, table, written
 
 #: An archive is closed once it holds so many bytes. One page is never split.
 ARCHIVE_BYTES = 4 << 20
 #: Payloads under so many bytes are never revisits.
 LEAST_BYTES = 0
+#: Bytes of stored ARC archives that one task of the converter gets, about.
+TASK_BYTES = 64 << 20
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 DATE, IP, KIND = "20240101000000", "0.0.0.0", "text/html"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "tijolo:arc")
@@ -158,6 +160,7 @@ def _save(archives: DataFrame, path: str) -> None:
 
 
 def _load(spark: SparkSession, path: str) -> DataFrame:
+    small_batches(spark)  # a few archives at a time
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
@@ -188,6 +191,7 @@ def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
             yield close()
 
     ids = F.col(page_id).cast("string")
+    small_batches(pages.sparkSession)
     _save(pages.select(ids.alias("i"), F.col(url).alias("u"), F.col(html).alias("t")).mapInPandas(pack, "content binary"), path)
 
 
@@ -215,6 +219,9 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEA
                 rows.extend((path, None, reason, offset, None) for offset, reason in damaged)
             yield pd.DataFrame(rows, columns=["path", "page", "digest", "length", "record"])
 
+    # as many tasks as keep archive bytes in one of them bounded, however many archives there are
+    stored = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(arc_path).agg(F.sum("length")).first()[0] or 0
+    tasks = max(partitions(spark), -(-stored // TASK_BYTES))
     every = written(arcs.mapInPandas(index, "path string, page string, digest string, length bigint, record string"), "arc-index")
     found = every.where(F.col("record").isNotNull())
     number = F.col("page").cast(id_type)
@@ -231,7 +238,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEA
                     yield pd.DataFrame({"content": [records[:-1]]})
 
     # an archive's list is no longer than the archive
-    _save(arcs.join(again, "path", "left").select("content", "again").mapInPandas(rewrite, "content binary"), warc_path)
+    _save(arcs.repartition(tasks, "path").join(again.repartition(tasks, "path"), "path", "left").select("content", "again").mapInPandas(rewrite, "content binary"), warc_path)
     return every.where(F.col("record").isNull()).select("path", F.col("length").alias("offset"), F.col("digest").alias("reason"))
 
 
