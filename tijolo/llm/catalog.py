@@ -7,6 +7,7 @@ from tijolo.llm.decontamination import OP1_SQL, op1_decontamination
 from tijolo.llm.fingerprints import op3_fingerprints
 from tijolo.llm.language import op9_language
 from tijolo.llm.language_model import op2_language_model
+from tijolo.llm.manifest import OP11_SQL, op11_manifest
 from tijolo.llm.mixing import op8_mixing
 from tijolo.llm.near_duplicates import OP6_SQL, op6_near_duplicates
 from tijolo.llm.repeats import OP5_SQL, op5_suffix_dedup
@@ -25,8 +26,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
+    "op11_manifest": op11_manifest,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_decontamination": OP1_SQL, "op5_suffix_dedup": OP5_SQL, "op6_near_duplicates": OP6_SQL, "op7_warc": OP7_SQL}
+ORACLES = {"op1_decontamination": OP1_SQL, "op5_suffix_dedup": OP5_SQL, "op6_near_duplicates": OP6_SQL, "op7_warc": OP7_SQL, "op11_manifest": OP11_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

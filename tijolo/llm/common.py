@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,3 +57,26 @@ def small_batches(spark: SparkSession) -> None:
     for key, (default, ours) in BATCHES.items():
         if spark.conf.get(key) == default:
             spark.conf.set(key, ours)
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """df with `nth`, its place from 0 among the rows of equal `by` (null is a value) in ascending `order`, nulls first, and
+    `of`, the number of those rows. Rows that are equal in `by` and `order` get places in any order, fixed by then.
+
+    Rows are sorted over ranges of (by, order), so that a group is cut wherever it is large, and written; of each range
+    only its number of rows in each group is added up. A group's sums meet in one task: one row for each range that it is in.
+    """
+    spark, n = df.sparkSession, partitions(df.sparkSession)
+    keys = [F.col(c).asc_nulls_first() for c in (*by, *order)]
+    rows = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    rows = written(rows, name).withColumn("_range", F.shiftright("_at", 33))
+    # one window a group; all rows are one group where `by` names none
+    ranges = rows.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    group = Window.partitionBy(*[F.col(c) for c in by]) if by else Window.partitionBy(F.lit(0))
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(
+        *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_range").alias("_in"), "_first",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(group).alias("of"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+    found = rows.join(ranges, [*same, F.col("_range") == F.col("_in")])
+    return found.select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias("nth"), F.col("of").cast("long"))
