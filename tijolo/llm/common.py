@@ -80,3 +80,13 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataF
     same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
     found = rows.join(ranges, [*same, F.col("_range") == F.col("_in")])
     return found.select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias("nth"), F.col("of").cast("long"))
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df written to the shared folder in buckets of `key`, so that rows of equal keys meet those of another table without being
+    shuffled again. The catalogue only lends its name while the plan is resolved; the files stay in the shared folder."""
+    spark, table_name = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").bucketBy(partitions(spark), key).option("path", fresh_path(spark, name)).saveAsTable(table_name)
+    found = spark.table(table_name)
+    spark.sql(f"DROP TABLE {table_name}")
+    return found
