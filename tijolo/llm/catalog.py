@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from tijolo.llm.byte_bpe import op13_byte_bpe
+from tijolo.llm.collocations import OP12_SQL, op12_collocations
 from tijolo.llm.decontamination import OP1_SQL, op1_decontamination
 from tijolo.llm.fingerprints import op3_fingerprints
 from tijolo.llm.language import op9_language
@@ -28,9 +29,10 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
     "op11_manifest": op11_manifest,
+    "op12_collocations": op12_collocations,
     "op13_byte_bpe": op13_byte_bpe,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_decontamination": OP1_SQL, "op5_suffix_dedup": OP5_SQL, "op6_near_duplicates": OP6_SQL, "op7_warc": OP7_SQL, "op11_manifest": OP11_SQL}
+ORACLES = {"op1_decontamination": OP1_SQL, "op5_suffix_dedup": OP5_SQL, "op6_near_duplicates": OP6_SQL, "op7_warc": OP7_SQL, "op11_manifest": OP11_SQL, "op12_collocations": OP12_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
