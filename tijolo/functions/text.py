@@ -21,9 +21,18 @@ def _plain(c: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
 
 
-#: Characters that are another single one once compatibility decomposition has taken their marks off.
-ACCENTED = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if len(_plain(c)) == 1 and _plain(c) != c)
-PLAIN = "".join(map(_plain, ACCENTED))
+_DECOMPOSED = {c: _plain(c) for c in map(chr, range(0x80, sys.maxunicode + 1)) if _plain(c) != c and not unicodedata.combining(c) and not "\uac00" <= c <= "\ud7a3"}
+#: Characters that are another single one once compatibility decomposition has taken their marks off, and those that are
+#: several: ligatures, fractions, units, numbers in circles. Hangul syllables stay whole.
+ACCENTED = "".join(c for c, p in _DECOMPOSED.items() if len(p) == 1)
+PLAIN = "".join(_DECOMPOSED[c] for c in ACCENTED)
+SEVERAL = {c: p for c, p in _DECOMPOSED.items() if len(p) != 1}
+#: Marks that combine with the letter before them, as pairs of first and last.
+_COMBINING = {c for c in range(0x80, sys.maxunicode + 1) if unicodedata.combining(chr(c))}
+_RUNS = zip(sorted(c for c in _COMBINING if c - 1 not in _COMBINING), sorted(c for c in _COMBINING if c + 1 not in _COMBINING))
+_MARKS = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _RUNS) + "]+"
+#: Texts without these hold no mark, and no letter that stands for several; Java tests a range faster than a list of letters.
+_RARE, _WIDE = r"[\x{bc}-\x{be}]|[^\x{0}-\x{131}]", r"[^\x{0}-\x{2ff}]"
 
 
 def _number(text: Column) -> Column:
@@ -68,17 +77,23 @@ def ptbr_month(label: Column) -> Column:
     parts = F.split(F.trim(label), "-")
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(parts[0], 1, 3)))
     good = (F.size(parts) == 2) & parts[1].rlike("^[0-9]{2}$") & (month > 0)
-    return F.when(good, F.try_to_date(F.concat(F.lit("20"), F.get(parts, F.lit(1)), F.lpad(month.cast("string"), 2, "0")), "yyyyMM"))
+    return F.when(good, day_of(F.concat(F.lit("20"), F.get(parts, F.lit(1))), month.cast("string")))
+
+
+def day_of(year: Column, month: Column, day: Column | None = None) -> Column:
+    """The date of texts of digits, else null. A cast reads it without a formatter, whose failures cost an exception a row."""
+    return F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(F.lit("01") if day is None else day, 2, "0")).try_cast("date")
 
 
 def brazilian_date(text: Column) -> Column:
-    return F.try_to_date(text, "dd/MM/yyyy")
+    part = lambda i: F.split_part(F.trim(text), F.lit("/"), F.lit(i))
+    return F.when(F.trim(text).rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), day_of(part(3), part(2), part(1)))
 
 
 def iso_date(text: Column) -> Column:
     """The day of an ISO text; zone marks are cut off without a shift."""
     t = F.regexp_replace(text, r"(Z|[+-]\d{2}:\d{2})$", "")
-    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d+)?)?$"), F.try_to_date(F.substring(t, 1, 10), "yyyy-MM-dd"))
+    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d+)?)?$"), F.substring(t, 1, 10).try_cast("date"))
 
 
 def period_frequency(code: Column) -> Column:
@@ -89,17 +104,28 @@ def period_frequency(code: Column) -> Column:
 def period_date(code: Column, six_digit_quarter: bool = False) -> Column:
     """Day, month, quarter or year code, of whose text only the digits count; years out of 1990-2035 and impossible dates are null."""
     code = F.regexp_replace(code, "[^0-9]", "")
-    n, year = F.length(code), F.substring(code, 1, 4)
-    start = F.array(*[F.lit(m) for m in ("01", "04", "07", "10")])
-    quarter = F.concat(year, F.coalesce(F.get(start, F.substring(code, -1, 1).try_cast("int") - 1), F.lit("01")))
-    six = quarter if six_digit_quarter else code
-    day = F.when(n == 8, F.try_to_date(code, "yyyyMMdd")).when(n == 6, F.try_to_date(six, "yyyyMM")).when(n == 5, F.try_to_date(quarter, "yyyyMM")).when(n == 4, F.try_to_date(F.concat(code, F.lit("01")), "yyyyMM"))
+    n, year, last = F.length(code), F.substring(code, 1, 4), F.substring(code, -1, 1)
+    quarter = F.when(last == "2", "04").when(last == "3", "07").when(last == "4", "10").otherwise("01")
+    month = F.when(n == 4, "01").when((n == 5) | ((n == 6) & F.lit(six_digit_quarter)), quarter).otherwise(F.substring(code, 5, 2))
+    # one cast for all lengths
+    text = F.when(n.isin(4, 5, 6, 8), F.concat_ws("-", year, month, F.when(n == 8, F.substring(code, 7, 2)).otherwise("01")))
+    day = text.try_cast("date")
     return F.when(F.year(day).between(1990, 2035), day)
 
 
 def fold_accents(text: Column) -> Column:
-    """Lower case without accents, whether they are part of a letter or marks of their own."""
-    return F.lower(F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{Mn}+", ""))
+    """Lower case without accents, whether they are part of a letter or marks of their own. Letters that stand for several, such
+    as ligatures, become these; only texts that may hold one are taken apart."""
+    letters = F.map_from_arrays(F.split(F.lit("".join(SEVERAL)), ""), F.split(F.lit("\n".join(SEVERAL.values())), "\n"))
+    apart = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c < "\u00bc", c).otherwise(F.coalesce(F.try_element_at(letters, c), c))), "")
+    without = F.translate(text, "".join(SEVERAL), "")
+    whole = F.when(text.rlike(_RARE) & (F.length(without) < F.length(text)), apart).otherwise(text)
+    return F.lower(F.when(text.rlike(_WIDE), F.regexp_replace(F.translate(whole, ACCENTED, PLAIN), _MARKS, "")).otherwise(F.translate(whole, ACCENTED, PLAIN)))
+
+
+def matches_folded(text: Column, word: Column) -> Column:
+    """Whether text holds word, case and accents aside, by collation: nothing is rewritten."""
+    return F.collate(text, "UNICODE_CI_AI").contains(F.collate(word, "UNICODE_CI_AI"))
 
 
 def is_missing(text: Column) -> Column:

@@ -6,22 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tijolo.sources import scratch
+
 #: Label of all rows, which no class may have.
 ALL = "Todos"
 
 
-def describe_by_kind(df: DataFrame, kind: str, measures: dict[str, str], approximate: bool = False) -> DataFrame:
+def describe_by_kind(df: DataFrame, kind: str, measures: dict[str, str]) -> DataFrame:
     """kind, field, unit, n, mean, median, stddev: over all rows and over each kind; measures: column to unit.
 
-    Rows without a kind count in all rows only, as do rows of a kind that is named like all rows. The exact median holds each
-    distinct value of a group in one task; `approximate` takes a sketch of bounded size instead.
+    Rows without a kind count in all rows only, as do rows of a kind that is named like all rows. Medians are exact. A table
+    without rows has no kinds, and all rows with n 0 and no values.
     """
-    median = (lambda m: F.percentile_approx(m, 0.5, 10000)) if approximate else F.median
-    stats = lambda m: F.struct(F.lit(m).alias("field"), F.lit(measures[m]).alias("unit"), F.count(m).alias("n"), F.bround(F.avg(m), 2).alias("mean"), F.bround(median(m), 2).alias("median"), F.bround(F.stddev_samp(m), 2).alias("stddev"))
-    rows = df.withColumn("kind", F.nullif(F.col(kind), F.lit(ALL)))
-    both = rows.groupingSets([[], ["kind"]], "kind").agg(F.grouping_id().alias("g"), F.array(*[stats(m) for m in measures]).alias("s"))
-    named = both.where((F.col("g") == 1) | F.col("kind").isNotNull())
-    return named.select(F.when(F.col("g") == 1, ALL).otherwise(F.col("kind")).alias("kind"), F.explode("s").alias("s")).select("kind", "s.*")
+    spark = df.sparkSession
+    label = F.when(F.col(kind).isNull() | (F.col(kind) == ALL), F.array(F.lit(ALL))).otherwise(F.array(F.lit(ALL), F.col(kind)))
+    field = F.array(*[F.struct(F.lit(m).alias("field"), F.col(m).cast("double").alias("v")) for m in measures])
+    long = df.select(F.explode(label).alias("kind"), field.alias("fields")).select("kind", F.inline("fields"))
+    known = long.groupBy("kind", "field").agg(F.count("v").alias("n"), F.bround(F.avg("v"), 2).alias("mean"), F.bround(F.stddev_samp("v"), 2).alias("stddev"))
+    medians = quantiles(long, "v", [0.5], ["kind", "field"]).select("kind", "field", F.bround("q0", 2).alias("median"))
+    # all rows have their line even if there are none; measures are a few names
+    always = spark.createDataFrame([(ALL, m, u) for m, u in measures.items()], "kind string, field string, unit string")
+    units = always.select("field", "unit")
+    kinds = known.where(F.col("kind") != ALL).join(units, "field")
+    both = always.join(known.where(F.col("kind") == ALL), ["kind", "field"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    out = both.select("kind", "field", "unit", "n", "mean", "stddev").unionByName(kinds.select("kind", "field", "unit", "n", "mean", "stddev"))
+    return out.join(medians, ["kind", "field"], "left").select("kind", "field", "unit", "n", "mean", "median", "stddev")
 
 
 def bars(described: DataFrame, fields: list[str]) -> DataFrame:
@@ -36,46 +45,90 @@ def share(df: DataFrame, kind: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select("kind", "n", F.round(F.lit(100.0).cast("double") * F.col("n") / F.col("total"), 1).alias("percent")).orderBy(F.desc("n"), "kind")
 
 
-#: Equal parts of a group's range, of which only those that hold a wanted rank are sorted.
-BUCKETS = 4096
+#: A sketch's rank is off by one in so many at most; values that one task puts in order.
+ACCURACY, LIMIT = 10_000, 1_000_000
 
 
-def quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] = ()) -> DataFrame:
+def quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] = (), accuracy: int = ACCURACY, limit: int = LIMIT) -> DataFrame:
     """by, and q0, q1, ...: exact quantiles of the non-null values of each group, interpolated between neighbours.
 
-    Values are counted first; a group's range is then cut into BUCKETS, and only the distinct values of the buckets that hold
-    a wanted rank are put in order, so that no task orders all values of a group.
+    A sketch of each group, merged from those of its parts, gives a narrow range around every quantile. Rows are then
+    counted: those below a range as one, those inside by value. The counts say whether a range holds the ranks that are
+    wanted; if a sketch was off, ranges are widened to everything. So few values are left that they are put in order, group by
+    group or, where a range holds more than `limit` different values, over all tasks. No outlier or gap moves rows into one task.
+    A group without values has no row.
     """
-    by = list(by) or ["_all"]
-    keyed = df if by != ["_all"] else df.withColumn("_all", F.lit(0))
-    v = keyed.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ends = v.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all_n"))
-    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by]
-    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BUCKETS), F.lit(BUCKETS - 1))).otherwise(0).cast("int")
-    placed = v.alias("v").join(ends.alias("e"), same("v", "e")).select("v.*", "_lo", "_hi").withColumn("_b", part).drop("_lo", "_hi")
-    order = Window.partitionBy(*by).orderBy("_b")  # at most BUCKETS rows a group
-    counts = placed.groupBy(*by, "_b").agg(F.sum("_n").alias("_n")).withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), f(F.lit(float(q)) * (F.col("_all_n") - 1)).cast("long").alias("rank")) for i, q in enumerate(qs) for w, f in (("low", F.floor), ("high", F.ceil))])
-    ranks = ends.select(*by, "_all_n", F.inline(wanted))
-    held = counts.alias("c").join(ranks.alias("r"), [*same("c", "r"), F.col("rank") >= F.col("_before"), F.col("rank") < F.col("_before") + F.col("c._n")]).select(
-        *[F.col(f"c.{c}") for c in by], "_b", "_all_n", "i", "w", (F.col("rank") - F.col("_before")).alias("rank"))
-    inside = placed.alias("p").join(held.alias("h"), [*same("p", "h"), F.col("p._b") == F.col("h._b")]).select(*[F.col(f"p.{c}") for c in by], "_all_n", "i", "w", "rank", "_v", "_n")
-    so_far = F.sum("_n").over(Window.partitionBy(*by, "i", "w").orderBy("_v"))
-    ranked = inside.withColumn("_to", so_far).where(F.col("_to") > F.col("rank"))
-    held_at = lambda i, w: F.min(F.when((F.col("i") == i) & (F.col("w") == w), F.col("_v")))
-    at = lambda q: F.lit(float(q)) * (F.max("_all_n") - 1)
-    out = ranked.groupBy(*by).agg(*[(held_at(i, "low") + (at(q) - F.floor(at(q))) * (held_at(i, "high") - held_at(i, "low"))).alias(f"q{i}") for i, q in enumerate(qs)])
-    return out.drop("_all")
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).cast("double").alias("_v"))
+    near = 2.0 / accuracy
+    ends = F.percentile_approx("_v", [x for q in qs for x in (max(0.0, q - near), min(1.0, q + near))], accuracy)
+    sketched = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_of"), ends.alias("_ends")).where("_of > 0")
+    span = lambda i: F.struct(F.lit(i).alias("_i"), F.lit(float(qs[i])).alias("_q"), F.col("_ends")[2 * i].alias("_lo"), F.col("_ends")[2 * i + 1].alias("_hi"))
+    ranges = scratch.written(sketched.select(*keys, "_of", F.inline(F.array(*[span(i) for i in range(len(qs))]))), "ranges")
+    cells = scratch.written(_counted(rows, ranges, keys), "cells")
+    below, inside = F.sum(F.when(F.col("_v").isNull(), F.col("_n"))), F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")))
+    first, last = F.floor(F.col("_q") * (F.col("_of") - 1)), F.ceil(F.col("_q") * (F.col("_of") - 1))
+    groups = cells.groupBy(*keys, "_i", "_q", "_of").agg(F.coalesce(below, F.lit(0)).alias("_below"), F.coalesce(inside, F.lit(0)).alias("_inside"), F.count("_v").alias("_values"))
+    held = (F.col("_below") <= first) & (last < F.col("_below") + F.col("_inside"))
+    seen = groups.agg(F.coalesce(F.bool_and(held), F.lit(True)).alias("held"), F.max("_values").alias("values")).first()
+    most = seen["values"]
+    if not seen["held"]:
+        everything = ranges.withColumns({"_lo": F.lit(float("-inf")), "_hi": F.lit(float("nan"))})  # NaN is above all values
+        cells = scratch.written(_counted(rows, everything, keys), "cells")
+        most = cells.groupBy(*keys, "_i").agg(F.count("_v").alias("n")).agg(F.max("n")).first()[0]
+    summed = _summed(cells, [*keys, "_i"], (most or 0) > limit)
+    at = F.col("_q") * (F.col("_of") - 1)
+    value_of = lambda rank: F.min(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n")), F.col("_v")))
+    found = summed.groupBy(*keys, "_i", "_q", "_of").agg(value_of(first).alias("_low"), value_of(last).alias("_high"))
+    exact = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.col("_low") + (at - F.floor(at)) * (F.col("_high") - F.col("_low")))
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, exact)).alias(f"q{i}") for i in range(len(qs))])
+    return wide.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *[f"q{i}" for i in range(len(qs))])
+
+
+def _counted(rows: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Numbers of rows inside each range by value, and of those below it, whose value is null; others are left out."""
+    same = F.lit(True)
+    named = ranges
+    for k in keys:
+        named = named.withColumnRenamed(k, f"{k}r")
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}r"))
+    # a few rows, one for each group and quantile: the planner broadcasts them by their size, which is known as they are written
+    met = rows.join(named, same) if keys else rows.crossJoin(F.broadcast(named))
+    kept = met.where(F.col("_v") <= F.col("_hi")).withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
+    return kept.groupBy(*keys, "_i", "_q", "_of", "_v").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _summed(cells: DataFrame, keys: list[str], large: bool) -> DataFrame:
+    """cells with `_before`, the number of rows before each in its group, nulls first."""
+    group = Window.partitionBy(*keys).orderBy("_v")
+    if not large:
+        return cells.withColumn("_before", F.sum("_n").over(group) - F.col("_n"))
+    # sorted over all tasks: within a range of the sort, and over the sums of the ranges
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = cells.repartitionByRange(n, *keys, "_v").withColumn("_part", F.spark_partition_id())
+    part = scratch.written(part, "sorted")
+    inside = Window.partitionBy(*keys, "_part").orderBy("_v")
+    sums = part.groupBy(*keys, "_part").agg(F.sum("_n").alias("_s"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(k).alias(f"{k}s") for k in keys], F.col("_part").alias("_parts"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_earlier"))
+    placed = part.withColumn("_before", F.sum("_n").over(inside) - F.col("_n"))
+    same = F.col("_part") == F.col("_parts")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}s"))
+    return placed.join(sums, same).withColumn("_before", F.col("_before") + F.col("_earlier"))
 
 
 def below_quantile(df: DataFrame, columns: list[str], q: float = 0.95) -> DataFrame:
-    """Rows strictly below the q quantile of every column; quantiles are of all rows, and one broadcast row."""
+    """Rows strictly below the q quantile of every column; quantiles are of all rows. A column without values keeps no row.
+
+    All columns are measured in one go, and their few quantiles become literals, which reach the scan as filters.
+    """
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(columns)])))
+    ends = {r["_c"]: r["q0"] for r in quantiles(long, "_value", [q], ["_c"]).collect()}  # one row a column
     kept = df
-    for c in columns:
-        kept = kept.crossJoin(F.broadcast(quantiles(df, c, [q]).select(F.col("q0").alias(f"_{c}"))))
-    for c in columns:
-        kept = kept.where(F.col(c) < F.col(f"_{c}"))
-    return kept.select(df.columns)
+    for i, c in enumerate(columns):
+        kept = kept.where(F.col(c) < F.lit(ends.get(i)).cast("double"))
+    return kept
 
 
 def _fenced(df: DataFrame, kind: str, value: str) -> DataFrame:

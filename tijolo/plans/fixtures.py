@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tijolo.sources import landed_files
 
 LISTINGS = """SELECT (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS id,
   CASE l_linenumber % 4 WHEN 0 THEN 'casas' WHEN 1 THEN 'apartamentos' WHEN 2 THEN 'terrenos' ELSE 'imoveis' END AS segment,
@@ -47,3 +50,33 @@ def load(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def duck(sql: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", sql)
+
+
+#: Orders as elements of landed responses: one response a priority and year, of which some are cut off or hold an error.
+LANDED = """SELECT o_orderkey, 't/' || substr(o_orderpriority, 1, 1) || '/p ' || CAST(year(o_orderdate) AS STRING) AS path, CAST(o_orderdate AS DATE) AS d, CAST(year(o_orderdate) AS STRING) AS yyyy,
+  lpad(CAST(month(o_orderdate) AS STRING), 2, '0') AS mm, lpad(CAST(day(o_orderdate) AS STRING), 2, '0') AS dd, lower(o_orderpriority) AS label,
+  CASE WHEN year(o_orderdate) = 1994 THEN 'not json' WHEN year(o_orderdate) = 1995 AND substr(o_orderpriority, 1, 1) = '4' THEN 'no list' END AS broken,
+  CASE WHEN o_orderkey % 13 = 0 THEN 'no object' WHEN o_orderkey % 11 = 0 THEN 'no date' WHEN o_orderkey % 4 = 0 THEN 'no value' END AS reason FROM {orders}"""
+#: An element of each source's lists, and what stands around a list.
+ELEMENTS = {
+    "A": ("""CASE reason WHEN 'no object' THEN '7' ELSE '{"data":"' || CASE WHEN reason = 'no date' THEN '31/13/' ELSE dd || '/' || mm || '/' END || yyyy || '","valor":"' || CASE WHEN reason = 'no value' THEN '...' ELSE CAST(o_orderkey AS STRING) || ',5' END || '"}' END""", "[", "]"),
+    "B": ("""CASE reason WHEN 'no object' THEN '"x"' ELSE '{"D1C":"4099","D1N":"Construção ' || label || '","D2C":"' || CASE WHEN reason = 'no date' THEN 'x' ELSE yyyy || mm END || '","D3C":"2001","V":"' || CASE WHEN reason = 'no value' THEN '-' ELSE CAST(o_orderkey AS STRING) END || '"}' END""", "[", "]"),
+    "C": ("""CASE reason WHEN 'no object' THEN 'null' ELSE '{"SERCODIGO":"X","VALDATA":"' || CASE WHEN reason = 'no date' THEN '' ELSE yyyy || '-' || mm || '-' || dd || 'T00:00:00-03:00' END || '","VALVALOR":' || CASE WHEN reason = 'no value' THEN 'null' WHEN o_orderkey % 3 = 0 THEN '"' || CAST(o_orderkey AS STRING) || ',5"' ELSE CAST(o_orderkey AS STRING) || '.5' END || '}' END""", '{"value":[', "]}"),
+}
+#: Series that responses of source B hold: candidates are a response that is cut off, one that holds other names, and one that works.
+CATALOGUE_B = """SELECT 'B' AS source, 'S' || CAST(k AS STRING) AS code, 'series ' || CAST(k AS STRING) AS name, 'R$' AS unit, CASE k WHEN 2 THEN FALSE WHEN 3 THEN NULL ELSE TRUE END AS active, CASE k WHEN 1 THEN 'Q' END AS frequency,
+  CASE k WHEN 1 THEN 'V' END AS value_key, array(
+    named_struct('path', 't/' || CAST(k AS STRING) || '/p 1994', 'keywords', CAST(NULL AS array<string>), 'period_key', CAST(NULL AS string)), named_struct('path', 't/' || CAST(k AS STRING) || '/p 1996', 'keywords', array('construção', 'no such word'), 'period_key', CAST(NULL AS string)),
+    named_struct('path', 't/' || CAST(k AS STRING) || '/p 1997', 'keywords', array('CONSTRUÇÃO', '-'), 'period_key', CASE WHEN k = 5 THEN 'D3C' END), named_struct('path', 't/' || CAST(k AS STRING) || '/p 1996', 'keywords', CAST(array() AS array<string>), 'period_key', CAST(NULL AS string))) AS candidates
+  FROM (SELECT DISTINCT CAST(substr(o_orderpriority, 1, 1) AS INT) AS k FROM {orders})"""
+
+
+def landed(spark: SparkSession, sf_dir: str, source: str, root: str) -> None:
+    """Write the responses of a source below root."""
+    element, head, tail = ELEMENTS[source]
+    rows = load(spark, sf_dir, LANDED).select("path", "broken", "o_orderkey", F.expr(element).alias("e"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "e"))), lambda x: x["e"]), ",")
+    whole = F.concat(F.lit(head), joined, F.lit(tail))
+    bodies = rows.groupBy("path", "broken").agg(whole.alias("whole"))
+    body = F.when(F.col("broken") == "not json", F.expr("left(whole, length(whole) - 2)")).when(F.col("broken") == "no list", '{"error":"none"}').otherwise(F.col("whole"))
+    landed_files.land(bodies.select("path", body.alias("body")), root)

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import functools
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +11,7 @@ from pyspark.sql import functions as F
 from tijolo.functions import text as T
 from tijolo.operators import coverage, listings, pages, series, stats
 from tijolo.plans import fixtures as X
-from tijolo.sources import landed_json, sinks, wide_index
+from tijolo.sources import landed_files, landed_json, scratch, sinks, wide_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,15 +48,6 @@ def part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.load(spark, sf_dir, X.PARTS)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir names no folder, and a cluster's machines share no other")
-        folder = tempfile.mkdtemp(prefix="tijolo-")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
 # --- listings
 
 query("scan_raw", _L)(raw)
@@ -261,6 +249,44 @@ query("period_key_detect", f"SELECT o_orderkey, yyyy || '-' || mm AS period FROM
 query("keyword_filter", "SELECT o_orderkey FROM orders WHERE contains(o_orderpriority, 'HIGH')")(
     lambda s, d: landed_json.entries(_bodies(s, d), "body").where(landed_json.has_keywords(F.col("m"), ["Construção", "high"])).select("o_orderkey"))
 
+# --- landed responses: files on disk, some of them broken
+
+_OUTCOMES = {"A": landed_json.outcomes_a, "B": landed_json.outcomes_b, "C": landed_json.outcomes_c}
+_LANDED = X.duck(X.LANDED)
+#: What each source gives for an element that is no object or has a bad date, and its dates and values.
+_SAID = {
+    "A": ("CASE reason WHEN 'no object' THEN 'no date' ELSE reason END", "d", "o_orderkey + 0.5e0"),
+    "B": ("CASE reason WHEN 'no date' THEN NULL ELSE reason END", "CASE reason WHEN 'no date' THEN DATE '2001-01-01' ELSE CAST(date_trunc('month', d) AS DATE) END", "CAST(o_orderkey AS DOUBLE)"),
+    "C": ("CASE reason WHEN 'no object' THEN 'no date' ELSE reason END", "d", "o_orderkey + 0.5e0"),
+}
+
+
+def _responses(s: SparkSession, d: str, source: str) -> DataFrame:
+    root = scratch.path(s, f"landed-{source}")
+    X.landed(s, d, source, root)
+    return landed_files.read(s, root)
+
+
+def _landed(s: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
+    out = []
+    for source, outcomes in _OUTCOMES.items():
+        rows, bad = landed_files.load(_responses(s, d, source), outcomes, ["path"])
+        named = [F.lit(source).alias("source"), "path"]
+        out.append((rows.select(*named, F.col("date").cast("string").alias("date"), "value"), bad.select(*named, "reason", "n")))
+    return out
+
+
+query("landed_rows", " UNION ALL ".join(
+    f"SELECT '{k}' AS source, path, CAST({date} AS VARCHAR) AS date, {value} AS value FROM ({_LANDED}) WHERE broken IS NULL AND ({why}) IS NULL" for k, (why, date, value) in _SAID.items()))(
+    lambda s, d: functools.reduce(DataFrame.unionByName, [rows for rows, _ in _landed(s, d)]))
+query("landed_rejects", " UNION ALL ".join(
+    f"SELECT '{k}' AS source, path, coalesce(broken, why) AS reason, CASE WHEN max(broken) IS NULL THEN count(*) ELSE 1 END AS n FROM (SELECT *, {why} AS why FROM ({_LANDED})) WHERE coalesce(broken, why) IS NOT NULL GROUP BY path, coalesce(broken, why)"
+    for k, (why, _, _) in _SAID.items()))(lambda s, d: functools.reduce(DataFrame.unionByName, [bad for _, bad in _landed(s, d)]))
+query("landed_series", f"""SELECT 'B' AS source, 'S' || k AS code, 'series ' || k AS name, CASE WHEN k = 5 THEN '2001-01-01' ELSE CAST(CAST(CASE reason WHEN 'no date' THEN DATE '2001-01-01' ELSE date_trunc('month', d) END AS DATE) AS VARCHAR) END AS month,
+  CAST(o_orderkey AS DOUBLE) AS value, 'R$' AS unit, CASE WHEN k = 1 THEN 'Q' WHEN k = 5 OR reason = 'no date' THEN 'A' ELSE 'M' END AS frequency, path FROM (SELECT *, CAST(substr(path, 3, 1) AS INT) AS k FROM ({_LANDED}))
+  WHERE k <> 2 AND coalesce(reason, '') NOT IN ('no object', 'no value') AND path = 't/' || k || '/p 1997'""")(
+    lambda s, d: landed_files.series_by_catalogue(_responses(s, d, "B"), X.load(s, d, X.CATALOGUE_B)))
+
 # --- wide files: the lines are rendered from monthly means, then melted again
 
 _WIDE = "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, " + ", ".join(f"CAST(round(avg(o_totalprice + {i})) AS BIGINT) AS v{i}" for i in range(7)) + " FROM {orders} GROUP BY 1"
@@ -290,7 +316,7 @@ query("wide_header", "SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) AS file
 
 @query("sink_append", f"SELECT id, segment, page FROM ({_L}) UNION ALL SELECT id, segment, page FROM ({_L}) WHERE page = 1")
 def sink_append(s: SparkSession, d: str) -> DataFrame:
-    path, rows = scratch(s, "append"), raw(s, d).select("id", "segment", "page")
+    path, rows = scratch.path(s, "append"), raw(s, d).select("id", "segment", "page")
     sinks.append(rows, path, "segment")
     sinks.append(rows.where("page = 1"), path, "segment")
     return s.read.schema("id bigint, page int, segment string").parquet(path).select("id", "segment", "page")
@@ -298,7 +324,7 @@ def sink_append(s: SparkSession, d: str) -> DataFrame:
 
 @query("sink_csv", f"SELECT p_partkey, p_type, p_retailprice FROM ({_PARTS})")
 def sink_csv(s: SparkSession, d: str) -> DataFrame:
-    path = scratch(s, "csv")
+    path = scratch.path(s, "csv")
     sinks.write_csv(part(s, d).select("p_partkey", "p_type", "p_retailprice"), path)
     return sinks.read_csv(s, path, "p_partkey bigint, p_type string, p_retailprice double")
 
@@ -319,7 +345,7 @@ def schema_contract(s: SparkSession, d: str) -> DataFrame:
 
 def _stored(s: SparkSession, name: str, df: DataFrame, order: list[str]) -> DataFrame:
     """A table replaced by df, then by nothing, which changes nothing, read in order."""
-    path = scratch(s, name)
+    path = scratch.path(s, name)
     sinks.replace(sinks.conform(df, name), path)
     sinks.replace(s.createDataFrame([], sinks.SCHEMAS[name]), path)
     return sinks.current(s, path, order)
@@ -334,7 +360,7 @@ query("series_table", f"SELECT source, code, CAST(date AS VARCHAR) AS date, valu
 
 @query("record_pages", f"SELECT segment, page, count(*) AS n FROM (SELECT * FROM ({X.duck(X.PROGRESS)}) UNION SELECT * FROM ({X.duck(X.EMPTY)})) GROUP BY ALL")
 def record_pages(s: SparkSession, d: str) -> DataFrame:
-    rows, marks = scratch(s, "rows"), scratch(s, "marks")
+    rows, marks = scratch.path(s, "rows"), scratch.path(s, "marks")
     for pages_ in (X.load(s, d, X.PROGRESS), X.load(s, d, X.EMPTY)):
         sinks.record(pages_.withColumn("address", F.lit("x")), pages_, rows, marks, ["segment", "page"])
     return s.read.parquet(marks).groupBy("segment", "page").agg(F.count(F.lit(1)).alias("n"))

@@ -1,4 +1,11 @@
-"""Series out of landed JSON responses, one text cell a response."""
+"""Series out of landed JSON responses, one text cell a response.
+
+Each source has `outcomes`: a row for everything that a response holds, with the `reason` why it gives no value, null for the
+rows that count. `accepted` takes these, `rejects` counts the others. A response that is no JSON or holds no list is one row.
+
+Sources A and C are read as VARIANT, parsed once whatever their elements are. Source B needs the order of an object's keys, which
+VARIANT sorts, so its elements are read as maps; VARIANT would not be faster there (README).
+"""
 
 from __future__ import annotations
 
@@ -13,55 +20,111 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def accepted(outcomes: DataFrame) -> DataFrame:
+    return outcomes.where(F.col("reason").isNull()).drop("reason")
+
+
+def rejects(outcomes: DataFrame, by: list[str]) -> DataFrame:
+    """by, reason and n of what gives no value."""
+    return outcomes.where(F.col("reason").isNotNull()).groupBy(*by, "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _elements(df: DataFrame, body: str, elements: str) -> DataFrame:
+    """df without the body, `_e` for each element of its list, and `_broken`, why there is none: then one row without an element."""
+    kept = [c for c in df.columns if c != body]
+    parsed = df.select(*kept, once(F.try_parse_json(F.col(body))).alias("_v"))
+    broken = F.when(F.col("_v").isNull(), "not json").when(F.col("_list").isNull(), "no list")
+    listed = parsed.select(*kept, "_v", once(F.expr(elements)).alias("_list")).withColumn("_broken", broken)
+    nothing = F.array(F.lit(None).cast("variant"))
+    return listed.select(*kept, "_broken", F.explode(F.coalesce("_list", nothing)).alias("_e"))
+
+
+def outcomes_a(df: DataFrame, body: str) -> DataFrame:
+    """Arrays of {data: dd/MM/yyyy, valor: text or number}."""
+    rows = _elements(df, body, "try_cast(_v AS array<variant>)")
+    kept = [c for c in df.columns if c != body]
+    date, value = T.brazilian_date(F.expr("try_variant_get(_e, '$.data', 'string')")), T.parse_number(F.expr("try_variant_get(_e, '$.valor', 'string')"))
+    typed = rows.select(*kept, "_broken", once(F.struct(date.alias("date"), value.alias("value"))).alias("_t")).select(*kept, "_broken", "_t.*")
+    return typed.withColumn("reason", F.coalesce("_broken", F.when(F.col("date").isNull(), "no date").when(F.col("value").isNull(), "no value"))).drop("_broken")
+
+
 def source_a(df: DataFrame, body: str) -> DataFrame:
-    """Arrays of {data: dd/MM/yyyy, valor: text}."""
-    rows = df.select("*", F.explode(F.from_json(body, "array<struct<data:string,valor:string>>")).alias("r")).drop(body)
-    out = rows.select(*[c for c in rows.columns if c != "r"], T.brazilian_date(F.col("r.data")).alias("date"), T.parse_number(F.col("r.valor")).alias("value"))
-    return out.where(F.col("date").isNotNull() & F.col("value").isNotNull())
+    return accepted(outcomes_a(df, body))
 
 
 def entries(df: DataFrame, body: str) -> DataFrame:
     """Arrays of objects with keys of their own, one row an object, as a map in the order of the text. Elements that are no objects are left out."""
+    return _maps(df, body).where(F.col("m").isNotNull()).drop("_broken")
+
+
+def _maps(df: DataFrame, body: str) -> DataFrame:
+    """df without the body, `m` for each element of its list, null where it is no object, and `_broken` as above."""
+    kept = [c for c in df.columns if c != body]
     # an array with other elements is none of maps, and only then read element by element
     each = F.transform(F.from_json(body, "array<string>"), lambda e: F.from_json(e, "map<string,string>"))
-    rows = df.select("*", F.explode(F.coalesce(F.from_json(body, "array<map<string,string>>"), each)).alias("m")).drop(body)
-    return rows.where(F.col("m").isNotNull())
+    maps = df.select(*kept, body, once(F.coalesce(F.from_json(body, "array<map<string,string>>"), each)).alias("_maps"))
+    broken = F.when(F.col("_maps").isNull(), F.when(F.try_parse_json(F.col(body)).isNull(), "not json").otherwise("no list"))
+    nothing = F.array(F.lit(None).cast("map<string,string>"))
+    return maps.withColumn("_broken", broken).select(*kept, "_broken", F.explode(F.coalesce("_maps", nothing)).alias("m"))
 
 
-def period_code(m: Column, key: str | None = None) -> Column:
+def period_code(m: Column, key: str | Column | None = None) -> Column:
     """Value of the forced key, else of the first key D<n>C whose value has 4, 5, 6 or 8 digits, the first four a year of 1990-2035; without outer blanks."""
-    if key:
+    if isinstance(key, str):
         return F.trim(F.try_element_at(m, F.lit(key)))
+    numbered = F.filter(F.map_entries(m), lambda e: e["key"].startswith("D") & e["key"].rlike(r"^D\d+C$"))
+    digits = F.transform(numbered, lambda e: F.struct(e["value"].alias("value"), F.regexp_replace(e["value"], "[^0-9]", "").alias("digits")))
+    # years of four digits are in the order of their texts
+    fits = F.filter(digits, lambda e: F.length(e["digits"]).isin(4, 5, 6, 8) & F.substring(e["digits"], 1, 4).between("1990", "2035"))
+    found = F.trim(F.get(fits, F.lit(0))["value"])
+    return found if key is None else F.when(key.isNull(), found).otherwise(F.trim(F.try_element_at(m, key)))
 
-    def fits(e: Column) -> Column:
-        digits = F.regexp_replace(e["value"], "[^0-9]", "")
-        return e["key"].rlike(r"^D\d+C$") & F.length(digits).isin(4, 5, 6, 8) & F.substring(digits, 1, 4).try_cast("int").between(1990, 2035)
 
-    return F.trim(F.get(F.filter(F.map_entries(m), fits), F.lit(0))["value"])
+def names(m: Column) -> Column:
+    """The values of the keys ending in N, joined, accents folded."""
+    return T.fold_accents(F.array_join(F.map_values(F.map_filter(m, lambda k, v: k.endswith("N"))), " "))
 
 
 def has_keywords(m: Column, words: list[str]) -> Column:
-    """All words, accents folded, stand in the joined values of the keys ending in N."""
-    names = T.fold_accents(F.array_join(F.map_values(F.map_filter(m, lambda k, v: k.endswith("N"))), " "))
+    """All words, accents folded, stand in the names."""
     out = F.lit(True)
     for w in words:
-        out = out & names.contains(T.fold_accents(F.lit(w)))
+        out = out & names(m).contains(T.fold_accents(F.lit(w)))
     return out
 
 
-def source_b(df: DataFrame, body: str, value_key: str = "V", key: str | None = None, words: list[str] = ()) -> DataFrame:
-    rows = entries(df, body)
+def _typed_b(rows: DataFrame, kept: list[str], code: Column, value: Column) -> DataFrame:
+    coded = rows.select(*kept, once(code).alias("_code"), value.alias("_value"))
+    c = F.col("_code")
+    return coded.select(*kept, c.alias("period"), T.period_date(c).alias("date"), T.period_frequency(c).alias("frequency"), T.parse_number(F.col("_value")).alias("value"))
+
+
+def outcomes_b(df: DataFrame, body: str, value_key: str = "V", key: str | None = None, words: list[str] = ()) -> DataFrame:
+    """Arrays of objects with keys of their own. Rows of other names than `words` are left out, and are no rejects."""
+    rows = _maps(df, body)
     if words:
-        rows = rows.where(has_keywords(F.col("m"), list(words)))
-    kept = [c for c in rows.columns if c != "m"]
-    code = F.col("_code")
-    coded = rows.select(*kept, once(period_code(F.col("m"), key)).alias("_code"), F.try_element_at("m", F.lit(value_key)).alias("_value"))
-    out = coded.select(*kept, code.alias("period"), T.period_date(code).alias("date"), T.period_frequency(code).alias("frequency"), T.parse_number(F.col("_value")).alias("value"))
-    return out.where(F.col("date").isNotNull() & F.col("value").isNotNull())
+        rows = rows.where(F.col("m").isNull() | has_keywords(F.col("m"), list(words)))
+    rows = rows.withColumn("_broken", F.coalesce("_broken", F.when(F.col("m").isNull(), "no object")))
+    kept = [*(c for c in df.columns if c != body), "_broken"]
+    typed = _typed_b(rows, kept, period_code(F.col("m"), key), F.try_element_at("m", F.lit(value_key)))
+    reason = F.coalesce("_broken", F.when(F.col("period").isNull(), "no period").when(F.col("date").isNull(), "no date").when(F.col("value").isNull(), "no value"))
+    return typed.withColumn("reason", reason).drop("_broken")
+
+
+def source_b(df: DataFrame, body: str, value_key: str = "V", key: str | None = None, words: list[str] = ()) -> DataFrame:
+    return accepted(outcomes_b(df, body, value_key, key, words))
+
+
+def outcomes_c(df: DataFrame, body: str) -> DataFrame:
+    """Objects {value: [{SERCODIGO, VALDATA, VALVALOR: number or text}]}."""
+    rows = _elements(df, body, "try_variant_get(_v, '$.value', 'array<variant>')")
+    kept = [c for c in df.columns if c != body]
+    get = lambda name, kind="string": F.expr(f"try_variant_get(_e, '$.{name}', '{kind}')")
+    plain = F.nullif(get("VALVALOR", "double"), F.lit(float("nan")))
+    value = F.coalesce(T.parse_number(get("VALVALOR")), plain)
+    typed = rows.select(*kept, "_broken", once(F.struct(get("SERCODIGO").alias("code"), T.iso_date(get("VALDATA")).alias("date"), value.alias("value"))).alias("_t")).select(*kept, "_broken", "_t.*")
+    return typed.withColumn("reason", F.coalesce("_broken", F.when(F.col("date").isNull(), "no date").when(F.col("value").isNull(), "no value"))).drop("_broken")
 
 
 def source_c(df: DataFrame, body: str) -> DataFrame:
-    """Objects {value: [{SERCODIGO, VALDATA, VALVALOR}]}."""
-    rows = df.select("*", F.explode(F.from_json(body, "value array<struct<SERCODIGO:string,VALDATA:string,VALVALOR:double>>")["value"]).alias("r")).drop(body)
-    out = rows.select(*[c for c in rows.columns if c != "r"], F.col("r.SERCODIGO").alias("code"), T.iso_date(F.col("r.VALDATA")).alias("date"), F.col("r.VALVALOR").alias("value"))
-    return out.where(F.col("date").isNotNull() & F.col("value").isNotNull())
+    return accepted(outcomes_c(df, body))
