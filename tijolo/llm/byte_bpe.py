@@ -23,16 +23,19 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tijolo.llm.common import bucketed, small_batches, table, written
+from tijolo.llm.common import bucketed, partitions, small_batches, table
 from tijolo.llm.language_model import pack, unpack
+from tijolo.llm.near_duplicates import _grouped
 
-#: Segments or characters that a chunk holds before it is closed, and bytes of the words of a block.
-CHUNK, CHARACTERS, BLOCK = 1_000_000, 16_000_000, 4_000_000
+#: Segments or characters that a chunk holds before it is closed; words asked for in one slot; bytes of the words of a block.
+CHUNK, CHARACTERS, SLOT, BLOCK = 1_000_000, 16_000_000, 500_000, 4_000_000
 _NONE = np.int64(1 << 40)
 
 
@@ -41,23 +44,33 @@ class Vocabulary:
 
     def __init__(self, raw: bytes):
         self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, raw.splitlines()) if t}
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        pairs = {}
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+
+    @functools.cached_property
+    def tokens(self) -> list[bytes]:
+        out = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            out[rank] = token
+        return out
+
+    @functools.cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of the pairs in order, their ranks), with one that no pair has at the end."""
+        found = []
         for token, rank in self.ranks.items():
-            self.tokens[rank] = token
             for i in range(1, len(token)):
                 a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if a is not None and b is not None:
-                    pairs[a << 32 | b] = rank
-        self.codes = np.array([*sorted(pairs), 1 << 62], np.int64)
-        self.pair_ranks = np.array([*(pairs[c] for c in sorted(pairs)), _NONE], np.int64)
-        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+                    found.append((a << 32 | b, rank))
+        codes, ranks = np.array([*sorted(found), (1 << 62, _NONE)], np.int64).T
+        return codes.copy(), ranks.copy()
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of the pairs, _NONE where two symbols make no token; a negative symbol makes none."""
         code = np.where(b < 0, np.int64(-1), a << np.int64(32) | b)
-        at = np.searchsorted(self.codes, code)
-        return np.where(self.codes[at] == code, self.pair_ranks[at], _NONE)
+        codes, ranks = self.pairs
+        at = np.searchsorted(codes, code)
+        return np.where(codes[at] == code, ranks[at], _NONE)
 
     def one_by_one(self, word: bytes) -> list[int]:
         """The ids of a word, merging the leftmost pair of the lowest rank until none is left."""
@@ -155,28 +168,64 @@ def replay(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return ids, counts
 
 
-def encode_words(words: DataFrame, raw: bytes, block: int = BLOCK) -> DataFrame:
-    """(word, ids) of distinct words that are no tokens; ids are packed 32-bit integers, little-endian."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = vocabulary(raw)
+# --- words asked for
 
-        def out(held: list[str]) -> pd.DataFrame:
-            ids, counts = replay([w.encode("utf-8", "surrogatepass") for w in held], v)
-            data, at = ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(counts) * 4]).tolist()
-            return pd.DataFrame({"word": held, "ids": [data[a:b] for a, b in zip(at[:-1], at[1:])]})
 
-        held, size = [], 0
-        for pdf in batches:
-            for w in pdf["word"]:
-                held.append(w)
-                size += len(w)
-                if size >= block:
-                    yield out(held)
-                    held, size = [], 0
-        if held:
-            yield out(held)
+def pack_words(words: list[bytes]) -> bytes:
+    lengths = pack(np.array([len(w) for w in words], np.int32))
+    return len(lengths).to_bytes(4, "little") + lengths + zstandard.compress(b"".join(words), 3)
+
 
-    return words.select("word").mapInPandas(run, "word string, ids binary")
+def unpack_words(packed: bytes) -> list[bytes]:
+    n = 4 + int.from_bytes(packed[:4], "little")
+    at = np.concatenate([[0], np.cumsum(unpack(packed[4:n], np.int32), dtype=np.int64)]).tolist()
+    data = zstandard.decompress(packed[n:])
+    return [data[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
+def _slots(words: list[bytes], slots: int) -> np.ndarray:
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return ((hashes >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
+
+
+def _ask(chunks: DataFrame, slots: int) -> DataFrame:
+    """(slot, chunk, words): a chunk's words dealt by hash, in their order."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for chunk, packed in zip(pdf["chunk"], pdf["asked"]):
+                words = unpack_words(packed)
+                slot = _slots(words, slots)
+                order = np.argsort(slot, kind="stable")
+                edges = np.flatnonzero(np.diff(slot[order], prepend=-1, append=-1)) if len(words) else np.zeros(1, np.int64)
+                out = [(int(slot[order[a]]), chunk, pack_words([words[i] for i in order[a:b].tolist()])) for a, b in zip(edges[:-1], edges[1:])]
+                yield pd.DataFrame(out, columns=["slot", "chunk", "words"])
+
+    return chunks.select("chunk", "asked").mapInPandas(run, "slot bigint, chunk bigint, words binary")
+
+
+def _answer(raw: bytes, block: int):
+    """The words of a slot, each encoded once, and what each chunk gets: sizes and ids of its words, in the order asked."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, out = vocabulary(raw), []
+        for slot, rows in pdf.groupby("slot", sort=False):
+            places: dict[bytes, int] = {}
+            asked = []
+            for packed in rows["words"]:
+                words = unpack_words(packed)
+                asked.append(np.fromiter((places.setdefault(w, len(places)) for w in words), np.int64, len(words)))
+            distinct, flat, sizes = list(places), [], []
+            ends = np.cumsum([len(w) for w in distinct]) // block
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(distinct)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                ids, counts = replay(distinct[a:b], v)
+                flat.append(ids), sizes.append(counts)
+            flat, sizes = np.concatenate(flat), np.concatenate(sizes)
+            for chunk, at in zip(rows["chunk"], asked):
+                ids, counts = _ragged(flat, sizes, at)
+                out.append((chunk, slot, pack(counts.astype(np.int32)), pack(ids.astype(np.uint32))))
+        return pd.DataFrame(out, columns=["chunk", "slot", "counts", "ids"])
+
+    return run
 
 
 # --- chunks of texts
@@ -188,33 +237,39 @@ class _Segments(dict):
 
     def __init__(self, pattern: regex.Pattern, ranks: dict[bytes, int]):
         self.find, self.ranks, self.words = pattern.findall, ranks, {}
-        self.asked: list[str] = []
+        self.asked: list[bytes] = []
         self.known: list[int] = []
         self.parts: list[int] = []
         self.sizes: list[int] = []
         self.after_blank = _AfterBlank(self)
 
-    def __missing__(self, segment: str) -> int:
+    def add(self, segment: str) -> int:
         found = self.find(segment)
         for w in found:
             if (i := self.words.get(w)) is None:
                 i = self.words[w] = len(self.known)
-                token = self.ranks.get(w.encode("utf-8", "surrogatepass"), -1)
+                coded = w.encode("utf-8", "surrogatepass")
+                token = self.ranks.get(coded, -1)
                 self.known.append(token)
                 if token < 0:
-                    self.asked.append(w)
+                    self.asked.append(coded)
             self.parts.append(i)
-        value = self[segment] = len(self.sizes)
         self.sizes.append(len(found))
+        return len(self.sizes) - 1
+
+    def __missing__(self, segment: str) -> int:
+        value = self[segment] = self.add(segment)
         return value
 
 
 class _AfterBlank(dict):
+    """A segment without the blank that it begins with to its number."""
+
     def __init__(self, segments: _Segments):
         self.segments = segments
 
     def __missing__(self, rest: str) -> int:
-        value = self[rest] = self.segments[" " + rest]
+        value = self[rest] = self.segments.add(" " + rest)
         return value
 
 
@@ -241,7 +296,7 @@ def _numbers(text: str, segments: _Segments) -> list[int]:
 
 def _chunks(docs: DataFrame, raw: bytes, pattern: str, chunk: int) -> DataFrame:
     """chunk, docs, counts (segments of each text), segments (of all texts), sizes (words of each distinct segment), parts (its
-    words), known (ids of the words that are tokens, else -1) and asked (the other words)."""
+    words), known (ids of the words that are tokens, else -1), asked (the other words) and their number n_asked."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,7 +308,7 @@ def _chunks(docs: DataFrame, raw: bytes, pattern: str, chunk: int) -> DataFrame:
             ints = lambda x: pack(np.array(x, np.int32))
             return pd.DataFrame({
                 "chunk": [first + number], "docs": [names], "counts": [[len(s) for s in seqs]], "segments": [pack(np.concatenate(seqs))],
-                "sizes": [ints(segments.sizes)], "parts": [ints(segments.parts)], "known": [ints(segments.known)], "asked": [segments.asked]})
+                "sizes": [ints(segments.sizes)], "parts": [ints(segments.parts)], "known": [ints(segments.known)], "asked": [pack_words(segments.asked)], "n_asked": [len(segments.asked)]})
 
         for pdf in batches:
             for name, text in zip(pdf["doc_id"].astype(object), pdf["text"]):
@@ -267,7 +322,7 @@ def _chunks(docs: DataFrame, raw: bytes, pattern: str, chunk: int) -> DataFrame:
         if names:
             yield close()
 
-    return docs.mapInPandas(run, f"chunk bigint, docs array<{kind}>, counts array<int>, segments binary, sizes binary, parts binary, known binary, asked array<string>")
+    return docs.mapInPandas(run, f"chunk bigint, docs array<{kind}>, counts array<int>, segments binary, sizes binary, parts binary, known binary, asked binary, n_asked bigint")
 
 
 def _ragged(flat: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,24 +332,28 @@ def _ragged(flat: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> tuple[np
     return flat[shift + np.arange(len(shift))], size
 
 
-def _together(row) -> tuple[np.ndarray, np.ndarray]:
+def _together(row, slots: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts of a chunk, number of ids of each text)."""
-    known = unpack(row["known"], np.int32)
+    known, words = unpack(row["known"], np.int32), unpack_words(row["asked"])
+    answers = {a["slot"]: (unpack(a["counts"], np.int32), unpack(a["ids"], np.uint32)) for a in (row["answers"] if row["answers"] is not None else ())}
+    slot = _slots(words, slots)
+    order = np.argsort(slot, kind="stable")
+    got = [answers[k] for k in np.unique(slot).tolist()]
+    counts = np.concatenate([c for c, _ in got]).astype(np.int64) if got else np.zeros(0, np.int64)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    asked, of_asked = _ragged(np.concatenate([i for _, i in got]) if got else np.zeros(0, np.uint32), counts, back)
     sizes = np.ones(len(known), np.int64)
-    answers = sorted((a["pos"], a["ids"]) for a in (row["answers"] if row["answers"] is not None else ()))
-    missing = np.flatnonzero(known < 0)
-    if len(answers) != len(missing):
-        raise ValueError(f"{len(missing)} words were asked for, {len(answers)} came back")
-    sizes[missing] = [len(ids) // 4 for _, ids in answers]
+    sizes[known < 0] = of_asked
     flat = np.zeros(int(sizes.sum()), np.uint32)
     starts = np.cumsum(sizes) - sizes
     flat[starts[known >= 0]] = known[known >= 0]
     own = np.ones(len(flat), bool)
     own[starts[known >= 0]] = False
-    flat[own] = np.frombuffer(b"".join(ids for _, ids in answers), "<u4")
+    flat[own] = asked
     of_segment, got = _ragged(flat, sizes, unpack(row["parts"], np.int32))
-    words = unpack(row["sizes"], np.int32)
-    per_segment = np.add.reduceat(got, np.cumsum(words) - words) if len(words) else words.astype(np.int64)
+    parts = unpack(row["sizes"], np.int32)
+    per_segment = np.add.reduceat(got, np.cumsum(parts) - parts) if len(parts) else parts.astype(np.int64)
     ids, size = _ragged(of_segment, per_segment, unpack(row["segments"], np.int32))
     ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(np.asarray(row["counts"], np.int64))]
     return ids, np.diff(ends, prepend=0)
@@ -303,8 +362,11 @@ def _together(row) -> tuple[np.ndarray, np.ndarray]:
 # --- the operator
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTERN, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
+def encode(
+    docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTERN, key: str = "doc_id", text: str = "text", decoded: bool = False, chunk: int = CHUNK, block: int = BLOCK,
+) -> DataFrame:
     """doc_id, n_tokens and ids of each row: ids are 32-bit little-endian integers one after another, as token files hold them.
+    With `decoded`, also the bytes that the ids stand for.
 
     ranks: path of a rank file, which the driver reads. Each match of the pattern is encoded by itself, without special
     tokens; what no match covers is left out, which the public pattern never does. A null or empty text has no ids.
@@ -315,20 +377,28 @@ def encode(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTERN
         raw = f.read()
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     chunks = bucketed(_chunks(rows, raw, pattern, chunk), "chunk", "bpe-chunks")
-    asks = chunks.select("chunk", F.posexplode("asked").alias("pos", "word"))
-    encoded = written(encode_words(asks.select("word").distinct(), raw, block), "bpe-words")
-    answers = asks.join(encoded, "word").groupBy("chunk").agg(F.collect_list(F.struct("pos", "ids")).alias("answers"))
+    n = chunks.agg(F.sum("n_asked")).first()[0] or 0
+    slots = max(partitions(docs.sparkSession), -(-n // SLOT))
+    answered = _grouped(_ask(chunks, slots), "slot", _answer(raw, block), "chunk bigint, slot bigint, counts binary, ids binary")
+    answers = answered.groupBy("chunk").agg(F.collect_list(F.struct("slot", "counts", "ids")).alias("answers"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = vocabulary(raw)
         for pdf in batches:
             for _, row in pdf.iterrows():
-                ids, counts = _together(row)
+                ids, counts = _together(row, slots)
                 data, at = ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(counts) * 4]).tolist()
-                yield pd.DataFrame({"doc_id": pd.Series(list(row["docs"]), dtype=object), "n_tokens": counts, "ids": [data[a:b] for a, b in zip(at[:-1], at[1:])]})
+                out = pd.DataFrame({"doc_id": pd.Series(list(row["docs"]), dtype=object), "n_tokens": counts, "ids": [data[a:b] for a, b in zip(at[:-1], at[1:])]})
+                yield out.assign(decoded=[text_of(b, v) for b in out["ids"]]) if decoded else out
+
+    joined = chunks.join(answers.hint("shuffle_merge"), "chunk", "left")
+    return joined.mapInPandas(run, f"doc_id {kind}, n_tokens bigint, ids binary" + ", decoded binary" * decoded)
 
-    joined = chunks.drop("asked").join(answers.hint("shuffle_merge"), "chunk", "left")
-    return joined.mapInPandas(run, f"doc_id {kind}, n_tokens bigint, ids binary")
+
+def text_of(ids: bytes, v: Vocabulary) -> bytes:
+    tokens = v.tokens
+    return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 def decode(encoded: DataFrame, ranks: str, ids: str = "ids") -> DataFrame:
@@ -337,9 +407,9 @@ def decode(encoded: DataFrame, ranks: str, ids: str = "ids") -> DataFrame:
         raw = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = vocabulary(raw).tokens
+        v = vocabulary(raw)
         for batch in batches:
-            texts = [None if b is None else b"".join([tokens[i] for i in np.frombuffer(b, "<u4").tolist()]) for b in batch.column(ids).to_pylist()]
+            texts = [None if b is None else text_of(b, v) for b in batch.column(ids).to_pylist()]
             kept = [c for c in batch.schema.names if c != "decoded"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.binary())], names=[*kept, "decoded"])
 
@@ -348,6 +418,5 @@ def decode(encoded: DataFrame, ranks: str, ids: str = "ids") -> DataFrame:
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = decode(encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    out = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
