@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tijolo.functions import text as T
@@ -41,3 +41,17 @@ def audit(raw: DataFrame) -> DataFrame:
     return keys.agg(
         F.sum("n").alias("rows_read"), F.sum(F.col("n") - 1).alias("rows_repeated"), F.count_if(~valid).alias("rows_invalid"), F.count_if(valid).alias("rows_kept"),
     )
+
+
+def clean_and_count(raw: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(clean rows, counts as of `audit`): writes the clean rows and counts what is read, repeated, invalid and kept on the way,
+    so that the raw rows are read once. Counting what is invalid once needs invalid rows to be deduplicated too."""
+    read, once = Observation(), Observation()
+    first = dedup_first(typed(raw).observe(read, F.count(F.lit(1)).alias("n")), KEY, "id")
+    valid = F.col("price").isNotNull() & F.coalesce(F.col("area") > 0, F.lit(False))
+    out = first.observe(once, F.count(F.lit(1)).alias("n"), F.count_if(valid).alias("kept")).where(valid)
+    out = out.select(*out.columns, T.classify_kind(F.col("address")).alias("kind"), F.bround(F.col("price") / F.col("area"), 2).alias("unit_price"))
+    out.write.parquet(path)
+    n, unique, kept = read.get["n"], once.get["n"], once.get["kept"]
+    counts = raw.sparkSession.createDataFrame([(n, n - unique, unique - kept, kept)], "rows_read bigint, rows_repeated bigint, rows_invalid bigint, rows_kept bigint")
+    return raw.sparkSession.read.schema(out.schema).parquet(path), counts

@@ -74,6 +74,27 @@ def pivot_mean(df: DataFrame, names: list[str]) -> DataFrame:
     return df.where(F.col("series").isNotNull()).groupBy("month").pivot("series", names).agg(F.avg("value"))
 
 
+def names_found(df: DataFrame) -> list[str]:
+    """Names of the series that have a value, in order; they become columns, so they are few."""
+    return sorted(r["series"] for r in df.where(F.col("series").isNotNull() & F.col("value").isNotNull()).select("series").distinct().collect())
+
+
+def pivot_found(df: DataFrame, require_rows: bool = False) -> DataFrame:
+    """Means by month and series, a column for each series that has a value. With `require_rows`, no such series is an error."""
+    names = names_found(df)
+    if require_rows and not names:
+        raise ValueError("no series has a value")
+    return pivot_mean(df, names) if names else df.select("month").distinct()
+
+
+def join_months(left: DataFrame, right: DataFrame, require_rows: bool = False) -> DataFrame:
+    """Two wide tables by month. With `require_rows`, months that have nothing in common are an error."""
+    both = left.join(right, "month")
+    if require_rows and both.isEmpty():
+        raise ValueError("the tables have no month in common")
+    return both
+
+
 def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key by the order columns, and beside it the greatest value of the first of them over all keys."""
     last = df.groupBy(key).agg(F.max(F.struct(*order)).alias("last"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -161,21 +165,65 @@ def histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
     return every.join(F.broadcast(counts), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n")).orderBy("bin")  # counts: one row a bin
 
 
-def correlation(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pearson coefficients of all pairs of series, from long rows (month, series, value) of two tables, over the months that
-    both tables have; pairs without a coefficient are null.
+#: Series that a block holds, about.
+BLOCK = 128
+
+
+def correlation(left: DataFrame, right: DataFrame, sides: tuple[str, str] = ("left", "right"), block: int = BLOCK) -> DataFrame:
+    """series_a, series_b, r: Pearson coefficients of all pairs of series, from long rows (month, series, value) of two tables, over the
+    months that both tables have; pairs without a coefficient are null, as are those whose variance is rounding (1e-13 of the square).
 
-    Each input is read once, into means of (month, series). A month's means then stand in one row, with null for series that it
-    lacks, and pairs are made from that row: series, not months, multiply, as the result has a row for each pair.
+    A name that both tables have is two series, named after their sides. Values of a month are averaged first. Series are dealt
+    into blocks, and a task gets two blocks, each with all months of its series; months are few by nature. No task or
+    message holds more series than that, and the result is never more than its pairs.
     """
-    both = left.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(2))).where(F.col("value").isNotNull() | F.col("month").isNotNull())
-    means = both.groupBy("month", "series").agg(F.avg("value").alias("v"), F.bit_or("side").alias("side"))
-    months = means.groupBy("month").agg(F.bit_or("side").alias("side"), F.map_from_entries(F.collect_list(F.when(F.col("v").isNotNull() & F.col("series").isNotNull(), F.struct("series", "v")))).alias("cells")).where("side = 3")
-    names = months.agg(F.array_distinct(F.flatten(F.collect_list(F.map_keys("cells")))).alias("names"))
-    filled = months.crossJoin(F.broadcast(names)).select(F.transform("names", lambda n: F.struct(n.alias("series"), F.try_element_at("cells", n).alias("v"))).alias("cells"))
-    pairs = filled.select("cells", F.inline("cells").alias("series_a", "va")).select("series_a", "va", F.inline("cells").alias("series_b", "vb")).where("series_a <= series_b")
-    x, y = F.when(F.col("vb").isNotNull(), F.col("va")), F.when(F.col("va").isNotNull(), F.col("vb"))
-    half = pairs.groupBy("series_a", "series_b").agg(F.round(F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)), 6).alias("r"))
-    mirrored = F.when(F.col("series_a") == F.col("series_b"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
-    return half.withColumn("_turn", F.explode(mirrored)).select(
-        F.when(F.col("_turn"), F.col("series_b")).otherwise(F.col("series_a")).alias("series_a"), F.when(F.col("_turn"), F.col("series_a")).otherwise(F.col("series_b")).alias("series_b"), "r")
+    both = left.select("month", "series", "value", F.lit(1).alias("side")).unionByName(right.select("month", "series", "value", F.lit(2).alias("side")))
+    means = scratch.written(both.where(F.col("month").isNotNull()).groupBy("month", "side", "series").agg(F.avg("value").alias("v")), "means")
+    shared = means.groupBy("month").agg(F.bit_or("side").alias("sides")).where("sides = 3").select("month")
+    known = means.where(F.col("v").isNotNull() & F.col("series").isNotNull()).join(shared, "month", "left_semi")
+    twice = known.groupBy("series").agg(F.bit_or("side").alias("sides")).where("sides = 3").select("series", F.lit(True).alias("twice"))
+    label = F.when(F.col("twice"), F.concat(F.element_at(F.array(*map(F.lit, sides)), F.col("side")), F.lit(": "), F.col("series"))).otherwise(F.col("series"))
+    cells = known.join(twice, "series", "left").select("month", label.alias("series"), "v")
+    blocks = max(1, -(-cells.select("series").distinct().count() // block))
+    packs = cells.groupBy(F.pmod(F.xxhash64("series"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("series", F.col("month").cast("string").alias("month"), "v")).alias("cells"))
+    firsts = packs.select(F.col("b").alias("a"), F.explode(F.sequence("b", F.lit(blocks - 1).cast("long"))).alias("b"), F.col("cells").alias("x"))
+    seconds = packs.select(F.explode(F.sequence(F.lit(0).cast("long"), "b")).alias("a"), "b", F.col("cells").alias("y"))
+    pairs = firsts.join(seconds, ["a", "b"]).select("a", "b", "x", "y").mapInPandas(_pairs_of_blocks, "series_a string, series_b string, r double")
+    return pairs.select("series_a", "series_b", F.round("r", 6).alias("r"))
+
+
+def _matrix(cells, months: dict) -> tuple[list[str], np.ndarray]:
+    names: dict[str, int] = {}
+    rows = [(names.setdefault(c["series"], len(names)), months[c["month"]], c["v"]) for c in cells]
+    out = np.full((len(names), len(months)), np.nan)
+    at = np.array([(i, m) for i, m, _ in rows])
+    out[at[:, 0], at[:, 1]] = [v for _, _, v in rows]
+    return list(names), out
+
+
+def _pairs_of_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Coefficients of each series of one block with each of another, in both orders."""
+    for pdf in batches:
+        for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["x"], pdf["y"]):
+            months = {m: i for i, m in enumerate(dict.fromkeys(c["month"] for c in [*x, *y]))}
+            (na, va), (nb, vb) = _matrix(x, months), _matrix(y, months)
+            r = _coefficients(va, vb)
+            yield pd.DataFrame({"series_a": np.repeat(na, len(nb)), "series_b": np.tile(nb, len(na)), "r": r.reshape(-1)})
+            if a != b:
+                yield pd.DataFrame({"series_a": np.repeat(nb, len(na)), "series_b": np.tile(na, len(nb)), "r": r.T.reshape(-1)})
+
+
+def _coefficients(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the rows of x with those of y over the columns that both have, from co-moments about each row's first value."""
+    def about(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        there = ~np.isnan(v)
+        first = np.take_along_axis(v, there.argmax(axis=1)[:, None], axis=1)
+        return np.where(there, v - first, 0.0), there.astype(float)
+
+    (x, mx), (y, my) = about(x), about(y)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        n = mx @ my.T
+        ex, ey, exx, eyy = (x @ my.T) / n, (mx @ y.T) / n, (x**2 @ my.T) / n, (mx @ (y**2).T) / n
+        vx, vy = exx - ex**2, eyy - ey**2
+        r = ((x @ y.T) / n - ex * ey) / np.sqrt(vx * vy)
+        return np.where((vx > 1e-13 * exx) & (vy > 1e-13 * eyy), np.clip(r, -1, 1), np.nan)

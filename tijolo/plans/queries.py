@@ -135,6 +135,23 @@ _CARD = '<li><a href="{}">{}</a>'
 query("extract_cards", f"""SELECT page_id, CAST(unnest(range(len(l))) AS INTEGER) AS position, unnest(t) AS price, unnest(l) AS link FROM
   (SELECT page_id, regexp_extract_all(html, '{_CARD.format('([^"]*)', '[^<]*')}', 1) AS l, regexp_extract_all(html, '{_CARD.format('[^"]*', '([^<]*)')}', 1) AS t FROM pages)""")(lambda s, d: pages.extract_cards(s.read.parquet(f"{d}/pages.parquet")))
 
+#: Listings as pages of cards with six fields; every fifth card lies inside the one before it, and some are never closed.
+_PAGES = f"""SELECT * FROM ({X.LISTINGS}) WHERE segment = 'casas'"""
+
+
+def _listing_pages(s: SparkSession, d: str) -> DataFrame:
+    field = lambda name, c, tag: F.when(F.trim(F.coalesce(c, F.lit(""))) == "", "").otherwise(F.concat(F.lit(f'<{tag} data-field="{name}">'), F.col(c), F.lit(f"</{tag}>")))
+    inside, named = F.col("id") % 5 == 0, (("price", "price_text", "p"), ("address", "address", "h2"), ("area", "area_text", "span"), ("rooms", "rooms_text", "b"), ("baths", "baths_text", "i"), ("parking", "parking_text", "em"))
+    card = F.concat(F.lit('<div class="a card b"><img src="x"><br>'), *[field(*f) for f in named])
+    listed = X.load(s, d, _PAGES).select("page", "id", card.alias("card"), inside.alias("inside"))
+    # a card inside the one before it: that one is closed only after it; every seventh is not closed at all
+    shut = F.transform(F.array_sort(F.collect_list(F.struct("id", "card", "inside"))), lambda x: F.concat(F.when(x["inside"], "").otherwise("</section><section>"), x["card"], F.when(x["id"] % 7 == 0, "").when(x["inside"], "</div>").otherwise("<!-- open -->")))
+    return listed.groupBy(F.col("page").alias("page_id")).agg(F.concat(F.lit("<html><section>"), F.array_join(shut, ""), F.lit("</section>")).alias("html"))
+
+
+query("extract_listings", "SELECT page AS page_id, " + ", ".join(f"coalesce(nullif(trim({c}), ''), 'N/A') AS {n}" for n, c in (("price", "price_text"), ("address", "address"), ("area", "area_text"), ("rooms", "rooms_text"), ("baths", "baths_text"), ("parking", "parking_text"))) + f" FROM ({X.duck(_PAGES)})")(
+    lambda s, d: pages.extract_cards(_listing_pages(s, d), pages.LISTING_CARD, pages.LISTING_FIELDS).drop("position"))
+
 # --- series
 
 
@@ -198,6 +215,16 @@ def _pivoted(s: SparkSession, d: str) -> DataFrame:
 query("pivot_mean", f"SELECT CAST(month AS VARCHAR) AS month, {_PIVOT} FROM ({X.duck(X.MONTHLY_LEFT)}) GROUP BY month")(lambda s, d: _pivoted(s, d).withColumn("month", F.col("month").cast("string")))
 _RIGHT_NAMES = ["quantity", "price", "discount", "tax", "constant"]
 _RIGHT_PIVOT = ", ".join(f"round(avg(value) FILTER (series = '{n}'), 4) AS {n}" for n in _RIGHT_NAMES)
+query("pivot_found", f"SELECT CAST(month AS VARCHAR) AS month, round(avg(value) FILTER (series = '1-URGENT'), 4) AS \"1-URGENT\", round(avg(value) FILTER (series = '5-LOW'), 4) AS \"5-LOW\" FROM ({X.duck(X.MONTHLY_LEFT)}) GROUP BY month")(
+    lambda s, d: _found(X.load(s, d, X.MONTHLY_LEFT).withColumn("value", F.when(F.col("series").isin("1-URGENT", "5-LOW"), F.col("value")))))
+
+
+def _found(long: DataFrame) -> DataFrame:
+    """All series but two have no value, and are no column."""
+    wide = series.pivot_found(long, require_rows=True)
+    return wide.select(F.col("month").cast("string").alias("month"), *[F.round(F.col(f"`{c}`"), 4).alias(c) for c in wide.columns[1:]])
+
+
 query("month_join", f"SELECT CAST(l.month AS VARCHAR) AS month, l.*EXCLUDE(month), r.*EXCLUDE(month) FROM (SELECT month, {_PIVOT} FROM ({X.duck(X.MONTHLY_LEFT)}) GROUP BY month) l JOIN (SELECT month, {_RIGHT_PIVOT} FROM ({X.duck(X.MONTHLY_RIGHT)}) GROUP BY month) r ON l.month = r.month")(
     lambda s, d: _pivoted(s, d).join(series.pivot_mean(X.load(s, d, X.MONTHLY_RIGHT), _RIGHT_NAMES).select("month", *[F.round(n, 4).alias(n) for n in _RIGHT_NAMES]), "month").withColumn("month", F.col("month").cast("string")))
 query("corr_matrix", f"""WITH l AS ({X.duck(X.MONTHLY_LEFT)}), r AS ({X.duck(X.MONTHLY_RIGHT)}), a AS (SELECT month, series, avg(value) AS v FROM (SELECT * FROM l UNION ALL SELECT * FROM r)
@@ -311,6 +338,19 @@ query("price_index_load", "SELECT '20' || substr(CAST(month AS VARCHAR), 3) AS d
 query("wide_header", "SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) AS file, c AS \"column\", o AS output FROM orders, (VALUES (1, 'date'), (7, 'monthly_sale'), (12, 'yearly_sale'), (17, 'price_m2'), (27, 'monthly_rent'), (32, 'yearly_rent'), (37, 'rent_m2'), (42, 'rent_yield')) t(c, o)")(
     lambda s, d: wide_index.columns(wide_index.headings(wide_index.cells(wide_lines(s, d)))))
 
+
+def _odd_wide_lines(s: SparkSession, d: str) -> DataFrame:
+    """Wide files whose headings are those above in every fourth year; others lack the date's or the price's."""
+    year, head = F.col("file").cast("int") % 4, F.col("record") < 4
+    line = F.when(head & (year == 1), F.replace(F.replace("line", F.lit("Data"), F.lit("Database")), F.lit("Preço médio (R$/m²)"), F.lit("Total")))
+    line = line.when(head & (year == 2), F.replace(F.replace("line", F.lit("Data"), F.lit("Dia")), F.lit("Preço médio (R$/m²)"), F.lit("Custo")))
+    return wide_lines(s, d).withColumn("line", line.when(head & (year == 3), "").otherwise(F.col("line")))
+
+
+query("wide_report", """SELECT DISTINCT CAST(y AS VARCHAR) AS file, CASE y % 4 WHEN 1 THEN 'holds the word' WHEN 2 THEN 'second column' ELSE 'none' END AS date_rule,
+  CASE y % 4 WHEN 3 THEN 'none' ELSE 'first without total' END AS price_rule FROM (SELECT year(o_orderdate) AS y FROM orders) WHERE y % 4 <> 0""")(
+    lambda s, d: wide_index.load_with_report(_odd_wide_lines(s, d))[1])
+
 # --- sinks
 
 
@@ -358,9 +398,52 @@ query("series_table", f"SELECT source, code, CAST(date AS VARCHAR) AS date, valu
     lambda s, d: _stored(s, "series", _upserted(s, d), ["date", "source", "code"]).withColumns({c: F.col(c).cast("string") for c in ("date", "seen")}))
 
 
-@query("record_pages", f"SELECT segment, page, count(*) AS n FROM (SELECT * FROM ({X.duck(X.PROGRESS)}) UNION SELECT * FROM ({X.duck(X.EMPTY)})) GROUP BY ALL")
-def record_pages(s: SparkSession, d: str) -> DataFrame:
-    rows, marks = scratch.path(s, "rows"), scratch.path(s, "marks")
-    for pages_ in (X.load(s, d, X.PROGRESS), X.load(s, d, X.EMPTY)):
-        sinks.record(pages_.withColumn("address", F.lit("x")), pages_, rows, marks, ["segment", "page"])
-    return s.read.parquet(marks).groupBy("segment", "page").agg(F.count(F.lit(1)).alias("n"))
+_PAGE = ["segment", "page"]
+
+
+def _recorded(s: SparkSession, d: str) -> str:
+    """Pages recorded in three runs: collected ones, empty ones of which some are marked, and the first run again."""
+    path = scratch.path(s, "recorded")
+    for run, pages_ in (("first", X.PROGRESS), ("second", X.EMPTY), ("first", X.PROGRESS)):
+        due = X.load(s, d, pages_)
+        rows = due.distinct().withColumn("card", F.explode(F.sequence(F.lit(0), F.col("page") % 3)))
+        sinks.record(rows, due, path, _PAGE, run)
+    return path
+
+
+_DUE = f"SELECT DISTINCT segment, page FROM (SELECT * FROM ({X.duck(X.PROGRESS)}) UNION SELECT * FROM ({X.duck(X.EMPTY)}))"
+query("record_pages", f"SELECT segment, page, CAST(1 AS BIGINT) AS n FROM ({_DUE})")(
+    lambda s, d: sinks.marks(s, _recorded(s, d), sinks.SCHEMAS["progress"]).groupBy(*_PAGE).agg(F.count(F.lit(1)).alias("n")))
+query("record_rows", f"SELECT segment, page, CAST(unnest(range(page % 3 + 1)) AS INT) AS card FROM ({_DUE})")(
+    lambda s, d: sinks.recorded(s, _recorded(s, d), "segment int, page int, card int"))
+
+
+@query("merge_series", ORACLES["upsert_series"])
+def merge_series(s: SparkSession, d: str) -> DataFrame:
+    """The upsert of series, month by month in place: only the months of a batch are written again."""
+    path, month = scratch.path(s, "merged"), F.date_format("date", "yyyy-MM")
+    rows = X.load(s, d, X.SERIES).where("code IS NOT NULL")
+    cols = [*series.KEY, *_VALUES, "seen"]
+    shifted = rows.where("is_batch").select(*cols[:4], (F.col("value") + 1).alias("value"), *cols[5:7], F.date_add("seen", 1).alias("seen"), "seq")
+    for batch in (rows.where("NOT is_batch").select(*cols, "seq"), shifted):
+        sinks.merge(batch, path, sinks.SCHEMAS["series"], month, lambda stored, b: series.upsert(stored.select(*cols), b))
+    out = sinks.parts(s, path, sinks.SCHEMAS["series"])
+    return out.select("source", "code", F.col("date").cast("string").alias("date"), "value", F.col("seen").cast("string").alias("seen"))
+
+
+query("clean_audit_on_write", ORACLES["clean_audit"])(lambda s, d: listings.clean_and_count(raw(s, d), scratch.path(s, "clean"))[1])
+# listings as a table that needs a price and an area and holds an address once
+_CHECKED = f"SELECT *, concat_ws(', ', CASE WHEN price IS NULL THEN 'price' END, CASE WHEN area IS NULL THEN 'area' END) AS why FROM ({_TYPED})"
+
+
+def _contract(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = listings.typed(raw(s, d)).select("id", "address", "price", "area")
+    return sinks.checked(rows, scratch.path(s, "checked"), ["price", "area"], ["address", "price"], "id")
+
+
+query("contract_rows", f"SELECT arg_min(id, id) AS id, address, price, arg_min(area, id) AS area FROM ({_CHECKED}) WHERE why = '' GROUP BY address, price")(lambda s, d: _contract(s, d)[0])
+query("contract_quarantine", f"""SELECT reason, count(*) AS keys, CAST(sum(n) AS BIGINT) AS n FROM (SELECT address, price, CASE WHEN why = '' THEN 'repeated' ELSE 'null in ' || why END AS reason, CASE WHEN why = '' THEN count(*) - 1 ELSE count(*) END AS n
+  FROM ({_CHECKED}) GROUP BY address, price, why) WHERE n > 0 GROUP BY reason""")(
+    lambda s, d: _contract(s, d)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n")))
+query("contract_counts", f"""SELECT count(DISTINCT (address, price)) FILTER (why = '') AS n, count(*) FILTER (why <> '') AS nulls, count(*) FILTER (why = '') - count(DISTINCT (address, price)) FILTER (why = '') AS repeats FROM ({_CHECKED})""")(
+    lambda s, d: _contract(s, d)[2])
