@@ -4,8 +4,8 @@ An ARC file is a sequence of records, each a header line and as many bytes as th
 file's first record names the version: lines of version 1 have five fields, those of version 2 ten.
 The converter synthesises what WARC has and ARC has not: record identifiers (from address, date and
 payload digest), ISO timestamps, record types and SHA-1 digests. Archives are files written by Spark's
-text writer, one row a file, gzip-compressed; they are read back as binary files. Damaged ARC records are
-left out and reported, and reading goes on at the next header line.
+text writer, one row a file, gzip-compressed; they are read back as binary files. Damaged ARC records and
+gzip members are left out and reported, and reading goes on behind them.
 """
 
 from __future__ import annotations
@@ -60,8 +60,9 @@ def arc_record(version: int, name: str, offset: int, url: str | None, page_id: o
     return f"{_address(url)} {IP} {DATE} {KIND} {middle}{len(block)}\n".encode() + block + b"\n"
 
 
-#: A header line: address, IP, 14 digits of a date, type, and at last the length; those of version 2 have five fields more in between.
-_HEADER = re.compile(rb"^(\S+) (\S+) (\d{14}) (\S+) ((?:\S+ ){5})?(\d+)\r?$", re.M)
+#: A header line: address, IP, 14 digits of a date, type, which may have parameters, and at last the length; those of version 2
+#: have five fields more in between.
+_HEADER = re.compile(rb"^(\S+) (\S+) (\d{14}) ([^\s;]+(?:; *[^\s;]+)*;?) ((?:\S+ ){5})?(\d+)\r?$", re.M)
 
 
 def read_arc(raw: bytes, damaged: list[tuple[int, str]] | None = None) -> Iterator[dict]:
@@ -165,7 +166,71 @@ def _load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _opened(content: bytes) -> bytes:
-    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+    return gzip.decompress(content) if content[:2] == _GZIP[:2] else content
+
+
+_GZIP, _STEP = b"\x1f\x8b\x08", 1 << 16
+
+
+def opened(content: bytes, damaged: list[tuple[int, str]] | None = None) -> bytes:
+    """What is in an archive that may be gzip-compressed, in one member or many, and damaged.
+
+    A member that is cut short or wrong gives what comes out of it before, and reading goes on at the next member behind its
+    beginning that gives anything; zeros between members are padding. Places in the compressed bytes and reasons are added to `damaged`.
+    """
+    if content[:2] != _GZIP[:2]:
+        return content
+    out, at = [], 0
+    note = lambda reason: damaged.append((at, reason)) if damaged is not None else None
+    while at < len(content):
+        if content[at : at + 3] == _GZIP:
+            member, d, i = [], zlib.decompressobj(31), at
+            try:
+                while i < len(content) and not d.eof:
+                    member.append(d.decompress(content[i : i + _STEP]))
+                    i += _STEP
+            except zlib.error:
+                member += _before_error(content[at : i + _STEP], sum(map(len, member)))
+                note("wrong gzip member")
+            else:
+                if d.eof:
+                    out += member
+                    at = min(i, len(content)) - len(d.unused_data)
+                    continue
+                note("gzip member cut short")
+            out += member
+        following = content.find(_GZIP, at + 1)
+        while following >= 0 and not _begins(content[following : following + _STEP]):
+            following = content.find(_GZIP, following + 1)
+        if content[at : at + 3] != _GZIP and content[at : following if following >= 0 else None].strip(b"\0"):
+            note("no gzip member")
+        if following < 0:
+            break
+        at = following
+    return b"".join(out)
+
+
+def _before_error(content: bytes, known: int) -> list[bytes]:
+    """What a wrong member gives behind its first `known` bytes, up to the error."""
+    d, got = zlib.decompressobj(31), []
+    for size in (64, 1):  # what the failing call would have given is lost, so that the last bytes are fed one by one
+        i = 0
+        try:
+            while i < len(content):
+                before = d.copy()
+                got.append(d.decompress(content[i : i + size]))
+                i += size
+        except zlib.error:
+            d, content = before, content[i:]
+    return [b"".join(got)[known:]]
+
+
+def _begins(content: bytes) -> bool:
+    """Whether these bytes begin a member that gives anything; the three bytes that begin one may stand anywhere."""
+    try:
+        return bool(zlib.decompressobj(31).decompress(content, 1))
+    except zlib.error:
+        return False
 
 
 def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> None:
@@ -197,11 +262,11 @@ def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST_BYTES, id_type: str = "bigint") -> DataFrame:
     """WARC archives of the ARC archives under arc_path, one for one; an archive without records gives none.
-    Returns the damage: path, offset and reason of each place that was left out.
+    Returns the damage: path, offset and reason of each place that was left out; offsets of gzip damage are those of the stored bytes.
 
     Of records with equal payloads of at least `least` bytes, the one with the smallest page id (read as
-    id_type) is a response and the others revisit it; records without an id, and rows repeated with the id of
-    the response, are responses. Only (digest, length, id) is grouped, so that a payload that many pages share
+    id_type) is a response and the others revisit it; records without an id or with one that is not of id_type, and rows
+    repeated with the id of the response, are responses. Only (digest, length, id) is grouped, so that a payload that many pages share
     is counted on the map side.
     """
     arcs = _load(spark, arc_path)
@@ -211,7 +276,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEA
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
                 damaged: list[tuple[int, str]] = []
-                for r in read_arc(_opened(content), damaged):
+                for r in read_arc(opened(content, damaged), damaged):
                     http, payload = payload_of(r["block"])
                     if len(payload) >= least and "x-page-id" in http:
                         digest = sha1(payload)
@@ -223,8 +288,8 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEA
     stored = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(arc_path).agg(F.sum("length")).first()[0] or 0
     tasks = max(partitions(spark), -(-stored // TASK_BYTES))
     every = written(arcs.mapInPandas(index, "path string, page string, digest string, length bigint, record string"), "arc-index")
-    found = every.where(F.col("record").isNotNull())
-    number = F.col("page").cast(id_type)
+    number = F.col("page").try_cast(id_type)
+    found = every.where(F.col("record").isNotNull() & number.isNotNull())
     firsts = found.groupBy("digest", "length").agg(F.min(F.struct(number.alias("n"), F.col("page"), F.col("record"))).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1")
     again = found.join(firsts, ["digest", "length"]).where(number > F.col("first.n"))
     again = again.groupBy("path").agg(F.collect_list(F.struct("page", F.col("first.page").alias("of"), F.col("first.record").alias("record"))).alias("again"))
@@ -233,7 +298,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEA
         for pdf in batches:
             for content, rows in zip(pdf["content"], pdf["again"]):
                 revisits = {r["page"]: (r["of"], r["record"]) for r in (rows if rows is not None else [])}
-                records = b"".join(warc_record(r, revisits) for r in read_arc(_opened(content)))
+                records = b"".join(warc_record(r, revisits) for r in read_arc(opened(content)))
                 if records:  # an empty partition leaves an empty ARC file
                     yield pd.DataFrame({"content": [records[:-1]]})
 
@@ -265,7 +330,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arc, warc = fresh_path(spark, "arc"), fresh_path(spark, "warc")
     kind = pages.schema["page_id"].dataType.simpleString()
     write_arc(pages, arc)
-    convert(spark, arc, warc, id_type=kind)
+    if not convert(spark, arc, warc, id_type=kind).isEmpty():
+        raise ValueError(f"archives just written to {arc} are damaged")
     return read(spark, warc).select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
