@@ -17,16 +17,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tijolo.llm.common import table, written
+from tijolo.llm.common import small_batches, table, written
 
 #: Labelled documents that the chain is fitted on, at most: those with the least hash of the key.
 SAMPLE = 6000
 #: Features kept a category, least documents of a feature, folds, gradient steps, penalty.
 KEPT, LEAST, FOLDS, STEPS, PENALTY = 800, 3, 4, 600, 1e-4
 STEMS = (3, 4, 5, 6)
-#: A document is toxic from this probability on. On a third of the labels of sf0.1, held out, 0.2 to 0.3 found 88-93 % of the toxic
-#: ones and under 1 % of the others; 0.5 found 83 %.
-THRESHOLD = 0.25
+#: The share of documents without a category that may be taken for ones with it. The probability from which on a document has the category is
+#: the least that keeps to this among out-of-fold predictions of the fitted sample, so no label decides about itself.
+FALSE_ALARMS = 0.01
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 300_000
@@ -46,7 +46,7 @@ def shape_features(text: str, words: list[str], distinct: int) -> list[int]:
 
 def features(text: str | None, of_word=word_features) -> set[int]:
     words = _WORD.findall(text or "")
-    distinct = {w.lower() for w in words}
+    distinct = {w.lower() for w in set(words)}
     out = set(shape_features(text or "", words, len(distinct)))
     for w in distinct:
         out.update(of_word(w))
@@ -69,23 +69,31 @@ def _predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))).astype(np.float32)
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> list[np.ndarray]:
-    """One weight vector a column of y; the k-th model's inputs are x and k probabilities, here out of fold."""
+def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(a weight vector for each column of y, out-of-fold predictions of each): the k-th model's inputs are x and the out-of-fold
+    predictions of the k columns before. A fold without rows, or with all of them, has 0."""
     models, inputs = [], x
     for k in range(y.shape[1]):
         models.append(_logistic(inputs, y[:, k]))
-        if k + 1 < y.shape[1]:
-            out = np.zeros(len(x), np.float32)
-            for f in range(FOLDS):
-                held = fold == f
-                if held.any() and not held.all():
-                    out[held] = _predict(inputs[held], _logistic(inputs[~held], y[~held, k]))
-            inputs = np.hstack([inputs, out[:, None]])
-    return models
-
-
-def fit(labelled: DataFrame, categories: list[str], key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> dict:
-    """Chain from rows with a 0/1 column for each category, at most `sample` of them. Rows with a null category are
+        out = np.zeros(len(x), np.float32)
+        for f in range(FOLDS):
+            held = fold == f
+            if held.any() and not held.all():
+                out[held] = _predict(inputs[held], _logistic(inputs[~held], y[~held, k]))
+        inputs = np.hstack([inputs, out[:, None]])
+    return models, inputs[:, x.shape[1] :]
+
+
+def threshold(p: np.ndarray, y: np.ndarray, false_alarms: float) -> float:
+    """The least probability from which on at most so many of the rows with y 0 are taken, and 0.5 at most; 0.5 if there are none."""
+    without = np.sort(p[y == 0])[::-1]
+    if not len(without):
+        return 0.5
+    return float(min(0.5, np.nextafter(without[int(false_alarms * len(without))], np.float32(1))))
+
+
+def fit(labelled: DataFrame, categories: list[str], key: str = "doc_id", text: str = "text", sample: int = SAMPLE, false_alarms: float = FALSE_ALARMS) -> dict:
+    """Chain, and the probability from which on a document has each category, from rows with a 0/1 column for each category, at most `sample` of them. Rows with a null category are
     left out; without rows every probability is 0.5. Counting and choosing features is Spark's work; what comes to
     the driver is at most KEPT features a category and the sample's rows over those."""
     rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("text"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)]).dropna(subset=[f"y{i}" for i in range(len(categories))])
@@ -99,7 +107,7 @@ def fit(labelled: DataFrame, categories: list[str], key: str = "doc_id", text: s
     found = written(found, "tox-sample")
     total = found.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ys]).first()
     if not total.n:
-        return {"index": {}, "models": None, "categories": categories}
+        return {"index": {}, "models": None, "categories": categories, "thresholds": [0.5] * len(ys)}
     seen = found.select(*ys, F.explode("found").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ys]).where(F.col("n") >= LEAST)
     index: dict[int, int] = {}
     for c in ys:
@@ -113,11 +121,24 @@ def fit(labelled: DataFrame, categories: list[str], key: str = "doc_id", text: s
         x[i, [index[f] for f in r.found]] = 1
     y = np.array([[r[c] for c in ys] for r in chosen], np.float32)
     fold = np.array([xxhash.xxh3_64_intdigest(f"fold:{r.k}") % FOLDS for r in chosen])
-    return {"index": index, "models": fit_chain(x, y, fold), "categories": categories}
+    models, held = fit_chain(x, y, fold)
+    return {"index": index, "models": models, "categories": categories, "thresholds": [threshold(held[:, k], y[:, k], false_alarms) for k in range(len(ys))]}
+
+
+def probabilities(at: list[list[int]], models: list[np.ndarray], width: int) -> np.ndarray:
+    """Of each category, for documents with the features `at`, all of them at once."""
+    sizes = np.array([len(a) for a in at], np.int64)
+    doc, flat = np.repeat(np.arange(len(at)), sizes), np.fromiter((i for a in at for i in a), np.int64, int(sizes.sum()))
+    p = np.zeros((len(at), len(models)))
+    for k, w in enumerate(models):
+        z = np.bincount(doc, w[flat], len(at)) + p[:, :k] @ w[width : width + k] + w[-1]
+        p[:, k] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return p
 
 
 def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs with a column p_<category> each; columns of docs with such names are replaced. Null or empty text has the shape features of an empty text only."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # KEPT weights a category
     names = [f"p_{c}" for c in model["categories"]]
 
@@ -137,12 +158,8 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
             if m["models"] is None:
                 yield pdf.assign(**{c: 0.5 for c in names})
                 continue
-            p = np.zeros((len(pdf), len(names)))
-            for i, t in enumerate(pdf[text]):
-                at = [index[f] for f in features(t, of_word) if f in index]
-                for k, w in enumerate(m["models"]):
-                    z = w[at].sum() + w[-1] + sum(w[len(index) + j] * p[i, j] for j in range(k))
-                    p[i, k] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            at = [[index[f] for f in features(t, of_word) if f in index] for t in pdf[text]]
+            p = probabilities(at, m["models"], len(index))
             yield pdf.assign(**{c: p[:, k] for k, c in enumerate(names)})
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in names)
@@ -161,4 +178,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     model = fit(labelled_sample(docs, labels), ["low_quality", "toxic"])
-    return score(docs, model).select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= THRESHOLD).alias("toxic"))
+    return score(docs, model).select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= model["thresholds"][1]).alias("toxic"))
