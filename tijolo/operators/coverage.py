@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tijolo.functions.text import is_missing
@@ -34,3 +34,19 @@ def fill_rate(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
 
 def missing_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(is_missing(F.col(c))).alias(f"{c}_missing") for c in columns])
+
+
+#: Logarithm of a sketch's registers. The relative standard error is 1.04 / sqrt(2 ** LG_K), 0.8 %.
+LG_K = 14
+
+
+def distinct_sketches(rows: DataFrame, by: list[str], key: Column, lg_k: int = LG_K) -> DataFrame:
+    """by, n and sketch: rows, and a sketch of the different keys, of each group. To be stored: later groups are merged with it, and
+    rows are not read again. Null keys are not counted."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg(key, lg_k).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by: list[str] = ()) -> DataFrame:
+    """by, n, different and repeated: estimates out of the merged sketches of each group, or of all."""
+    merged = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("different"))
+    return merged.withColumn("repeated", F.greatest(F.col("n") - F.col("different"), F.lit(0)))

@@ -19,6 +19,9 @@ LISTING_FIELDS = {name: (None, {"data-field": name}, None) for name in ("price",
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS = {"li": ("ul", "ol"), "p": ("div", "article", "section", "li", "td"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}
 
+#: Elements that stand on lines of their own.
+LINES = frozenset("article br dd div dl dt footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p section table td th tr ul".split())
+
 
 class _Cards(HTMLParser):
     """Keeps the open elements, each with the card and the fields that it begins; a field is that of the innermost open card."""
@@ -30,13 +33,11 @@ class _Cards(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         have = {k: v or "" for k, v in attrs}
-        if tag in ENDS:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] == tag:
-                    del self.open[i:]
-                    break
-                if self.open[i][0] in ENDS[tag]:
-                    break
+        if tag in LINES:
+            self.handle_data("\n")
+        # an element ends where another of its kind begins, and a paragraph where any on lines of its own does
+        for ended in {tag, "p"} if tag in LINES and tag != "br" else {tag}:
+            self._end(ended)
         of, held = self.card
         begun = None
         if tag == of and all(w in have.get(k, "") for k, words in held.items() for w in words):
@@ -53,12 +54,22 @@ class _Cards(HTMLParser):
         if tag not in VOID:
             self.open.append((tag, begun, reading))
 
+    def _end(self, tag: str) -> None:
+        for i in range(len(self.open) - 1, -1, -1) if tag in ENDS else ():
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                return
+            if self.open[i][0] in ENDS[tag]:
+                return
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if tag in LINES:
+            self.handle_data("\n")
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 del self.open[i:]

@@ -62,8 +62,8 @@ def quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] = (), ac
     group or, where a range holds more than `limit` different values, over all tasks. No outlier or gap moves rows into one task.
     A group without values has no row.
     """
-    keys = [f"_k{i}" for i in range(len(by))]
-    rows = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).cast("double").alias("_v"))
+    keys = [f"_k{i}" for i in range(len(by))] or ["_k0"]  # all rows are one group where `by` names none
+    rows = df.where(F.col(value).isNotNull()).select(*[x.alias(k) for x, k in zip(map(F.col, by) if by else [F.lit(0)], keys)], F.col(value).cast("double").alias("_v"))
     near = 2.0 / accuracy
     ends = F.percentile_approx("_v", [x for q in qs for x in (max(0.0, q - near), min(1.0, q + near))], accuracy)
     sketched = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_of"), ends.alias("_ends")).where("_of > 0")
@@ -74,9 +74,9 @@ def quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] = (), ac
     first, last = F.floor(F.col("_q") * (F.col("_of") - 1)), F.ceil(F.col("_q") * (F.col("_of") - 1))
     groups = cells.groupBy(*keys, "_i", "_q", "_of").agg(F.coalesce(below, F.lit(0)).alias("_below"), F.coalesce(inside, F.lit(0)).alias("_inside"), F.count("_v").alias("_values"))
     held = (F.col("_below") <= first) & (last < F.col("_below") + F.col("_inside"))
-    seen = groups.agg(F.coalesce(F.bool_and(held), F.lit(True)).alias("held"), F.max("_values").alias("values")).first()
+    seen = groups.agg(F.count_if(held).alias("held"), F.max("_values").alias("values")).first()
     most = seen["values"]
-    if not seen["held"]:
+    if seen["held"] < ranges.count():
         everything = ranges.withColumns({"_lo": F.lit(float("-inf")), "_hi": F.lit(float("nan"))})  # NaN is above all values
         cells = scratch.written(_counted(rows, everything, keys), "cells")
         most = cells.groupBy(*keys, "_i").agg(F.count("_v").alias("n")).agg(F.max("n")).first()[0]
@@ -97,7 +97,7 @@ def _counted(rows: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
         named = named.withColumnRenamed(k, f"{k}r")
         same = same & F.col(k).eqNullSafe(F.col(f"{k}r"))
     # a few rows, one for each group and quantile: the planner broadcasts them by their size, which is known as they are written
-    met = rows.join(named, same) if keys else rows.crossJoin(F.broadcast(named))
+    met = rows.join(named, same)
     kept = met.where(F.col("_v") <= F.col("_hi")).withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
     return kept.groupBy(*keys, "_i", "_q", "_of", "_v").agg(F.count(F.lit(1)).alias("_n"))
 

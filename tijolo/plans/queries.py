@@ -113,6 +113,8 @@ query("sql_fill_rate", f"SELECT segment, {', '.join(f'round(CAST(100.0 AS DOUBLE
     lambda s, d: coverage.fill_rate(raw(s, d), "segment", _FIELDS))
 query("sql_dup_estimate", f"SELECT count(*) AS n, count(DISTINCT address || '|' || price_text || '|' || area_text) AS different, count(*) - count(DISTINCT address || '|' || price_text || '|' || area_text) AS repeated FROM ({_L})")(
     lambda s, d: raw(s, d).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.expr("address || '|' || price_text || '|' || area_text")).alias("different")).withColumn("repeated", F.col("n") - F.col("different")))
+# estimates, which SQL does not give: sketches of segments are stored and merged; tests hold them against the exact query
+query("sql_dup_sketch")(lambda s, d: coverage.merge_sketches(scratch.written(coverage.distinct_sketches(raw(s, d), ["segment"], F.expr("address || '|' || price_text || '|' || area_text")), "sketches")))
 query("sql_text_match", "SELECT lang, source, count(*) AS n FROM documents WHERE lower(text) LIKE '%tion%' OR lower(text) LIKE '%keit%' GROUP BY lang, source")(
     lambda s, d: s.read.parquet(f"{d}/documents.parquet").where(F.lower("text").like("%tion%") | F.lower("text").like("%keit%")).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")))
 query("sql_text_sample", "SELECT doc_id, lang, source FROM documents WHERE lower(text) LIKE '%tion%' ORDER BY doc_id LIMIT 50")(
