@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from tests.conftest import DATA
 from tijolo.llm import near_duplicates as N
 
 
@@ -27,3 +28,11 @@ def test_every_tree_has_a_root_of_its_own():
 
 def test_no_link_is_missed_where_all_nodes_branch():
     assert missed(5000, 1) == 0
+
+
+def test_sets_meet_in_blocks_of_bounded_shingles(spark):
+    """However small a group's part of a task is, the components are the same."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    whole = sorted(map(tuple, N.near_duplicates(docs, words=4).collect()))
+    assert sorted(map(tuple, N.near_duplicates(docs, words=4, shingles_met=300).collect())) == whole
+    assert any(r[0] != r[2] for r in whole)

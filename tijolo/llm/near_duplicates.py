@@ -8,8 +8,8 @@ block. Small nodes are compared exhaustively by sketch and yield a spanning fore
 A link at the threshold is missed with a probability of 9e-7 if its nodes branch on all DEPTH levels, else less.
 
 Likely links join sets into groups; a link is confirmed on full sets. A group of at most NODE sets meets in
-one task and all its pairs are tried; of a larger group, each tree node that it has is tried so. Confirmed
-links, again a spanning forest, give the components.
+one task and all its pairs are tried; of a larger group, each tree node that it has is tried so, and sets of more
+than SHINGLES_MET shingles in all meet in blocks, two at a time. Confirmed links, again a spanning forest, give the components.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ WORDS, PERCENT = 5, 80
 SKETCH, TREES, DEPTH, NODE = 64, 42, 6, 2048
 #: Share of sketch values in which likely links agree: a pair at 0.8 falls below with probability under 1e-8.
 LIKELY = 0.5
+#: Shingles of the sets that meet in one task to be confirmed, about; two sets meet however large they are.
+SHINGLES_MET = 8_000_000
 
 _MAP = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 _ODD = np.array([int.from_bytes(xxhash.xxh3_64_digest(f"odd{i}"), "big") | 1 for i in range(SKETCH)], np.uint64)
@@ -202,11 +204,16 @@ def tree_nodes(sets: DataFrame, node: int = NODE, depth: int = DEPTH) -> DataFra
             return small
         if level < depth:
             members = _children(large.join(sets, "rep").select("node", "rep", "sketch"))
-    # What does not shrink is cut into blocks, and every two blocks are a node.
-    blocks = F.ceil(2 * F.col("n") / node).cast("int")
-    cut = large.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # What does not shrink is cut.
+    return small.unionByName(_cut(large, "node", "n", node))
+
+
+def _cut(members: DataFrame, group: str, size: str, most: int) -> DataFrame:
+    """(group, rep) of groups of a size over `most`, cut into blocks of about half of it; every two blocks are a group, so that every two members meet."""
+    blocks = F.ceil(2 * F.col(size) / most).cast("int")
+    cut = members.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     pairs = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return small.unionByName(pairs.select(F.xxhash64("node", F.least("b", "o"), F.greatest("b", "o")).alias("node"), "rep"))
+    return pairs.select(F.xxhash64(group, F.least("b", "o"), F.greatest("b", "o")).alias(group), "rep")
 
 
 def _likely(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -280,7 +287,7 @@ def _confirmed(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": reps[[x for x, _ in out]], "b": reps[[y for _, y in out]]}) if out else pd.DataFrame()
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text", shingles_met: int = SHINGLES_MET) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs; a link is a similarity of PERCENT or more.
 
     A null, empty or blank text has no shingles and is linked with nothing; its component is its own id. Rows of
@@ -302,6 +309,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, key: str = "doc_id", te
     met = groups.where(F.col("size") <= NODE).select(F.xxhash64("component").alias("grp"), "rep")
     inside = groups.where(F.col("size") > NODE).select("rep", "component")
     met = met.unionByName(nodes.join(inside, "rep").select(F.xxhash64("node", "component").alias("grp"), "rep"))
+    # a group is bounded by its shingles too, as a few sets may be very large
+    sized = met.distinct().join(sets.select("rep", "n"), "rep")
+    totals = written(sized.groupBy("grp").agg(F.sum("n").alias("total")), "met")
+    if not totals.where(F.col("total") > shingles_met).isEmpty():
+        fit = sized.join(totals.where(F.col("total") <= shingles_met), "grp", "left_semi").select("grp", "rep")
+        met = fit.unionByName(_cut(sized.join(totals.where(F.col("total") > shingles_met), "grp"), "grp", "total", shingles_met))
     met = met.distinct()
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
