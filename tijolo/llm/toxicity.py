@@ -53,15 +53,20 @@ def features(text: str | None, of_word=word_features) -> set[int]:
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights, the last one the intercept, by accelerated gradient steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Weights of several models, a column each, the last one the intercept, by accelerated gradient steps. rows: a column
+    each, which rows of x a model is fitted on; all models advance together, as reading x is what a step takes."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    rate = np.float32(1 / (0.25 * (x * x).sum(axis=1).mean() + PENALTY))
-    w = last = np.zeros(x.shape[1], np.float32)
+    rows = rows.astype(np.float32)
+    n = np.maximum(1, rows.sum(axis=0))
+    rate = (1 / (0.25 * ((x * x).sum(axis=1) @ rows) / n + PENALTY)).astype(np.float32)
+    w = last = np.zeros((x.shape[1], rows.shape[1]), np.float32)
+    penalty = np.full((x.shape[1], 1), PENALTY, np.float32)
+    penalty[-1] = 0
     for t in range(STEPS):
         ahead = w + np.float32(t / (t + 3)) * (w - last)
-        slope = x.T @ (1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30))) - y) / len(x) + np.float32(PENALTY) * np.append(ahead[:-1], 0)
-        last, w = w, (ahead - rate * slope).astype(np.float32)
+        off = (1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30))) - y[:, None]) * rows
+        last, w = w, (ahead - rate * (x.T @ off / n + penalty * ahead)).astype(np.float32)
     return w
 
 
@@ -73,13 +78,14 @@ def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[list[np.n
     """(a weight vector for each column of y, out-of-fold predictions of each): the k-th model's inputs are x and the out-of-fold
     predictions of the k columns before. A fold without rows, or with all of them, has 0."""
     models, inputs = [], x
+    held = [fold == f for f in range(FOLDS)]
+    held = [h for h in held if h.any() and not h.all()]
     for k in range(y.shape[1]):
-        models.append(_logistic(inputs, y[:, k]))
+        fitted = _logistic(inputs, y[:, k], np.stack([np.ones(len(x), bool), *(~h for h in held)], axis=1))
+        models.append(fitted[:, 0])
         out = np.zeros(len(x), np.float32)
-        for f in range(FOLDS):
-            held = fold == f
-            if held.any() and not held.all():
-                out[held] = _predict(inputs[held], _logistic(inputs[~held], y[~held, k]))
+        for i, h in enumerate(held):
+            out[h] = _predict(inputs[h], fitted[:, i + 1])
         inputs = np.hstack([inputs, out[:, None]])
     return models, inputs[:, x.shape[1] :]
 
