@@ -282,6 +282,14 @@ def test_missing_rows_are_errors_where_they_are_required(spark):
         series.join_months(a, b, require_rows=True)
 
 
+def test_rows_get_defaults_and_the_time_of_writing(spark):
+    df = spark.createDataFrame([("Todos", "price", 3)], "kind string, field string, n long").withColumns({"unit": F.lit("R$"), "mean": F.lit(1.0), "median": F.lit(1.0), "stddev": F.lit(None).cast("double")})
+    once = sinks.stamped(df, "statistics")
+    assert once.columns[-1] == "computed_at" and once.first().computed_at is not None
+    again = sinks.stamped(once.withColumn("computed_at", F.lit("2020-01-01").cast("timestamp")), "statistics")
+    assert again.first().computed_at.year == 2020 and sinks.stamped(spark.createDataFrame([(1, 2)], "segment int, page int"), "progress").columns == ["segment", "page"]
+
+
 def test_contracts_name_columns_of_the_schemas():
     for name, (needed, unique) in sinks.CONTRACTS.items():
         columns = [x.rsplit(" ", 1)[0] for x in sinks.SCHEMAS[name].split(", ")]

@@ -364,6 +364,12 @@ def sink_append(s: SparkSession, d: str) -> DataFrame:
     return s.read.schema("id bigint, page int, segment string").parquet(path).select("id", "segment", "page")
 
 
+query("stamped_series", f"""SELECT source, code, CAST(date AS VARCHAR) AS date, value, coalesce(CASE code WHEN '1-URGENT' THEN NULL ELSE 'Q' END, 'M') AS frequency,
+  CASE WHEN is_batch THEN '2026-01-02 03:04:05' ELSE CAST(CAST(seen AS DATE) AS VARCHAR) || ' 00:00:00' END AS collected_at FROM ({_S})""")(
+    lambda s, d: sinks.stamped(X.load(s, d, X.SERIES).withColumns({"frequency": F.expr("CASE code WHEN '1-URGENT' THEN NULL ELSE 'Q' END"), "collected_at": F.expr("CASE WHEN NOT is_batch THEN seen END")}),
+        "series", F.lit("2026-01-02 03:04:05").cast("timestamp")).select("source", "code", F.col("date").cast("string").alias("date"), "value", "frequency", F.date_format("collected_at", "yyyy-MM-dd HH:mm:ss").alias("collected_at")))
+
+
 @query("sink_csv", f"SELECT p_partkey, p_type, p_retailprice FROM ({_PARTS})")
 def sink_csv(s: SparkSession, d: str) -> DataFrame:
     path = scratch.path(s, "csv")

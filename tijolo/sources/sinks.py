@@ -29,6 +29,25 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in fields])
 
 
+#: The time that a table notes when a row is written, and values that stand for a missing one.
+WRITTEN_AT = {"listings": "collected_at", "clean_listings": "processed_at", "series": "collected_at", "price_index": "processed_at", "statistics": "computed_at"}
+DEFAULTS = {"series": {"frequency": "M"}}
+
+
+def stamped(df: DataFrame, name: str, now: Column | None = None) -> DataFrame:
+    """df as a table stores it: in its schema, with its defaults for missing columns and nulls, and the time of writing. A row that
+    has a time already keeps it, as rows do that are written again. `now` is one time for all rows of a query."""
+    defaults, at = DEFAULTS.get(name, {}), WRITTEN_AT.get(name)
+    for c, value in defaults.items():
+        df = df.withColumn(c, F.coalesce(F.col(c), F.lit(value)) if c in df.columns else F.lit(value))
+    if not at:
+        return conform(df, name)
+    now = F.current_timestamp() if now is None else now
+    known = F.coalesce(F.col(at).cast("timestamp"), now) if at in df.columns else now
+    fields = [x.rsplit(" ", 1) for x in SCHEMAS[name].split(", ")]
+    return df.select(*[F.col(c).cast(t).alias(c) for c, t in fields], known.alias(at))
+
+
 def append(df: DataFrame, path: str, partition: str | None = None) -> None:
     writer = df.write.mode("append")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
