@@ -353,3 +353,22 @@ def test_a_very_long_text(spark):
     assert {r.component_id for r in near_duplicates.near_duplicates(df).collect()} == {1}
     assert all(len(r.kept) < 400 for r in repeats.remove_repeats(df).collect())
     assert language_model.score_corpus(df)[0].count() == language.identify(df, language.fit(df)).count() == 2
+
+
+def test_likeness_counts_equal_digits(spark):
+    rng = np.random.default_rng(8)
+    pairs = [("".join(rng.choice(list("0123456789abcdef"), 256)), None) for _ in range(20)]
+    pairs = [(a, "".join(x if rng.random() < q else rng.choice(list("0123456789abcdef")) for x in a)) for (a, _), q in zip(pairs, np.linspace(0, 1, 20))] + [(None, None), ("0" * 256, None)]
+    got = [r.v for r in spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string").orderBy("i").select(fingerprints.likeness(F.col("a"), F.col("b")).alias("v")).collect()]
+    same = [sum(x == y for x, y in zip(a, b)) / 256 for a, b in pairs[:20]]
+    assert np.allclose(got[:20], [max(0, (s - 1 / 16) / (15 / 16)) for s in same]) and got[20:] == [1.0, 0.0]
+
+
+def test_long_texts_of_native_operators(spark):
+    """A text of a million words among short ones: op3, op4 and op8 take it whole."""
+    long = " ".join(f"w{i % 9973}" for i in range(1_000_000))
+    docs = spark.createDataFrame([(1, long, "a"), (2, "short text", "a"), (3, None, "b")], "doc_id long, text string, source string")
+    prints = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint(docs).collect()}
+    assert len(prints[1]) == 256 and prints[3] == ""
+    assert {r.doc_id: r.size for r in sharding.shard(docs, 8).collect()} == {1: len(long) + 1, 2: 11, 3: 1}
+    assert {r.doc_id: r.size for r in mixing.mix(docs).collect()} == {1: 1_000_000, 2: 2, 3: 0}

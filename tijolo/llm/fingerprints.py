@@ -40,8 +40,9 @@ def with_fingerprint(df: DataFrame, text: str, name: str, words: int = WORDS) ->
     word_list = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     df = df.withColumn(t("w"), F.transform(word_list, lambda x: F.xxhash64(x)))
     count = F.greatest(F.size(t("w")) - (words - 1), F.least(F.size(t("w")), F.lit(1)))
-    index = F.slice(F.transform(t("w"), lambda x, i: i), 1, count)
-    df = df.withColumn(t("h"), F.transform(index, lambda i: F.xxhash64(F.slice(F.col(t("w")), i + 1, words))))
+    # the hash of a word and those after it; behind the last word there are nulls, which a hash passes over
+    every = F.transform(t("w"), lambda x, i: F.xxhash64(x, *[F.get(F.col(t("w")), i + k) for k in range(1, words)]))
+    df = df.withColumn(t("h"), F.slice(every, 1, count))
     # One entry more a bin, greater than any hash in it, makes every bin present; the first entry of a bin is its least hash.
     ends = _numbers([(b - BINS // 2) * 2**56 + _LOW for b in range(BINS)], "L")
     df = df.withColumn(t("s"), F.sort_array(F.concat(t("h"), ends)))
@@ -62,8 +63,8 @@ def with_fingerprint(df: DataFrame, text: str, name: str, words: int = WORDS) ->
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated similarity, 0 to 1: two texts without words are alike, one without words is like no other."""
-    places = F.sequence(F.lit(1), F.lit(BINS))
-    same = F.size(F.filter(places, lambda i: F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1)))) / F.lit(float(BINS))
+    # taken apart once each; the i-th character of a string is found by walking to it
+    same = F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x == y), lambda x: x)) / F.lit(float(BINS))
     chance = 2.0**-BITS
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), (same - chance) / (1 - chance)))
 
