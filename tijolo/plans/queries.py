@@ -17,7 +17,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 _L, _S = X.duck(X.LISTINGS), X.duck(X.SERIES)
-_KIND = "CASE WHEN lower(address) LIKE '%apartamento%' THEN 'Apartamento' WHEN lower(address) LIKE '%casa%' OR lower(address) LIKE '%sobrado%' THEN 'Casa' WHEN lower(address) LIKE '%terreno%' OR lower(address) LIKE '%lote%' THEN 'Terreno' ELSE 'Outro' END"
+_KIND = """CASE WHEN lower(address) LIKE '%apartamento%' THEN 'Apartamento'
+  WHEN lower(address) LIKE '%casa%' OR lower(address) LIKE '%sobrado%' THEN 'Casa'
+  WHEN lower(address) LIKE '%terreno%' OR lower(address) LIKE '%lote%' THEN 'Terreno' ELSE 'Outro' END"""
 _NUM = "CASE WHEN trim({0}) <> 'N/A' THEN TRY_CAST(nullif(regexp_extract(replace({0}, '.', ''), '[0-9]+'), '') AS DOUBLE) END"
 _PRICE = "TRY_CAST(nullif(regexp_replace(split_part(split_part(price_text, 'Cond', 1), 'IPTU', 1), '[^0-9]', '', 'g'), '') AS DOUBLE)"
 _TYPED = f"SELECT id, address, {_PRICE} AS price, {_NUM.format('area_text')} AS area, " + ", ".join(f"CAST({_NUM.format(c + '_text')} AS INT) AS {c}" for c in ("rooms", "baths", "parking")) + f" FROM ({_L})"
@@ -51,20 +53,25 @@ def part(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- listings
 
 query("scan_raw", _L)(raw)
-query("clean_price", f"SELECT id, price_text, {_PRICE} AS price FROM ({_L})")(lambda s, d: raw(s, d).select("id", "price_text", T.clean_price(F.col("price_text")).alias("price")))
+query("clean_price", f"SELECT id, price_text, {_PRICE} AS price FROM ({_L})")(
+    lambda s, d: raw(s, d).select("id", "price_text", T.clean_price(F.col("price_text")).alias("price")))
 query("extract_number", f"SELECT id, area_text, {_NUM.format('area_text')} AS area, {_NUM.format('baths_text')} AS baths FROM ({_L})")(
     lambda s, d: raw(s, d).select("id", "area_text", T.extract_number(F.col("area_text")).alias("area"), T.extract_number(F.col("baths_text")).alias("baths")))
-query("classify_type", f"SELECT id, address, {_KIND} AS kind FROM ({_L})")(lambda s, d: raw(s, d).select("id", "address", T.classify_kind(F.col("address")).alias("kind")))
+query("classify_type", f"SELECT id, address, {_KIND} AS kind FROM ({_L})")(
+    lambda s, d: raw(s, d).select("id", "address", T.classify_kind(F.col("address")).alias("kind")))
 query("clean_listings", _CLEAN)(clean)
-query("dedup_first", f"SELECT address, price, area, id, rooms FROM (SELECT *, row_number() OVER (PARTITION BY address, price, area ORDER BY id) AS rn FROM ({_TYPED})) WHERE rn = 1")(
+query("dedup_first", f"""SELECT address, price, area, id, rooms FROM (SELECT *, row_number() OVER (PARTITION BY address, price, area ORDER BY id) AS rn
+  FROM ({_TYPED})) WHERE rn = 1""")(
     lambda s, d: listings.dedup_first(listings.typed(raw(s, d)).select("id", "address", "price", "area", "rooms"), listings.KEY, "id"))
 query("clean_audit", f"""SELECT CAST(sum(n) AS BIGINT) AS rows_read, CAST(sum(n - 1) AS BIGINT) AS rows_repeated, count(*) FILTER (NOT ok) AS rows_invalid, count(*) FILTER (ok) AS rows_kept
-  FROM (SELECT count(*) AS n, price IS NOT NULL AND coalesce(area > 0, FALSE) AS ok FROM ({_TYPED}) GROUP BY address, price, area)""")(lambda s, d: listings.audit(raw(s, d)))
+  FROM (SELECT count(*) AS n, price IS NOT NULL AND coalesce(area > 0, FALSE) AS ok FROM ({_TYPED}) GROUP BY address, price, area)""")(
+    lambda s, d: listings.audit(raw(s, d)))
 
 # --- statistics
 
 _PARTS = X.duck(X.PARTS)
-_DESC = f"SELECT {{3}} AS kind, '{{0}}' AS field, '{{1}}' AS unit, count({{2}}) AS n, round_even(avg({{2}}), 2) AS mean, round_even(median({{2}}), 2) AS median, round_even(stddev_samp({{2}}), 2) AS stddev FROM ({_PARTS})"
+_DESC = f"""SELECT {{3}} AS kind, '{{0}}' AS field, '{{1}}' AS unit, count({{2}}) AS n, round_even(avg({{2}}), 2) AS mean,
+  round_even(median({{2}}), 2) AS median, round_even(stddev_samp({{2}}), 2) AS stddev FROM ({_PARTS})"""
 _DESCRIBED = " UNION ALL ".join(
     _DESC.format(*f, "'Todos'") + " UNION ALL " + _DESC.format(*f, "p_type") + " WHERE p_type <> 'Todos' GROUP BY p_type" for f in (("price", "R$", "p_retailprice"), ("size", "m²", "p_size")))
 _TRIM = f"(SELECT * FROM ({_PARTS}) WHERE p_retailprice < (SELECT quantile_cont(p_retailprice, 0.95) FROM part))"
@@ -79,16 +86,20 @@ def trimmed(s: SparkSession, d: str) -> DataFrame:
 
 
 query("describe_by_type", _DESCRIBED)(described)
-query("chart_bars", f"SELECT kind, max(mean) FILTER (field = 'price') AS price, max(mean) FILTER (field = 'size') AS size FROM ({_DESCRIBED}) GROUP BY kind")(lambda s, d: stats.bars(described(s, d), ["price", "size"]))
-query("chart_share", f"SELECT p_type AS kind, count(*) AS n, round(CAST(100.0 AS DOUBLE) * count(*) / sum(count(*)) OVER (), 1) AS percent FROM ({_PARTS}) WHERE p_type IS NOT NULL GROUP BY p_type")(lambda s, d: stats.share(part(s, d), "p_type"))
+query("chart_bars", f"""SELECT kind, max(mean) FILTER (field = 'price') AS price, max(mean) FILTER (field = 'size') AS size FROM ({_DESCRIBED})
+  GROUP BY kind""")(lambda s, d: stats.bars(described(s, d), ["price", "size"]))
+query("chart_share", f"""SELECT p_type AS kind, count(*) AS n, round(CAST(100.0 AS DOUBLE) * count(*) / sum(count(*)) OVER (), 1) AS percent
+  FROM ({_PARTS}) WHERE p_type IS NOT NULL GROUP BY p_type""")(lambda s, d: stats.share(part(s, d), "p_type"))
 query("quantile_trim", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice < (SELECT quantile_cont(p_retailprice, 0.95) FROM part)")(
     lambda s, d: trimmed(s, d).select("p_partkey", "p_retailprice"))
-query("quantile_trim2", f"SELECT p_partkey, p_type, p_retailprice, p_size FROM ({_PARTS}) WHERE p_retailprice < (SELECT quantile_cont(p_retailprice, 0.95) FROM part) AND p_size < (SELECT quantile_cont(p_size, 0.95) FROM part)")(
+query("quantile_trim2", f"""SELECT p_partkey, p_type, p_retailprice, p_size FROM ({_PARTS}) WHERE p_retailprice < (SELECT quantile_cont(p_retailprice, 0.95)
+  FROM part) AND p_size < (SELECT quantile_cont(p_size, 0.95) FROM part)""")(
     lambda s, d: stats.below_quantile(part(s, d).select("p_partkey", "p_type", "p_retailprice", "p_size"), ["p_retailprice", "p_size"]))
 _FENCES = f"""WITH t AS {_TRIM}, q AS (SELECT p_type, quantile_cont(p_retailprice, 0.25) AS a, quantile_cont(p_retailprice, 0.5) AS b, quantile_cont(p_retailprice, 0.75) AS c FROM t GROUP BY p_type),
   f AS (SELECT t.*, a, b, c, p_retailprice BETWEEN a - 1.5 * (c - a) AND c + 1.5 * (c - a) AS inside FROM t JOIN q USING (p_type))"""
 query("chart_box", f"""{_FENCES} SELECT p_type AS kind, round(a, 6) AS q1, round(b, 6) AS median, round(c, 6) AS q3, min(p_retailprice) FILTER (inside) AS low,
-  max(p_retailprice) FILTER (inside) AS high, count(*) FILTER (NOT inside) AS outliers FROM f GROUP BY p_type, a, b, c""")(lambda s, d: stats.box(trimmed(s, d), "p_type", "p_retailprice"))
+  max(p_retailprice) FILTER (inside) AS high, count(*) FILTER (NOT inside) AS outliers FROM f GROUP BY p_type, a, b, c""")(
+    lambda s, d: stats.box(trimmed(s, d), "p_type", "p_retailprice"))
 # sizes stand out by their square, prices hardly
 query("chart_outliers", f"""WITH t AS (SELECT p_partkey, p_type, CAST(p_size AS DOUBLE) * p_size * p_size AS cube FROM ({_PARTS})), q AS (SELECT p_type, quantile_cont(cube, 0.25) AS a, quantile_cont(cube, 0.75) AS c FROM t GROUP BY p_type)
   SELECT t.* FROM t JOIN q USING (p_type) WHERE cube NOT BETWEEN a - 1.5 * (c - a) AND c + 1.5 * (c - a)""")(
@@ -106,26 +117,35 @@ query("sql_gap_pages", """SELECT l_orderkey, p AS l_linenumber FROM (SELECT l_or
     lambda s, d: coverage.gap_pages(s.read.parquet(f"{d}/lineitem.parquet"), ["l_orderkey"], "l_linenumber"))
 query("sql_page_density", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 ORDER BY n DESC, l_orderkey, l_linenumber LIMIT 30")(
     lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l_orderkey", "l_linenumber").limit(30))
-query("sql_count_by_segment", f"SELECT segment, count(*) AS n FROM ({_L}) GROUP BY segment")(lambda s, d: raw(s, d).groupBy("segment").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "segment"))
+query("sql_count_by_segment", f"SELECT segment, count(*) AS n FROM ({_L}) GROUP BY segment")(
+    lambda s, d: raw(s, d).groupBy("segment").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "segment"))
 _FIELDS = ["price_text", "area_text", "baths_text", "parking_text"]
-query("sql_missing", f"SELECT count(*) AS n, {', '.join(f'count(*) FILTER ({_MISSING.format(c)}) AS {c}_missing' for c in _FIELDS)} FROM ({_L})")(lambda s, d: coverage.missing_counts(raw(s, d), _FIELDS))
-query("sql_fill_rate", f"SELECT segment, {', '.join(f'round(CAST(100.0 AS DOUBLE) * count(*) FILTER (NOT {_MISSING.format(c)}) / count(*), 2) AS {c}_filled' for c in _FIELDS)} FROM ({_L}) GROUP BY segment")(
+query("sql_missing", f"SELECT count(*) AS n, {', '.join(f'count(*) FILTER ({_MISSING.format(c)}) AS {c}_missing' for c in _FIELDS)} FROM ({_L})")(
+    lambda s, d: coverage.missing_counts(raw(s, d), _FIELDS))
+query("sql_fill_rate", f"""SELECT segment,
+  {', '.join(f'round(CAST(100.0 AS DOUBLE) * count(*) FILTER (NOT {_MISSING.format(c)}) / count(*), 2) AS {c}_filled' for c in _FIELDS)}
+  FROM ({_L}) GROUP BY segment""")(
     lambda s, d: coverage.fill_rate(raw(s, d), "segment", _FIELDS))
-query("sql_dup_estimate", f"SELECT count(*) AS n, count(DISTINCT address || '|' || price_text || '|' || area_text) AS different, count(*) - count(DISTINCT address || '|' || price_text || '|' || area_text) AS repeated FROM ({_L})")(
+query("sql_dup_estimate", f"""SELECT count(*) AS n, count(DISTINCT address || '|' || price_text || '|' || area_text) AS different,
+  count(*) - count(DISTINCT address || '|' || price_text || '|' || area_text) AS repeated FROM ({_L})""")(
     lambda s, d: raw(s, d).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.expr("address || '|' || price_text || '|' || area_text")).alias("different")).withColumn("repeated", F.col("n") - F.col("different")))
 # estimates, which SQL does not give: sketches of segments are stored and merged; tests hold them against the exact query
-query("sql_dup_sketch")(lambda s, d: coverage.merge_sketches(scratch.written(coverage.distinct_sketches(raw(s, d), ["segment"], F.expr("address || '|' || price_text || '|' || area_text")), "sketches")))
+query("sql_dup_sketch")(
+    lambda s, d: coverage.merge_sketches(scratch.written(coverage.distinct_sketches(raw(s, d), ["segment"], F.expr("address || '|' || price_text || '|' || area_text")), "sketches")))
 query("sql_text_match", "SELECT lang, source, count(*) AS n FROM documents WHERE lower(text) LIKE '%tion%' OR lower(text) LIKE '%keit%' GROUP BY lang, source")(
     lambda s, d: s.read.parquet(f"{d}/documents.parquet").where(F.lower("text").like("%tion%") | F.lower("text").like("%keit%")).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")))
 query("sql_text_sample", "SELECT doc_id, lang, source FROM documents WHERE lower(text) LIKE '%tion%' ORDER BY doc_id LIMIT 50")(
     lambda s, d: s.read.parquet(f"{d}/documents.parquet").where(F.lower("text").like("%tion%")).select("doc_id", "lang", "source").orderBy("doc_id").limit(50))
-query("sql_clean_quality", f"SELECT count(*) AS n, count(*) FILTER (price IS NULL) AS no_price, count(*) FILTER (area IS NULL) AS no_area, count(*) FILTER (baths IS NULL) AS no_baths, count(*) FILTER (parking IS NULL) AS no_parking FROM ({_CLEAN})")(
+query("sql_clean_quality", f"""SELECT count(*) AS n, count(*) FILTER (price IS NULL) AS no_price, count(*) FILTER (area IS NULL) AS no_area,
+  count(*) FILTER (baths IS NULL) AS no_baths, count(*) FILTER (parking IS NULL) AS no_parking FROM ({_CLEAN})""")(
     lambda s, d: clean(s, d).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in ("price", "area", "baths", "parking")]))
-query("sql_price_bands", f"SELECT count(*) FILTER (unit_price < 500) AS low, count(*) FILTER (unit_price BETWEEN 500 AND 30000) AS middle, count(*) FILTER (unit_price > 30000) AS high FROM ({_CLEAN})")(
+query("sql_price_bands", f"""SELECT count(*) FILTER (unit_price < 500) AS low, count(*) FILTER (unit_price BETWEEN 500 AND 30000) AS middle,
+  count(*) FILTER (unit_price > 30000) AS high FROM ({_CLEAN})""")(
     lambda s, d: clean(s, d).agg(F.count_if(F.col("unit_price") < 500).alias("low"), F.count_if(F.col("unit_price").between(500, 30000)).alias("middle"), F.count_if(F.col("unit_price") > 30000).alias("high")))
 query("sql_type_distribution", f"SELECT kind, count(*) AS n, round(avg(unit_price), 2) AS mean_unit_price FROM ({_CLEAN}) GROUP BY kind")(
     lambda s, d: clean(s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("unit_price"), 2).alias("mean_unit_price")))
-query("row_counts", f"SELECT 'raw' AS name, (SELECT count(*) FROM ({_L})) AS n UNION ALL SELECT 'clean', (SELECT count(*) FROM ({_CLEAN})) UNION ALL SELECT 'series', (SELECT count(*) FROM orders)")(
+query("row_counts", f"""SELECT 'raw' AS name, (SELECT count(*) FROM ({_L})) AS n UNION ALL SELECT 'clean', (SELECT count(*) FROM ({_CLEAN}))
+  UNION ALL SELECT 'series', (SELECT count(*) FROM orders)""")(
     lambda s, d: raw(s, d).agg(F.lit("raw").alias("name"), F.count(F.lit(1)).alias("n")).unionByName(clean(s, d).agg(F.lit("clean").alias("name"), F.count(F.lit(1)).alias("n"))).unionByName(
         s.read.parquet(f"{d}/orders.parquet").agg(F.lit("series").alias("name"), F.count(F.lit(1)).alias("n"))))
 query("crawl_frontier", f"""SELECT g.segment, CAST(p AS INT) AS page, 'https://listings.example/' || slug || '?page=' || p AS url FROM ({X.duck(X.GRID)}) g, range(1, 401) r(p)
@@ -135,7 +155,8 @@ query("insert_if_absent", f"SELECT segment, page FROM ({X.duck(X.PROGRESS)}) UNI
     lambda s, d: series.insert_if_absent(X.load(s, d, X.PROGRESS), X.load(s, d, "SELECT s_nationkey AS segment, CAST(s_suppkey % 60 AS INT) + 1 AS page FROM {supplier}"), ["segment", "page"]))
 _CARD = '<li><a href="{}">{}</a>'
 query("extract_cards", f"""SELECT page_id, CAST(unnest(range(len(l))) AS INTEGER) AS position, unnest(t) AS price, unnest(l) AS link FROM
-  (SELECT page_id, regexp_extract_all(html, '{_CARD.format('([^"]*)', '[^<]*')}', 1) AS l, regexp_extract_all(html, '{_CARD.format('[^"]*', '([^<]*)')}', 1) AS t FROM pages)""")(lambda s, d: pages.extract_cards(s.read.parquet(f"{d}/pages.parquet")))
+  (SELECT page_id, regexp_extract_all(html, '{_CARD.format('([^"]*)', '[^<]*')}', 1) AS l, regexp_extract_all(html, '{_CARD.format('[^"]*', '([^<]*)')}', 1) AS t FROM pages)""")(
+    lambda s, d: pages.extract_cards(s.read.parquet(f"{d}/pages.parquet")))
 
 #: Listings as pages of cards with six fields; every fifth card lies inside the one before it, and some are never closed.
 _PAGES = f"""SELECT * FROM ({X.LISTINGS}) WHERE segment = 'casas'"""
@@ -162,12 +183,16 @@ def _monthly(method: str):
 
 
 _M = f"SELECT code, CAST(CAST(date_trunc('month', date) AS DATE) AS VARCHAR) AS month, round({{}}, 4) AS value FROM ({_S}) GROUP BY ALL"
-query("monthly_last", f"SELECT code, month, round(value, 4) AS value FROM (SELECT code, CAST(CAST(date_trunc('month', date) AS DATE) AS VARCHAR) AS month, value, row_number() OVER (PARTITION BY code, date_trunc('month', date) ORDER BY date DESC, seq DESC) AS rn FROM ({_S})) WHERE rn = 1")(_monthly("last"))
+query("monthly_last", f"""SELECT code, month, round(value, 4) AS value FROM (SELECT code, CAST(CAST(date_trunc('month', date) AS DATE) AS VARCHAR) AS month,
+  value, row_number() OVER (PARTITION BY code, date_trunc('month', date) ORDER BY date DESC, seq DESC) AS rn FROM ({_S}))
+  WHERE rn = 1""")(_monthly("last"))
 query("monthly_mean", _M.format("avg(value)"))(_monthly("mean"))
 query("monthly_sum", _M.format("sum(value)"))(_monthly("sum"))
 query("dedup_last", f"SELECT code, CAST(date AS VARCHAR) AS date, arg_max(value, seq) AS value FROM ({_S}) GROUP BY code, date")(
     lambda s, d: series.dedup_last(X.load(s, d, X.SERIES), ["code", "date"], "value", "seq").withColumn("date", F.col("date").cast("string")))
-query("latest_by_key", "SELECT o_custkey, CAST(arg_max(CAST(o_orderdate AS DATE), (o_orderdate, o_orderkey)) AS VARCHAR) AS last_date, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_key, CAST((SELECT max(CAST(o_orderdate AS DATE)) FROM orders) AS VARCHAR) AS overall_date FROM orders GROUP BY o_custkey")(
+query("latest_by_key", """SELECT o_custkey, CAST(arg_max(CAST(o_orderdate AS DATE), (o_orderdate, o_orderkey)) AS VARCHAR) AS last_date, arg_max(o_orderkey,
+  (o_orderdate, o_orderkey)) AS last_key, CAST((SELECT max(CAST(o_orderdate AS DATE)) FROM orders) AS VARCHAR) AS overall_date
+  FROM orders GROUP BY o_custkey""")(
     lambda s, d: series.latest(s.read.parquet(f"{d}/orders.parquet").select("o_custkey", F.col("o_orderdate").alias("date"), F.col("o_orderkey").alias("key")), "o_custkey", ["date", "key"]).withColumns({c: F.col(c).cast("date").cast("string") for c in ("last_date", "overall_date")}))
 _VALUES = ["name", "value", "unit", "frequency"]
 
@@ -186,7 +211,8 @@ _UPSERT = f"""WITH r AS (SELECT source, code, date, name, value, unit, frequency
   SELECT 'A' AS source, coalesce(a.code, b.code) AS code, coalesce(a.date, b.date) AS date, coalesce(b.value, a.value) AS value, coalesce(a.seen, b.seen) AS seen FROM a FULL JOIN b ON a.code = b.code AND a.date = b.date"""
 query("upsert_series", f"SELECT source, code, CAST(date AS VARCHAR) AS date, value, CAST(CAST(seen AS DATE) AS VARCHAR) AS seen FROM ({_UPSERT})")(
     lambda s, d: _upserted(s, d).select("source", "code", F.col("date").cast("string").alias("date"), "value", F.col("seen").cast("string").alias("seen")))
-query("sql_series_coverage", f"SELECT source, code, coalesce(name, '(no name)') AS label, count(*) AS n, CAST(min(date) AS VARCHAR) AS first, CAST(max(date) AS VARCHAR) AS last FROM ({_S}) GROUP BY ALL")(
+query("sql_series_coverage", f"""SELECT source, code, coalesce(name, '(no name)') AS label, count(*) AS n, CAST(min(date) AS VARCHAR) AS first,
+  CAST(max(date) AS VARCHAR) AS last FROM ({_S}) GROUP BY ALL""")(
     lambda s, d: series.coverage(X.load(s, d, X.SERIES).withColumn("label", F.coalesce("name", F.lit("(no name)"))), ["source", "code", "label"], "date").withColumns({c: F.col(c).cast("string") for c in ("first", "last")}))
 query("sql_latest_values", f"SELECT CAST(date AS VARCHAR) AS date, code, seq, value FROM ({_S}) ORDER BY date DESC, code, seq LIMIT 50")(
     lambda s, d: X.load(s, d, X.SERIES).orderBy(F.desc("date"), "code", "seq").limit(50).select(F.col("date").cast("string").alias("date"), "code", "seq", "value"))
@@ -214,10 +240,12 @@ def _pivoted(s: SparkSession, d: str) -> DataFrame:
     return wide.select("month", *[F.round(F.col(f"`{n}`"), 4).alias(f"s{n[0]}") for n in _NAMES])
 
 
-query("pivot_mean", f"SELECT CAST(month AS VARCHAR) AS month, {_PIVOT} FROM ({X.duck(X.MONTHLY_LEFT)}) GROUP BY month")(lambda s, d: _pivoted(s, d).withColumn("month", F.col("month").cast("string")))
+query("pivot_mean", f"SELECT CAST(month AS VARCHAR) AS month, {_PIVOT} FROM ({X.duck(X.MONTHLY_LEFT)}) GROUP BY month")(
+    lambda s, d: _pivoted(s, d).withColumn("month", F.col("month").cast("string")))
 _RIGHT_NAMES = ["quantity", "price", "discount", "tax", "constant"]
 _RIGHT_PIVOT = ", ".join(f"round(avg(value) FILTER (series = '{n}'), 4) AS {n}" for n in _RIGHT_NAMES)
-query("pivot_found", f"SELECT CAST(month AS VARCHAR) AS month, round(avg(value) FILTER (series = '1-URGENT'), 4) AS \"1-URGENT\", round(avg(value) FILTER (series = '5-LOW'), 4) AS \"5-LOW\" FROM ({X.duck(X.MONTHLY_LEFT)}) GROUP BY month")(
+query("pivot_found", f"""SELECT CAST(month AS VARCHAR) AS month, round(avg(value) FILTER (series = '1-URGENT'), 4) AS \"1-URGENT\",
+  round(avg(value) FILTER (series = '5-LOW'), 4) AS \"5-LOW\" FROM ({X.duck(X.MONTHLY_LEFT)}) GROUP BY month""")(
     lambda s, d: _found(X.load(s, d, X.MONTHLY_LEFT).withColumn("value", F.when(F.col("series").isin("1-URGENT", "5-LOW"), F.col("value")))))
 
 
@@ -227,7 +255,9 @@ def _found(long: DataFrame) -> DataFrame:
     return wide.select(F.col("month").cast("string").alias("month"), *[F.round(F.col(f"`{c}`"), 4).alias(c) for c in wide.columns[1:]])
 
 
-query("month_join", f"SELECT CAST(l.month AS VARCHAR) AS month, l.*EXCLUDE(month), r.*EXCLUDE(month) FROM (SELECT month, {_PIVOT} FROM ({X.duck(X.MONTHLY_LEFT)}) GROUP BY month) l JOIN (SELECT month, {_RIGHT_PIVOT} FROM ({X.duck(X.MONTHLY_RIGHT)}) GROUP BY month) r ON l.month = r.month")(
+query("month_join", f"""SELECT CAST(l.month AS VARCHAR) AS month, l.*EXCLUDE(month), r.*EXCLUDE(month) FROM (SELECT month, {_PIVOT}
+  FROM ({X.duck(X.MONTHLY_LEFT)}) GROUP BY month) l JOIN (SELECT month, {_RIGHT_PIVOT} FROM ({X.duck(X.MONTHLY_RIGHT)})
+  GROUP BY month) r ON l.month = r.month""")(
     lambda s, d: _pivoted(s, d).join(series.pivot_mean(X.load(s, d, X.MONTHLY_RIGHT), _RIGHT_NAMES).select("month", *[F.round(n, 4).alias(n) for n in _RIGHT_NAMES]), "month").withColumn("month", F.col("month").cast("string")))
 query("corr_matrix", f"""WITH l AS ({X.duck(X.MONTHLY_LEFT)}), r AS ({X.duck(X.MONTHLY_RIGHT)}), a AS (SELECT month, series, avg(value) AS v FROM (SELECT * FROM l UNION ALL SELECT * FROM r)
   WHERE month IN (SELECT month FROM l) AND month IN (SELECT month FROM r) GROUP BY ALL)
@@ -242,10 +272,12 @@ query("parse_number", "SELECT o_orderkey, " + _SAFE.format("t") + f" AS value FR
     lambda s, d: X.load(s, d, X.MONEY).select("o_orderkey", T.parse_number(F.col("cell")).alias("value")))
 query("ptbr_number", "SELECT o_orderkey, " + _SAFE.format("t") + f" AS value FROM (SELECT o_orderkey, replace(replace(regexp_replace(cell, '[%\\s]', '', 'g'), '.', ''), ',', '.') AS t FROM ({_MONEY}))")(
     lambda s, d: X.load(s, d, X.MONEY).select("o_orderkey", T.ptbr_number(F.col("cell")).alias("value")))
-query("parse_dates", f"SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(d AS VARCHAR) END AS br, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(d AS VARCHAR) END AS iso FROM ({_DATES})")(
+query("parse_dates", f"""SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(d AS VARCHAR) END AS br, CASE WHEN o_orderkey % 7 <> 0
+  THEN CAST(d AS VARCHAR) END AS iso FROM ({_DATES})""")(
     lambda s, d: X.load(s, d, X.DATES).select("o_orderkey", T.brazilian_date(F.expr("CASE WHEN o_orderkey % 5 = 0 THEN '31/13/' || yyyy ELSE dd || '/' || mm || '/' || yyyy END")).cast("string").alias("br"),
         T.iso_date(F.expr("CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE yyyy || '-' || mm || '-' || dd || CASE o_orderkey % 3 WHEN 0 THEN 'T00:00:00-03:00' WHEN 1 THEN 'T23:00:00Z' ELSE '' END END")).cast("string").alias("iso")))
-_CODE = "CASE o_orderkey % 5 WHEN 0 THEN yyyy || mm || dd WHEN 1 THEN yyyy || '-' || mm WHEN 2 THEN yyyy || CAST(o_orderkey % 4 + 1 AS STRING) WHEN 3 THEN yyyy ELSE '1' || yyyy || mm END"
+_CODE = """CASE o_orderkey % 5 WHEN 0 THEN yyyy || mm || dd WHEN 1 THEN yyyy || '-' || mm WHEN 2
+  THEN yyyy || CAST(o_orderkey % 4 + 1 AS STRING) WHEN 3 THEN yyyy ELSE '1' || yyyy || mm END"""
 query("period_code", f"""SELECT o_orderkey, code, CASE length(replace(code, '-', '')) WHEN 8 THEN 'D' WHEN 5 THEN 'Q' WHEN 4 THEN 'A' ELSE 'M' END AS frequency, CASE o_orderkey % 5 WHEN 0 THEN yyyy || '-' || mm || '-' || dd WHEN 1 THEN yyyy || '-' || mm || '-01'
   WHEN 2 THEN yyyy || CASE o_orderkey % 4 WHEN 0 THEN '-01-01' WHEN 1 THEN '-04-01' WHEN 2 THEN '-07-01' ELSE '-10-01' END WHEN 3 THEN yyyy || '-01-01' END AS date FROM (SELECT *, {_CODE} AS code FROM ({_DATES}))""")(
     lambda s, d: X.load(s, d, X.DATES).withColumn("code", F.expr(_CODE)).select("o_orderkey", "code", T.period_frequency(F.col("code")).alias("frequency"), T.period_date(F.col("code")).cast("string").alias("date")))
@@ -269,9 +301,11 @@ def _bodies(s: SparkSession, d: str) -> DataFrame:
 
 query("json_source_a", f"SELECT o_orderkey, CAST(d AS VARCHAR) AS date, CAST(o_orderkey AS DOUBLE) + 0.5 AS value FROM ({_DATES}) WHERE o_orderkey % 4 <> 0")(
     lambda s, d: landed_json.source_a(X.load(s, d, X.DATES).select("o_orderkey", F.concat(F.lit('[{"data":"31/13/2024","valor":"1"},{"data":"'), "dd", F.lit("/"), "mm", F.lit("/"), "yyyy", F.lit('","valor":"'), F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.concat(F.col("o_orderkey").cast("string"), F.lit(",5"))), F.lit('"}]')).alias("body")), "body").withColumn("date", F.col("date").cast("string")))
-query("json_source_b", f"SELECT o_orderkey, yyyy || '-' || mm AS period, yyyy || '-' || mm || '-01' AS date, 'M' AS frequency, CAST(o_orderkey AS DOUBLE) AS value FROM ({_DATES}) WHERE o_orderkey % 4 <> 0")(
+query("json_source_b", f"""SELECT o_orderkey, yyyy || '-' || mm AS period, yyyy || '-' || mm || '-01' AS date, 'M' AS frequency,
+  CAST(o_orderkey AS DOUBLE) AS value FROM ({_DATES}) WHERE o_orderkey % 4 <> 0""")(
     lambda s, d: landed_json.source_b(_bodies(s, d), "body").withColumn("date", F.col("date").cast("string")))
-query("json_source_c", f"SELECT o_orderkey, 'X' || o_orderkey AS code, CAST(d AS VARCHAR) AS date, CAST(o_orderkey AS DOUBLE) AS value FROM ({_DATES}) WHERE o_orderkey % 4 <> 0")(
+query("json_source_c", f"""SELECT o_orderkey, 'X' || o_orderkey AS code, CAST(d AS VARCHAR) AS date, CAST(o_orderkey AS DOUBLE) AS value FROM ({_DATES})
+  WHERE o_orderkey % 4 <> 0""")(
     lambda s, d: landed_json.source_c(X.load(s, d, X.DATES).select("o_orderkey", F.concat(F.lit('{"value":[{"SERCODIGO":"X'), F.col("o_orderkey").cast("string"), F.lit('","VALDATA":"'), "yyyy", F.lit("-"), "mm", F.lit("-"), "dd", F.lit('T00:00:00-03:00","VALVALOR":'), F.when(F.col("o_orderkey") % 4 == 0, "null").otherwise(F.col("o_orderkey").cast("string")), F.lit("}]}")).alias("body")), "body").withColumn("date", F.col("date").cast("string")))
 query("period_key_detect", f"SELECT o_orderkey, yyyy || '-' || mm AS period FROM ({_DATES})")(
     lambda s, d: landed_json.entries(_bodies(s, d), "body").select("o_orderkey", landed_json.period_code(F.col("m")).alias("period")).where(F.col("period").isNotNull()))
@@ -337,7 +371,9 @@ def wide_lines(s: SparkSession, d: str) -> DataFrame:
 
 query("price_index_load", "SELECT '20' || substr(CAST(month AS VARCHAR), 3) AS date, " + ", ".join(f"v{i} + 0.5e0 AS {n}" for i, (n, _, _) in zip((0, 3, 1, 4, 2, 5, 6), wide_index.RULES)) + f" FROM ({X.duck(_WIDE)})")(
     lambda s, d: wide_index.load(wide_lines(s, d)).withColumn("date", F.col("date").cast("string")))
-query("wide_header", "SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) AS file, c AS \"column\", o AS output FROM orders, (VALUES (1, 'date'), (7, 'monthly_sale'), (12, 'yearly_sale'), (17, 'price_m2'), (27, 'monthly_rent'), (32, 'yearly_rent'), (37, 'rent_m2'), (42, 'rent_yield')) t(c, o)")(
+query("wide_header", """SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) AS file, c AS \"column\", o AS output FROM orders, (VALUES (1, 'date'), (7,
+  'monthly_sale'), (12, 'yearly_sale'), (17, 'price_m2'), (27, 'monthly_rent'), (32, 'yearly_rent'), (37, 'rent_m2'), (42,
+  'rent_yield')) t(c, o)""")(
     lambda s, d: wide_index.columns(wide_index.headings(wide_index.cells(wide_lines(s, d)))))
 
 
@@ -401,8 +437,10 @@ def _stored(s: SparkSession, name: str, df: DataFrame, order: list[str]) -> Data
 
 query("listings_table", _CLEAN)(lambda s, d: _stored(s, "clean_listings", clean(s, d), ["address", "price", "area"]))
 query("statistics_table", _DESCRIBED)(lambda s, d: _stored(s, "statistics", described(s, d), ["kind", "field"]))
-query("price_index_table", ORACLES["price_index_load"])(lambda s, d: _stored(s, "price_index", wide_index.load(wide_lines(s, d)), ["date"]).withColumn("date", F.col("date").cast("string")))
-query("series_table", f"SELECT source, code, CAST(date AS VARCHAR) AS date, value, CAST(CAST(seen AS DATE) AS VARCHAR) AS seen, 'R$' AS unit, 'M' AS frequency, CASE WHEN code = '5-LOW' THEN NULL ELSE 'series ' || substr(code, 1, 1) END AS name FROM ({_UPSERT})")(
+query("price_index_table", ORACLES["price_index_load"])(
+    lambda s, d: _stored(s, "price_index", wide_index.load(wide_lines(s, d)), ["date"]).withColumn("date", F.col("date").cast("string")))
+query("series_table", f"""SELECT source, code, CAST(date AS VARCHAR) AS date, value, CAST(CAST(seen AS DATE) AS VARCHAR) AS seen, 'R$' AS unit,
+  'M' AS frequency, CASE WHEN code = '5-LOW' THEN NULL ELSE 'series ' || substr(code, 1, 1) END AS name FROM ({_UPSERT})""")(
     lambda s, d: _stored(s, "series", _upserted(s, d), ["date", "source", "code"]).withColumns({c: F.col(c).cast("string") for c in ("date", "seen")}))
 
 
@@ -449,7 +487,8 @@ def _contract(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     return sinks.checked(rows, scratch.path(s, "checked"), ["price", "area"], ["address", "price"], "id")
 
 
-query("contract_rows", f"SELECT arg_min(id, id) AS id, address, price, arg_min(area, id) AS area FROM ({_CHECKED}) WHERE why = '' GROUP BY address, price")(lambda s, d: _contract(s, d)[0])
+query("contract_rows", f"SELECT arg_min(id, id) AS id, address, price, arg_min(area, id) AS area FROM ({_CHECKED}) WHERE why = '' GROUP BY address, price")(
+    lambda s, d: _contract(s, d)[0])
 query("contract_quarantine", f"""SELECT reason, count(*) AS keys, CAST(sum(n) AS BIGINT) AS n FROM (SELECT address, price, CASE WHEN why = '' THEN 'repeated' ELSE 'null in ' || why END AS reason, CASE WHEN why = '' THEN count(*) - 1 ELSE count(*) END AS n
   FROM ({_CHECKED}) GROUP BY address, price, why) WHERE n > 0 GROUP BY reason""")(
     lambda s, d: _contract(s, d)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n")))
