@@ -39,7 +39,9 @@ def test_whole_table_equals_the_library(spark, library):
 
 @pytest.mark.parametrize(("chunk", "block"), [(B.CHUNK, B.BLOCK), (3, 5)])
 def test_odd_texts_in_chunks_and_blocks_of_any_size(spark, library, chunk, block):
-    texts = [*ODD, *ODD[:4], "".join(chr(c) + ("x1" if c % 3 else " ") for c in range(0x110000) if not 0xD800 <= c < 0xE000)]
+    texts = [*ODD, *ODD[:4]]
+    if block > 5:  # else a replay for each of a million words
+        texts.append("".join(chr(c) + ("x1" if c % 3 else " ") for c in range(0x110000) if not 0xD800 <= c < 0xE000))
     docs = spark.createDataFrame([(None if i == 3 else i // 2, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
     docs = docs.withColumns({c: F.lit(1) for c in ("ids", "word", "chunk", "decoded", "n_tokens")})
     out = B.decode(B.encode(docs, RANKS, chunk=chunk, block=block), RANKS).collect()
