@@ -29,7 +29,7 @@ from tijolo.llm.near_duplicates import _grouped
 LENGTH, GRAM = 400, 48
 SHORT = 3 * LENGTH // 5
 #: Different contexts of a class that one task compares, at most; runs of windows that larger classes are cut into.
-CLASS, STEPS = 512, (32, 1)
+CLASS, STEPS = 512, (64, 16, 4, 1)
 #: Bytes whose suffixes are sorted at once (a class always together) and of a text that are looked at at once.
 BLOCK, SLICE = 1 << 20, 1 << 22
 
@@ -254,9 +254,9 @@ def _sorted_hits(length: int, short: int):
     return run
 
 
-def _cut(step: int, length: int, short: int):
-    """Parts of at most `step` windows, classed by the bytes that all windows of a place have in common. Places are
-    counted from the anchor, so that equal windows have equal places."""
+def _cut(step: int, size: int):
+    """Parts of at most `step` windows of `size` bytes, classed by the bytes that all windows of a place have in common. Places
+    are counted from the anchor, so that equal windows have equal places."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -265,7 +265,7 @@ def _cut(step: int, length: int, short: int):
                 while i < n:
                     place = (i - at) // step
                     j = min(n, (place + 1) * step + at)
-                    core, part = b[(place + 1) * step - 1 + at : max(0, place * step + at + short)], b[i : j - 1 + length]
+                    core, part = b[(place + 1) * step - 1 + at : max(0, place * step + at + size)], b[i : j - 1 + size]
                     rows.append((a, c, off + i, j - i, xxhash.xxh3_64_intdigest(b"%d %d " % (cls, place) + core) - 2**63, xxhash.xxh3_64_intdigest(part) - 2**63, done, at - i, part))
                     i = j
             yield pd.DataFrame(rows, columns=["a", "c", "off", "n", "cls", "sub", "done", "at", "b"])
@@ -273,25 +273,27 @@ def _cut(step: int, length: int, short: int):
     return run
 
 
-def _hits_of_large(parts: DataFrame, length: int, short: int, most: int) -> DataFrame:
-    """Hits of contexts whose classes have more than `most` of them, which are all different. Parts that occur again are hits as
-    a whole; they are done, and go on as partners of others only, so that each window is a hit once."""
-    hits = parts.sparkSession.createDataFrame([], _HIT)
+def _hits_of_large(contexts: DataFrame, size: int, long: bool, most: int) -> DataFrame:
+    """Hits, in windows of `size` bytes, of contexts whose classes have more than `most` of them, which are all different. Parts
+    are as long as their windows, so that those inside a passage that many texts share are equal, whatever follows it; only
+    parts across its ends are cut again. Parts that occur again are hits as a whole; they are done, and go on as partners of
+    others only, so that each window is a hit once."""
+    hits = contexts.sparkSession.createDataFrame([], _HIT)
+    parts = contexts.withColumn("n", F.least(F.col("n"), F.length("b") - size + 1)).where("n > 0")
     for step in STEPS:
-        parts = written(parts.mapInPandas(_cut(step, length, short), _PART), "repeat-parts")
+        parts = written(parts.mapInPandas(_cut(step, size), _PART), "repeat-parts")
         counts = parts.groupBy("cls", "sub").agg(F.count(F.lit(1)).alias("k"), F.min_by(F.struct("a", "c", "off", "n", "done", "at", "b"), F.struct("a", "c", "off")).alias("one"))
         counts = written(counts, "repeat-classes")
         again = parts.where("NOT done").join(counts.where("k > 1").select("cls", "sub"), ["cls", "sub"], "left_semi")
-        whole = F.least(F.col("n"), F.length("b") - length + 1)
-        hits = hits.unionByName(again.select("a", "c", "off", "n", F.lit(False).alias("long"))).unionByName(again.select("a", "c", "off", whole.alias("n"), F.lit(True).alias("long")).where("n > 0"))
+        hits = hits.unionByName(again.select("a", "c", "off", "n", F.lit(long).alias("long")))
         sizes = counts.groupBy("cls").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         found = counts.join(sizes, "cls").select("cls", "sub", "m", "one.*", (F.col("one.done") | (F.col("k") > 1)).alias("_done")).drop("done").withColumnRenamed("_done", "done")
-        hits = hits.unionByName(_grouped(found.where(F.col("m") <= most).select("cls", "a", "c", "off", "n", "done", "at", "b"), "cls", _sorted_hits(length, short), _HIT))
+        few = _grouped(found.where(F.col("m") <= most).select("cls", "a", "c", "off", "n", "done", "at", "b"), "cls", _sorted_hits(size, size), _HIT)
+        hits = hits.unionByName(few.where("long").withColumn("long", F.lit(long)))
         parts = written(found.where(F.col("m") > most), "repeat-large")
         if parts.isEmpty():
-            return hits
-    # single windows that are equal in their first bytes, and in no more
-    return hits.unionByName(parts.where("NOT done").select("a", "c", "off", "n", F.lit(False).alias("long")))
+            break
+    return hits  # single windows of a class are all equal
 
 
 def _merged(name: str) -> Column:
@@ -366,7 +368,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, short: int | None = No
     hits = _grouped(parts.where(F.col("m") <= most).select("cls", "a", "c", "off", "n", "done", "at", "b"), "cls", _sorted_hits(length, short), _HIT)
     large = parts.where(F.col("m") > most)
     if not several.where(F.col("m") > most).isEmpty():
-        hits = hits.unionByName(_hits_of_large(large.drop("m").dropDuplicates(["a", "c"]), length, short, most))
+        large = written(large.drop("m").dropDuplicates(["a", "c"]), "repeat-large")
+        for size, long in ((short, False), (length, True)):
+            hits = hits.unionByName(_hits_of_large(large, size, long, most))
     whole = folded.where("k > 1").select(F.col("anchor").alias("a"), F.col("ctx").alias("c"), F.lit(0).alias("off"), F.lit(0).alias("n"), F.lit(True).alias("long"))
     run = F.struct("off", "n")
     marks = hits.unionByName(whole).groupBy(F.col("a").alias("anchor"), F.col("c").alias("ctx")).agg(
