@@ -2,10 +2,10 @@
 
 Documents are sets of word shingles; equal sets are first folded into one. Each set has SKETCH minwise
 values. Each of TREES trees sends a set to one root node, named by its value at a coordinate that no other tree
-has. Nodes over NODE sets choose coordinates at random, each with probability 1 / (similarity * SKETCH) and one
-at least, and send a set to one node for each (up to DEPTH times); what is still over NODE is compared block by
-block. Small nodes are compared exhaustively by sketch and yield a spanning forest of likely links, not all pairs.
-A link at the threshold is missed with a probability of 9e-7 if its nodes branch on all DEPTH levels, else less.
+has. Nodes over NODE sets choose coordinates at random and send a set to one node for each (up to DEPTH times): a
+root chooses one, which is enough where unlike sets share a line, the nodes below it each with probability
+BRANCHES / SKETCH and one at least. What is still over NODE is compared block by block. Small nodes are compared exhaustively by sketch and yield a spanning forest of likely links, not all pairs.
+A link at the threshold is missed with a probability of 8e-7 if its nodes branch on all DEPTH levels, else less.
 
 Likely links join sets into groups; a link is confirmed on full sets. A group of at most NODE sets meets in
 one task and all its pairs are tried; of a larger group, each tree node that it has is tried so, and sets of more
@@ -26,6 +26,8 @@ from tijolo.llm.common import LOWER, UPPER, partitions, small_batches, table, wr
 
 WORDS, PERCENT = 5, 80
 SKETCH, TREES, DEPTH, NODE = 64, 42, 6, 2048
+#: Coordinates that a node below a root chooses, about. More of them make up for the single one of a root.
+BRANCHES = 1.65
 #: Share of sketch values in which likely links agree: a pair at 0.8 falls below with probability under 1e-8.
 LIKELY = 0.5
 #: Shingles of the sets that meet in one task to be confirmed, about; two sets meet however large they are.
@@ -161,18 +163,18 @@ def _roots(sets: DataFrame) -> DataFrame:
     return sets.select("rep", "roots").mapInPandas(run, f"node bigint, rep {sets.schema['rep'].dataType.simpleString()}")
 
 
-def chosen(node: int) -> np.ndarray:
+def chosen(node: int, root: bool = False) -> np.ndarray:
     """Coordinates that a node chooses; they depend on the node alone. There is one at least, as it must shrink."""
     dice = np.random.default_rng([node & 0xFFFFFFFF, node >> 32 & 0xFFFFFFFF, 7]).random(SKETCH)
-    at = np.flatnonzero(dice < 100 / (PERCENT * SKETCH))
-    return at if len(at) else np.array([int(dice.argmin())])
+    at = np.flatnonzero(dice < BRANCHES / SKETCH)
+    return at if len(at) and not root else np.array([int(dice.argmin())])
 
 
 def child(node: int, coordinate: int, value: int) -> int:
     return xxhash.xxh3_64_intdigest(b"%d %d %d" % (node, coordinate, value)) - 2**63
 
 
-def _children(members: DataFrame) -> DataFrame:
+def _children(members: DataFrame, root: bool = False) -> DataFrame:
     """(node, rep) of the next level."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[int, np.ndarray] = {}
@@ -180,7 +182,7 @@ def _children(members: DataFrame) -> DataFrame:
             nodes, reps = [], []
             for i, (node, s) in enumerate(zip(pdf["node"].tolist(), pdf["sketch"])):
                 if (at := known.get(node)) is None:
-                    at = known[node] = chosen(node)
+                    at = known[node] = chosen(node, root)
                 v = np.frombuffer(s, np.uint16)
                 for c in at:
                     nodes.append(child(node, c, v[c]))
@@ -203,7 +205,7 @@ def tree_nodes(sets: DataFrame, node: int = NODE, depth: int = DEPTH) -> DataFra
         if large.isEmpty():
             return small
         if level < depth:
-            members = _children(large.join(sets, "rep").select("node", "rep", "sketch"))
+            members = _children(large.join(sets, "rep").select("node", "rep", "sketch"), root=level == 0)
     # What does not shrink is cut.
     return small.unionByName(_cut(large, "node", "n", node))
 
