@@ -294,3 +294,12 @@ def test_contracts_name_columns_of_the_schemas():
     for name, (needed, unique) in sinks.CONTRACTS.items():
         columns = [x.rsplit(" ", 1)[0] for x in sinks.SCHEMAS[name].split(", ")]
         assert set(needed) | set(unique) <= set(columns)
+
+
+def test_cards_are_handed_on_in_frames_of_bounded_size(spark, monkeypatch):
+    """A worker holds no more rows than a frame's, however many cards its pages have."""
+    df = spark.createDataFrame([(1, "<li><a href='x'>R$ 1</a></li>" * (3 * pages.ROWS + 5)), (2, "<li><a href='y'>R$ 2</a></li>")], "page_id int, html string")
+    sizes = []
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, run, schema: sizes.extend(len(x) for x in run([self.toPandas()])))
+    pages.extract_cards(df)
+    assert max(sizes) == pages.ROWS and sum(sizes) == 3 * pages.ROWS + 6
