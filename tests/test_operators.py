@@ -1,5 +1,6 @@
 """Domain operators on small made tables: nulls, ties, reserved names, damaged input, empty tables."""
 
+import json
 from datetime import date as D
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tijolo.operators import coverage, pages, series, stats
+from tijolo.plans import fixtures
 from tijolo.plans.queries import QUERIES
 from tijolo.sources import landed_files, landed_json, sinks, wide_index
 
@@ -258,6 +260,29 @@ def test_landed_responses_that_are_broken(spark, tmp_path):
     assert [(r.path, r.value) for r in rows.collect()] == [("t/1 x/2", 2.0)] and {r.path for r in bad.collect()} == {"t/1 x/2", "u"}
 
 
+def test_a_response_may_be_larger_than_a_variant(spark):
+    filler = F.concat(F.lit('{"x":"'), F.repeat(F.lit("y"), F.lit(15_000_000)), F.lit('"},'))
+    sheet = F.concat(F.lit("["), *[filler] * 9, F.lit('{"data":"01/02/2024","valor":"1,5","VALDATA":"2024-02-01","VALVALOR":1.5}]'))
+    for outcomes, body in ((landed_json.outcomes_a, sheet), (landed_json.outcomes_c, F.concat(F.lit('{"value":'), sheet, F.lit("}")))):
+        got = outcomes(spark.range(1).select(body.alias("body")), "body").select(F.col("date").cast("string"), "value", "reason").collect()
+        assert sorted(map(tuple, got), key=str) == [("2024-02-01", 1.5, None)] + 9 * [(None, None, "no date")]
+
+
+def test_a_landed_response_is_written_an_element_a_line(spark, tmp_path):
+    for source in fixtures.ELEMENTS:
+        root = tmp_path / source
+        fixtures.landed(spark, DATA, source, str(root))
+        files = {p.parent.name: p.read_text("utf-8") for p in root.glob("*/*.txt")}
+        rows = fixtures.load(spark, DATA, fixtures.LANDED).groupBy("path").agg(F.max("broken").alias("broken"), F.count("*").alias("n")).collect()
+        assert len(files) == len(rows) == len(list(root.glob("*/*.txt")))
+        for r in rows:
+            text = files["path=" + r.path.replace("/", "%2F")]
+            assert len(text.splitlines()) == (1 if r.broken == "no list" else r.n)
+            if r.broken is None:
+                whole = json.loads(text)
+                assert len(whole["value"] if source == "C" else whole) == r.n
+
+
 def test_the_catalogue_says_how_a_response_is_read(spark):
     body = '[{"D1C":"2020","D1N":"Taxa de desocupação","D2C":"202401","V":"1","W":"8"},{"D1C":"x","D1N":"Renda","D2C":"20242","V":"2"}]'
     responses = spark.createDataFrame([("p", body), ("broken", "{")], "path string, body string")

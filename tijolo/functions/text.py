@@ -96,21 +96,32 @@ def iso_date(text: Column) -> Column:
     return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d+)?)?$"), F.substring(t, 1, 10).try_cast("date"))
 
 
+def digits(code: Column) -> Column:
+    return F.regexp_replace(code, "[^0-9]", "")
+
+
 def period_frequency(code: Column) -> Column:
-    n = F.length(F.regexp_replace(code, "[^0-9]", ""))
+    return frequency_of_digits(digits(code))
+
+
+def frequency_of_digits(code: Column) -> Column:
+    n = F.length(code)
     return F.when(n == 8, "D").when(n == 5, "Q").when(n == 4, "A").otherwise("M")
 
 
 def period_date(code: Column, six_digit_quarter: bool = False) -> Column:
     """Day, month, quarter or year code, of whose text only the digits count; years out of 1990-2035 and impossible dates are null."""
-    code = F.regexp_replace(code, "[^0-9]", "")
+    return date_of_digits(digits(code), six_digit_quarter)
+
+
+def date_of_digits(code: Column, six_digit_quarter: bool = False) -> Column:
+    """`period_date` of a code's digits; each use of the code evaluates it, so it should be a column where there are many rows."""
     n, year, last = F.length(code), F.substring(code, 1, 4), F.substring(code, -1, 1)
     quarter = F.when(last == "2", "04").when(last == "3", "07").when(last == "4", "10").otherwise("01")
     month = F.when(n == 4, "01").when((n == 5) | ((n == 6) & F.lit(six_digit_quarter)), quarter).otherwise(F.substring(code, 5, 2))
-    # one cast for all lengths
-    text = F.when(n.isin(4, 5, 6, 8), F.concat_ws("-", year, month, F.when(n == 8, F.substring(code, 7, 2)).otherwise("01")))
-    day = text.try_cast("date")
-    return F.when(F.year(day).between(1990, 2035), day)
+    # one cast for all lengths; years of four digits are in the order of their texts
+    fits = n.isin(4, 5, 6, 8) & year.between("1990", "2035")
+    return F.when(fits, F.concat_ws("-", year, month, F.when(n == 8, F.substring(code, 7, 2)).otherwise("01"))).try_cast("date")
 
 
 def fold_accents(text: Column) -> Column:

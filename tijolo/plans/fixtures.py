@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tijolo.sources import landed_files
@@ -72,11 +72,13 @@ CATALOGUE_B = """SELECT 'B' AS source, 'S' || CAST(k AS STRING) AS code, 'series
 
 
 def landed(spark: SparkSession, sf_dir: str, source: str, root: str) -> None:
-    """Write the responses of a source below root."""
+    """Write the responses of a source below root, a line an element, so that no response is put together in memory."""
     element, head, tail = ELEMENTS[source]
-    rows = load(spark, sf_dir, LANDED).select("path", "broken", "o_orderkey", F.expr(element).alias("e"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "e"))), lambda x: x["e"]), ",")
-    whole = F.concat(F.lit(head), joined, F.lit(tail))
-    bodies = rows.groupBy("path", "broken").agg(whole.alias("whole"))
-    body = F.when(F.col("broken") == "not json", F.expr("left(whole, length(whole) - 2)")).when(F.col("broken") == "no list", '{"error":"none"}').otherwise(F.col("whole"))
-    landed_files.land(bodies.select("path", body.alias("body")), root)
+    rows = load(spark, sf_dir, LANDED).select(F.coalesce("path", F.lit("")).alias("path"), "broken", "o_orderkey", F.expr(element).alias("e")).repartition("path")
+    order = Window.partitionBy("path").orderBy("o_orderkey")
+    placed = rows.withColumns({"first": F.row_number().over(order) == 1, "last": F.lead("e").over(order).isNull()})
+    line = F.concat(F.when(F.col("first"), head).otherwise(","), "e", F.when(F.col("last"), tail).otherwise(""))
+    cut = F.when((F.col("broken") == "not json") & F.col("last"), F.left(line, F.length(line) - 2)).otherwise(line)
+    body = F.when(F.col("broken") == "no list", '{"error":"none"}').otherwise(cut)
+    lines = placed.where(F.col("first") | ~F.col("broken").eqNullSafe("no list"))
+    landed_files.land_lines(lines.select("path", body.alias("body")), root)

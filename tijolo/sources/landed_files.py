@@ -17,7 +17,12 @@ def read(spark: SparkSession, root: str) -> DataFrame:
 
 def land(bodies: DataFrame, root: str) -> None:
     """Write responses (path, body) the way `read` expects them; a body without line breaks stays as it is."""
-    bodies.select("path", "body").repartition("path").write.partitionBy("path").text(root)
+    land_lines(bodies.select("path", "body").repartition("path"), root)
+
+
+def land_lines(lines: DataFrame, root: str) -> None:
+    """Write lines (path, body) of responses; those of a path, which is never null, stand in one task, in order and with no other's between."""
+    lines.write.partitionBy("path").text(root)
 
 
 def load(responses: DataFrame, outcomes, by: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -3,8 +3,9 @@
 Each source has `outcomes`: a row for everything that a response holds, with the `reason` why it gives no value, null for the
 rows that count. `accepted` takes these, `rejects` counts the others. A response that is no JSON or holds no list is one row.
 
-Sources A and C are read as VARIANT, parsed once whatever their elements are. Source B needs the order of an object's keys, which
-VARIANT sorts, so its elements are read as maps; VARIANT would not be faster there (README).
+A body is read once, as a list of its elements, and each element is typed by itself, so that no value but the body and the list
+grows with a response; a VARIANT of a whole body may have 128 MB at most. Elements of sources A and C are read as VARIANT. Source B
+needs the order of an object's keys, which VARIANT sorts, so its elements are read as maps.
 """
 
 from __future__ import annotations
@@ -29,22 +30,29 @@ def rejects(outcomes: DataFrame, by: list[str]) -> DataFrame:
     return outcomes.where(F.col("reason").isNotNull()).groupBy(*by, "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _elements(df: DataFrame, body: str, elements: str) -> DataFrame:
+def _elements(df: DataFrame, body: str, elements: Column, kind: str) -> DataFrame:
     """df without the body, `_e` for each element of its list, and `_broken`, why there is none: then one row without an element."""
     kept = [c for c in df.columns if c != body]
-    parsed = df.select(*kept, once(F.try_parse_json(F.col(body))).alias("_v"))
-    broken = F.when(F.col("_v").isNull(), "not json").when(F.col("_list").isNull(), "no list")
-    listed = parsed.select(*kept, "_v", once(F.expr(elements)).alias("_list")).withColumn("_broken", broken)
-    nothing = F.array(F.lit(None).cast("variant"))
-    return listed.select(*kept, "_broken", F.explode(F.coalesce("_list", nothing)).alias("_e"))
+    listed = df.select(*kept, body, once(elements).alias("_list"))
+    broken = F.when(F.col("_list").isNull(), F.when(F.try_parse_json(F.col(body)).isNull(), "not json").otherwise("no list"))
+    nothing = F.array(F.lit(None).cast(kind))
+    return listed.withColumn("_broken", broken).select(*kept, "_broken", F.explode(F.coalesce("_list", nothing)).alias("_e"))
+
+
+def _fields(df: DataFrame, kept: list[str], **fields: Column) -> DataFrame:
+    """kept and the fields, each evaluated once a row however often it is used later."""
+    return df.select(*kept, once(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("_f")).select(*kept, "_f.*")
+
+
+def _text(name: str, kind: str = "string") -> Column:
+    return F.expr(f"try_variant_get(_e, '$.{name}', '{kind}')")
 
 
 def outcomes_a(df: DataFrame, body: str) -> DataFrame:
     """Arrays of {data: dd/MM/yyyy, valor: text or number}."""
-    rows = _elements(df, body, "try_cast(_v AS array<variant>)")
-    kept = [c for c in df.columns if c != body]
-    date, value = T.brazilian_date(F.expr("try_variant_get(_e, '$.data', 'string')")), T.parse_number(F.expr("try_variant_get(_e, '$.valor', 'string')"))
-    typed = rows.select(*kept, "_broken", once(F.struct(date.alias("date"), value.alias("value"))).alias("_t")).select(*kept, "_broken", "_t.*")
+    kept = [*(c for c in df.columns if c != body), "_broken"]
+    texts = _fields(_elements(df, body, F.from_json(body, "array<variant>"), "variant"), kept, _date=_text("data"), _value=_text("valor"))
+    typed = _fields(texts, kept, date=T.brazilian_date(F.col("_date")), value=T.parse_number(F.col("_value")))
     return typed.withColumn("reason", F.coalesce("_broken", F.when(F.col("date").isNull(), "no date").when(F.col("value").isNull(), "no value"))).drop("_broken")
 
 
@@ -59,13 +67,9 @@ def entries(df: DataFrame, body: str) -> DataFrame:
 
 def _maps(df: DataFrame, body: str) -> DataFrame:
     """df without the body, `m` for each element of its list, null where it is no object, and `_broken` as above."""
-    kept = [c for c in df.columns if c != body]
-    # an array with other elements is none of maps, and only then read element by element
-    each = F.transform(F.from_json(body, "array<string>"), lambda e: F.from_json(e, "map<string,string>"))
-    maps = df.select(*kept, body, once(F.coalesce(F.from_json(body, "array<map<string,string>>"), each)).alias("_maps"))
-    broken = F.when(F.col("_maps").isNull(), F.when(F.try_parse_json(F.col(body)).isNull(), "not json").otherwise("no list"))
-    nothing = F.array(F.lit(None).cast("map<string,string>"))
-    return maps.withColumn("_broken", broken).select(*kept, "_broken", F.explode(F.coalesce("_maps", nothing)).alias("m"))
+    kept = [*(c for c in df.columns if c != body), "_broken"]
+    rows = _elements(df, body, F.from_json(body, "array<string>"), "string")
+    return rows.select(*kept, once(F.from_json("_e", "map<string,string>")).alias("m"))
 
 
 def period_code(m: Column, key: str | Column | None = None) -> Column:
@@ -94,9 +98,10 @@ def has_keywords(m: Column, words: list[str]) -> Column:
 
 
 def _typed_b(rows: DataFrame, kept: list[str], code: Column, value: Column) -> DataFrame:
-    coded = rows.select(*kept, once(code).alias("_code"), value.alias("_value"))
-    c = F.col("_code")
-    return coded.select(*kept, c.alias("period"), T.period_date(c).alias("date"), T.period_frequency(c).alias("frequency"), T.parse_number(F.col("_value")).alias("value"))
+    coded = _fields(rows, kept, period=code, _value=value)
+    digits = _fields(coded, [*kept, "period", "_value"], _digits=T.digits(F.col("period")))
+    d = F.col("_digits")
+    return _fields(digits, [*kept, "period"], date=T.date_of_digits(d), frequency=T.frequency_of_digits(d), value=T.parse_number(F.col("_value")))
 
 
 def outcomes_b(df: DataFrame, body: str, value_key: str = "V", key: str | None = None, words: list[str] = ()) -> DataFrame:
@@ -117,12 +122,11 @@ def source_b(df: DataFrame, body: str, value_key: str = "V", key: str | None = N
 
 def outcomes_c(df: DataFrame, body: str) -> DataFrame:
     """Objects {value: [{SERCODIGO, VALDATA, VALVALOR: number or text}]}."""
-    rows = _elements(df, body, "try_variant_get(_v, '$.value', 'array<variant>')")
-    kept = [c for c in df.columns if c != body]
-    get = lambda name, kind="string": F.expr(f"try_variant_get(_e, '$.{name}', '{kind}')")
-    plain = F.nullif(get("VALVALOR", "double"), F.lit(float("nan")))
-    value = F.coalesce(T.parse_number(get("VALVALOR")), plain)
-    typed = rows.select(*kept, "_broken", once(F.struct(get("SERCODIGO").alias("code"), T.iso_date(get("VALDATA")).alias("date"), value.alias("value"))).alias("_t")).select(*kept, "_broken", "_t.*")
+    kept = [*(c for c in df.columns if c != body), "_broken"]
+    rows = _elements(df, body, F.from_json(body, "struct<value array<variant>>")["value"], "variant")
+    texts = _fields(rows, [*kept, "_e"], code=_text("SERCODIGO"), _date=_text("VALDATA"), _value=_text("VALVALOR"))
+    plain = F.nullif(_text("VALVALOR", "double"), F.lit(float("nan")))
+    typed = _fields(texts, [*kept, "code"], date=T.iso_date(F.col("_date")), value=F.coalesce(T.parse_number(F.col("_value")), plain))
     return typed.withColumn("reason", F.coalesce("_broken", F.when(F.col("date").isNull(), "no date").when(F.col("value").isNull(), "no value"))).drop("_broken")
 
 
