@@ -86,8 +86,10 @@ def day_of(year: Column, month: Column, day: Column | None = None) -> Column:
 
 
 def brazilian_date(text: Column) -> Column:
-    part = lambda i: F.split_part(F.trim(text), F.lit("/"), F.lit(i))
-    return F.when(F.trim(text).rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), day_of(part(3), part(2), part(1)))
+    t = F.trim(text)
+    # split_part would compile a pattern for every text
+    year, month, day = F.substring_index(t, "/", -1), F.substring_index(F.substring_index(t, "/", 2), "/", -1), F.substring_index(t, "/", 1)
+    return F.when(t.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), day_of(year, month, day))
 
 
 def iso_date(text: Column) -> Column:
